@@ -1,0 +1,6 @@
+"""Named queries over the test tables, and the same in SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
