@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, pii, resharding
 
-QUERIES = {"op8_exact_dedup": exact_dedup.query}
-ORACLES = {"op8_exact_dedup": exact_dedup.SQL}
+QUERIES = {
+    "op2_pii": pii.query,
+    "op4_decontaminate": decontaminate.query,
+    "op7_resharding": resharding.query,
+    "op8_exact_dedup": exact_dedup.query,
+}
+ORACLES = {
+    "op4_decontaminate": decontaminate.SQL,
+    "op8_exact_dedup": exact_dedup.SQL,
+}
