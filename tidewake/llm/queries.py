@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, pii, resharding
+from . import decontaminate, exact_dedup, ngram_join, pii, resharding
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.query,
     "op2_pii": pii.query,
     "op4_decontaminate": decontaminate.query,
     "op7_resharding": resharding.query,
