@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, ngram_join, pii, resharding
+from . import decontaminate, exact_dedup, ngram_join, packing, pii, resharding
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_decontaminate": decontaminate.query,
     "op7_resharding": resharding.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_packing": packing.query,
 }
 ORACLES = {
     "op4_decontaminate": decontaminate.SQL,
