@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, partitions, table
+from .common import SPACES, partitions, table, written
 
 FAN_IN = 4
 #: sha256 of the text, and a second hash and the length that verify it.
@@ -49,7 +49,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     rounds = rounds_for(spark)
     rows = digests(docs, id_col, text_col).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_IN**rounds)).cast("int"))
-    rows = rows.repartition(partitions(spark), "run", *DIGEST)
+    rows = written(rows, "digests")  # the texts are read and hashed once
     merged = rows.groupBy("run", *DIGEST).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     levels = [merged]
     for _ in range(rounds):
