@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing, pii, resharding, toxicity
+from . import chat_format, decontaminate, exact_dedup, html_text, language_id, ngram_join, packing, pii, resharding, toxicity
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
     "op2_pii": pii.query,
+    "op3_chat_format": chat_format.query,
     "op4_decontaminate": decontaminate.query,
     "op5_language_id": language_id.query,
     "op6_toxicity": toxicity.query,
     "op7_resharding": resharding.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
+    "op10_html_text": html_text.query,
 }
 ORACLES = {
     "op4_decontaminate": decontaminate.SQL,
