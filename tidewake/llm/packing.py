@@ -19,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ CAPACITY, END_ID = 4096, 1
 PARTS = 128
 TOKENIZER = "word_bpe_49k.json"
 #: Words remembered by each worker at a time; only speed depends on it.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 
 
 def _class(kind: str) -> str:
@@ -62,9 +63,10 @@ class Encoder(dict):
             self.clear()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        new = [c for c in chunks if c not in self]
-        cut = [CUT.findall(c) for c in new]
-        unknown = sorted({p for ps in cut for p in ps if p not in self.parts})
+        new = chunks.difference(self)
+        # most chunks are a word, or a word and one more character
+        cut = [(c,) if c.isalpha() else (c[:-1], c[-1]) if c[:-1].isalpha() else CUT.findall(c) for c in new]
+        unknown = sorted({p for ps in cut for p in ps}.difference(self.parts))
         for k in range(0, len(unknown), 4_000):
             some = unknown[k : k + 4_000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
@@ -74,36 +76,35 @@ class Encoder(dict):
             data = ids.astype("<u4").tobytes()
             self.parts.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist()))))
         known = self.parts
-        for c, ps in zip(new, cut):
-            self[c] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-
-    def encode(self, text: str | None) -> bytes:
-        """As the tokenizer's encode(text, add_special_tokens=False)."""
-        if not text:
-            return b""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            self.learn(set(chunks))
-            return b"".join(map(self.__getitem__, chunks))
+        self.update(zip(new, [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join([known[p] for p in ps]) for ps in cut]))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Of each text as the tokenizer's encode(text, add_special_tokens=False)."""
+        chunks = [None if "<|" in t or not PLAIN.fullmatch(t) else t.lower().split() for t in (t or "" for t in texts)]
+        self.learn(set().union(*(c for c in chunks if c)))
+        get = self.__getitem__
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+
+
+@cache
+def encoder_for(path: str | None) -> Encoder:
+    """One for each worker process, so that tasks find what earlier ones learned."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        path = tokenizer
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path(TOKENIZER)
-        encoder, end, step = Encoder(path), np.array([END_ID], "<u4").tobytes(), 4 * capacity
+        encoder, end, step = encoder_for(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = encoder.encode(text) + end
+            rows, texts = [], pdf["text"].tolist()
+            encoded = (e for k in range(0, len(texts), 256) for e in encoder.encode(texts[k : k + 256]))
+            for doc_id, ids in zip(pdf["doc_id"], encoded):
+                ids += end
                 rows += [(doc_id, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
