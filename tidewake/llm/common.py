@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Identifiers that may be broadcast: 8 bytes each, counted before.
+MOST_BROADCAST = 1_000_000
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows whose key is in gone (one column). Few keys are sent to the texts; only many make the texts move."""
+    gone = written(gone.distinct(), "gone")
+    few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
+
+
+def give_back() -> None:
+    """Return memory that this worker process has freed to the system, as workers live on between tasks."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidily(run: Callable) -> Callable:
+    """run, a function from batches to batches, and give_back at its end."""
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, table
+from .common import LOWER, UPPER, let, table, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -92,7 +92,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that hold a window of the benchmark."""
     found = scan(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where(F.size("covered") > 0).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, found.where(F.size("covered") > 0).select("doc_id"))
 
 
 SQL = r"""
@@ -103,10 +103,10 @@ WITH b AS (
 ), k AS (SELECT n, g, list(DISTINCT item) AS items FROM bw GROUP BY n, g
 ), d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
-), p AS (SELECT doc_id, w, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS i FROM d
 ), s AS (SELECT DISTINCT n FROM k
-), h AS (
-  SELECT p.doc_id, p.i, k.n, k.items FROM p, s JOIN k ON k.n = s.n AND k.g = array_to_string(p.w[p.i:p.i + s.n - 1], ' ') WHERE p.i + s.n - 1 <= len(p.w)
+), p AS MATERIALIZED (
+  SELECT doc_id, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i, unnest(list_transform(range(1, CAST(len(w) - n + 2 AS BIGINT)), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, s WHERE len(w) >= n
+), h AS MATERIALIZED (SELECT p.doc_id, p.i, p.n, k.items FROM p JOIN k USING (n, g)
 ), hw AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id
 ), hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, unnest(items) AS item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

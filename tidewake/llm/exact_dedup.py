@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, partitions, table, written
+from .common import SPACES, partitions, table, without, written
 
 FAN_IN = 4
 #: sha256 of the text, and a second hash and the length that verify it.
@@ -71,8 +71,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that stay."""
-    dropped = dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return without(docs, dedup(docs).where(~F.col("kept")).select("doc_id"))
 
 
 SQL = r"""

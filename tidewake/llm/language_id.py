@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import table, tidily
 from .hashing import LOWER, blocks
 
 SAMPLE, TRAIN_CHARS = 250, 4_000
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out = [x for _, texts in blocks(pdf["text"]) for x in held.value.predict(texts)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_text": html_text.query,
 }
 ORACLES = {
+    "op1_ngram_join": ngram_join.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }

@@ -20,7 +20,6 @@ table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +28,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidily, without
 from .hashing import LETTERS, blocks, mix, shingle_sets, words
 from . import hashing
 
 SAMPLE, TRAIN_CHARS = 3_000, 20_000
-SIGNIFICANT = 12.0
+SIGNIFICANT = 16.0
 PREFIXES = (4, 5, 6)
 SPAN = 20
 _U = np.uint64
@@ -174,7 +173,7 @@ def forward_backward(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray)
     return p, expected
 
 
-def train(texts: list[str], labels: np.ndarray, rounds: int = 120, seed: int = 0) -> Model:
+def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0) -> Model:
     """The model from whole documents with labels 0 and 1."""
     if len(set(labels.tolist())) < 2:
         return Model()
@@ -191,15 +190,19 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 120, seed: int = 0
     if len(set(y.tolist())) < 2:
         return Model()
     parts = [features([t]) for t in kept]
-    count: tuple[Counter, Counter] = (Counter(), Counter())
-    for (kinds, *_), label in zip(parts, y.tolist()):
-        count[label].update(np.unique(np.concatenate(kinds)).tolist())
-    count[1].pop(0, None)
-    names = np.array([h for h, n in count[1].items() if n >= 3], _U)
+    def distinct(label: int) -> list[np.ndarray]:
+        return [np.unique(np.concatenate(kinds)) for (kinds, *_), own in zip(parts, y.tolist()) if own == label]
+
+    names, toxic = np.unique(np.concatenate(distinct(1)), return_counts=True)
+    names, toxic = names[use := (toxic >= 3) & (names != 0)], toxic[use]
     if not len(names):
         return Model()
-    n = np.array([[count[0][h], count[1][h]] for h in names.tolist()], float)
-    names = np.sort(names[significance(n, np.array([(y == 0).sum(), (y == 1).sum()], float)) >= SIGNIFICANT])
+    clean = np.zeros(len(names))
+    for h in distinct(0):
+        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+        clean[at[names[at] == h]] += 1
+    n = np.stack([clean, toxic.astype(float)], 1)
+    names = names[significance(n, np.array([(y == 0).sum(), (y == 1).sum()], float)) >= SIGNIFICANT]
     model = Model(names, np.zeros(len(names)))
     rng = np.random.default_rng(seed)
     width = 2 * SPAN + 1
@@ -208,11 +211,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 120, seed: int = 0
         size = int(first[-1])
         at, ids = model.find(kinds)
         hit = np.unique(at)
-        centre = hit if label else rng.integers(0, max(size, 1), 2)
+        centre = hit if label else rng.integers(0, max(size, 1), 1)
         if label and not len(hit):
             continue
         lo = 0
-        for c in centre[: 8].tolist():
+        for c in centre[:4].tolist():
             lo = max(lo, c - SPAN)
             hi = min(size, c + SPAN + 1)
             if hi <= lo:
@@ -243,13 +246,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 120, seed: int = 0
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         emission = np.full((rows, width), theta[len(names)])
-        np.add.at(emission, (r, c), theta[f])
+        emission += np.bincount(r * width + c, theta[f], rows * width).reshape(rows, width)
         p, expected = forward_backward(emission, mask, theta[-4:].reshape(2, 2))
         error = (p - truth) * mask
         grad = np.r_[np.bincount(f, error[r, c], len(names)), error.sum(), (expected - seen_trans).ravel()]
         grad = grad + 0.05 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
-        theta = theta - 0.15 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
+        theta = theta - 0.25 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
     model = Model(names, theta[: len(names)], float(theta[len(names)]), theta[-4:].reshape(2, 2))
     x = []
     for kinds, _, _, first in parts:
@@ -303,7 +306,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     spans.append(out)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "spans": spans})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,5 +319,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the model finds toxic."""
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    toxic = score(docs, model).where("score >= 0.5").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    return without(docs, score(docs, model).where("score >= 0.5").select("doc_id"))
