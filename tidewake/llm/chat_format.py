@@ -55,9 +55,9 @@ def sources(rows: DataFrame) -> DataFrame:
     said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("lines").alias("x"))
     said = said.select("conv_id", "turn", F.col("x.level").alias("level"), normalised(F.col("x.line")).alias("line")).where("line != '' and level >= 0")
     said = said.select("conv_id", "turn", "level", F.sha2("line", 256).alias("hash"))
-    quoted = said.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n"))
+    quoted = written(said.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n")), "quoted")
     wanted = quoted.select("conv_id", "hash").distinct()
-    own = said.where("level = 0").select("conv_id", "hash", "turn").distinct().join(wanted, ["conv_id", "hash"], "left_semi")
+    own = written(said.where("level = 0").select("conv_id", "hash", "turn").distinct().join(wanted, ["conv_id", "hash"], "left_semi"), "own-lines")
     block = F.floor(F.col("turn") / TURNS)
     own, quoted = own.withColumn("block", block), quoted.withColumn("block", block)
     keys = ["conv_id", "hash"]
