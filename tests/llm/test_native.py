@@ -190,3 +190,13 @@ def test_rewrite_round_trip(spark, tmp_path):
     resharding.rewrite(df, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["text"] for r in back.select("text").collect()) == sorted(f"text {i}" for i in range(300))
+
+
+def test_clashing_columns(spark):
+    df = docs_of(spark, ["short item", "mail a@b.cc", None]).withColumns({c: pii.F.lit("own") for c in ("items", "covered", "original", "pii", "row", "w", "x", "at", "size", "hash", "block", "shard", "run", "place")})
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    cut = decontaminate.without_spans(df, bench)
+    assert cut.columns == df.columns and {r["text"] for r in cut.collect()} == {" ", "mail a@b.cc", None} and cut.first()["items"] == "own"
+    assert [len(r["covered"]) for r in decontaminate.scan(df, bench).orderBy("doc_id").collect()] == [2, 0, 0]
+    assert [len(r["pii"]) for r in pii.find(df).orderBy("doc_id").collect()] == [0, 1, 0]
+    assert resharding.reshard(df).count() == exact_dedup.dedup(df).count() == 3

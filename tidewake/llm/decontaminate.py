@@ -54,14 +54,14 @@ def hits(w: Column, by_size: dict[int, list[int] | None]) -> Column:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """docs without the text, with n_words, items (sorted strings) and covered (word numbers from 1)."""
+    """docs without the text, with n_words, items (sorted strings) and covered (word numbers from 1), which replace own columns of these names."""
     known = windows(benchmark, width=width)
     sizes = {r["size"]: r["n"] for r in known.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each size up to width
     small = sum(sizes.values()) <= MAX_SET
     by_size: dict[int, list[int] | None] = dict.fromkeys(sizes)
     if small:
         by_size = {n: [r["hash"] for r in known.where(F.col("size") == n).select("hash").distinct().collect()] for n in sizes}
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if c not in (text_col, "n_words", "items", "covered")]
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.struct(*[F.col(c) for c in kept]).alias("row"), words(F.col(text_col)).alias("w"))
     rows = rows.select("row_key", "row", let(F.col("w"), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), hits(w, by_size).alias("hits"))).alias("x"))
     rows = rows.select("row_key", "row", "x.n_words", F.explode_outer("x.hits").alias("hit"))
@@ -81,12 +81,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the covered words cut out of the text; what lies between words stays."""
-    columns = docs.columns
-    marked = scan(docs.withColumn("whole", F.col(text_col)), benchmark, text_col).withColumnRenamed("whole", text_col)
-    whole = F.coalesce(F.col(text_col), F.lit(""))
+    marked = scan(docs.select(F.struct("*").alias("original"), F.col(text_col).alias("text")), benchmark)
+    own = F.col("original")[text_col]
+    whole = F.coalesce(own, F.lit(""))
     pattern = WORD.replace("\\x60", "\\x40\\x5B-\\x60")  # the same words before lower-casing
     cut = F.array_join(F.zip_with(F.split(whole, pattern, -1), F.transform(F.regexp_extract_all(whole, F.lit(pattern), F.lit(0)), lambda w, i: F.when(F.array_contains(F.col("covered"), i + 1), F.lit("")).otherwise(w)), lambda p, w: F.concat(p, F.coalesce(w, F.lit("")))), "")
-    return marked.withColumn(text_col, F.when(F.size("covered") > 0, cut).otherwise(F.col(text_col))).select(*columns)
+    text = F.when(F.size("covered") > 0, cut).otherwise(own)
+    return marked.select(*[(text if c == text_col else F.col("original")[c]).alias(c) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,10 +134,9 @@ def spans_of(text: Column, kind: str) -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with a column pii: array<struct<kind, start, end, score>>, by kind, then start."""
-    whole = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    kinds = BASE + ADDED
-    return whole.withColumns({f"pii_{k}": spans_of(F.col("pii_text"), k) for k in kinds}).withColumn("pii", F.concat(*[F.col(f"pii_{k}") for k in kinds])).drop("pii_text", *[f"pii_{k}" for k in kinds])
+    """docs with a column pii: array<struct<kind, start, end, score>>, by kind, then start; an own column pii is replaced."""
+    spans = let(F.coalesce(F.col(text_col), F.lit("")), lambda text: F.concat(*[spans_of(text, k) for k in BASE + ADDED]))
+    return docs.withColumn("pii", spans)
 
 
 def redacted(text: Column, pii: Column) -> Column:
