@@ -56,6 +56,16 @@ def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
 
 
+#: Rows sent to Python at a time, unless the session says otherwise: texts are long.
+ARROW_ROWS, DEFAULT_ROWS = "2000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == DEFAULT_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def give_back() -> None:
     """Return memory that this worker process has freed to the system, as workers live on between tasks."""
     import pyarrow

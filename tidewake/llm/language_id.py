@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, tidily
+from .common import small_batches, table, tidily
 from .hashing import LOWER, blocks
 
 SAMPLE, TRAIN_CHARS = 250, 4_000
@@ -201,6 +201,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tidily, without
+from .common import small_batches, table, tidily, without
 from .hashing import LETTERS, blocks, mix, shingle_sets, words
 from . import hashing
 
@@ -189,9 +189,9 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0)
     y = np.array(y)
     if len(set(y.tolist())) < 2:
         return Model()
-    parts = [features([t]) for t in kept]
+    parts = [(kinds, int(first[-1])) for kinds, _, _, first in (features([t]) for t in kept)]
     def distinct(label: int) -> list[np.ndarray]:
-        return [np.unique(np.concatenate(kinds)) for (kinds, *_), own in zip(parts, y.tolist()) if own == label]
+        return [np.unique(np.concatenate(kinds)) for (kinds, _), own in zip(parts, y.tolist()) if own == label]
 
     names, toxic = np.unique(np.concatenate(distinct(1)), return_counts=True)
     names, toxic = names[use := (toxic >= 3) & (names != 0)], toxic[use]
@@ -207,8 +207,7 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0)
     rng = np.random.default_rng(seed)
     width = 2 * SPAN + 1
     places, gold, lengths = [], [], []
-    for (kinds, _, _, first), label in zip(parts, y.tolist()):
-        size = int(first[-1])
+    for (kinds, size), label in zip(parts, y.tolist()):
         at, ids = model.find(kinds)
         hit = np.unique(at)
         centre = hit if label else rng.integers(0, max(size, 1), 1)
@@ -255,11 +254,11 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0)
         theta = theta - 0.25 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
     model = Model(names, theta[: len(names)], float(theta[len(names)]), theta[-4:].reshape(2, 2))
     x = []
-    for kinds, _, _, first in parts:
+    for kinds, size in parts:
         at, ids = model.find(kinds)
         token, back = np.unique(at, return_inverse=True)
         emission = model.bias + np.bincount(back, model.weight[ids], len(token)) if len(token) else np.empty(0)
-        x.append(model.summary(model.marginals(token, emission, int(first[-1])) if len(token) else np.empty(0), int(first[-1])))
+        x.append(model.summary(model.marginals(token, emission, size) if len(token) else np.empty(0), size))
     x, w = np.array(x), np.zeros(4)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -288,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, spans): spans of toxic words in code points, with their marginals."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
