@@ -71,14 +71,18 @@ def jobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of a collection, each with the query vector (that of row 0)."""
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q))
+    """Rows of a collection."""
+    return table(spark, sf, "embeddings")
+
+
+def query_vector(spark: SparkSession, sf: str) -> list[float]:
+    """The query is the vector of row 0."""
+    return table(spark, sf, "embeddings").where("vec_id = 0").first()["embedding"]
 
 
-def knn(rows: DataFrame, **how) -> DataFrame:
-    found = retrieval.search(rows, F.col("q"), id_col="vec_id", vector="embedding", digits=6, **how)
+def knn(spark: SparkSession, sf: str, rows: DataFrame | None = None, **how) -> DataFrame:
+    rows = vectors(spark, sf) if rows is None else rows
+    found = retrieval.search(rows, query_vector(spark, sf), id_col="vec_id", vector="embedding", digits=6, **how)
     return found.select("vec_id", "label", "score")
 
 
@@ -89,34 +93,34 @@ SCORED = "(SELECT vec_id, label, round(list_dot_product(embedding::DOUBLE[], q::
 
 @query(f"SELECT * FROM {SCORED} ORDER BY score DESC, vec_id LIMIT 10")
 def knn_topk(spark, sf):
-    return knn(vectors(spark, sf))
+    return knn(spark, sf)
 
 
 @query(f"SELECT * FROM {SCORED} WHERE label IN (1, 3) ORDER BY score DESC, vec_id LIMIT 10")
 def knn_filtered_label(spark, sf):
-    return knn(vectors(spark, sf), where=F.col("label").isin(1, 3))
+    return knn(spark, sf, where=F.col("label").isin(1, 3))
 
 
 @query(f"SELECT * FROM {SCORED} WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 50")
 def knn_min_score(spark, sf):
-    return knn(vectors(spark, sf), min_score=0.1, limit=50)
+    return knn(spark, sf, min_score=0.1, limit=50)
 
 
 @query(f"SELECT vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM {SCORED} WHERE score >= 0.001) WHERE n <= 2 ORDER BY score DESC, vec_id LIMIT 10")
 def knn_capped(spark, sf):
-    return knn(vectors(spark, sf), group="label", cap=2, min_score=0.001)
+    return knn(spark, sf, group="label", cap=2, min_score=0.001)
 
 
 @query(f"SELECT * FROM {SCORED} WHERE label IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) ORDER BY score DESC, vec_id LIMIT 10")
 def knn_id_scope(spark, sf):
     ids = table(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("label"))
-    return retrieval.search_in(vectors(spark, sf), ids, "label", F.col("q"), id_col="vec_id", vector="embedding", digits=6).select("vec_id", "label", "score")
+    return retrieval.search_in(vectors(spark, sf), ids, "label", query_vector(spark, sf), id_col="vec_id", vector="embedding", digits=6).select("vec_id", "label", "score")
 
 
 @query(f"SELECT * FROM {SCORED} ORDER BY score DESC, vec_id LIMIT 10")
 def knn_merged_batches(spark, sf):
     v = vectors(spark, sf)
-    return retrieval.merged([knn(v.where(F.col("label") % 2 == r)) for r in (0, 1)], 10, "vec_id")
+    return retrieval.merged([knn(spark, sf, v.where(F.col("label") % 2 == r)) for r in (0, 1)], 10, "vec_id")
 
 
 @query()
@@ -124,8 +128,7 @@ def knn_cells(spark, sf):
     """Approximate: rows of the two cells nearest to the query, of eight centres."""
     e = table(spark, sf, "embeddings")
     centres = [r["embedding"] for r in e.orderBy(F.xxhash64("vec_id")).limit(8).collect()]
-    q = e.where("vec_id = 0").first()["embedding"]
-    return retrieval.approximate(retrieval.assign_cells(e, centres, "embedding"), q, centres, 2, id_col="vec_id", vector="embedding").select("vec_id", "label", "score")
+    return retrieval.approximate(retrieval.assign_cells(e, centres, "embedding"), query_vector(spark, sf), centres, 2, id_col="vec_id", vector="embedding").select("vec_id", "label", "score")
 
 
 @query(f"SELECT path, extension FROM {FILES} WHERE extension IN ('.en', '.de') AND (path = 'src1' OR starts_with(path, 'src1/') OR starts_with(path, 'src10/'))")
@@ -161,7 +164,7 @@ SELECT doc_id, round(sum(1.0 / (60 + r)), 9) AS score FROM (SELECT * FROM dense
 def hybrid_rrf(spark, sf):
     docs, v = table(spark, sf, "documents"), vectors(spark, sf)
     ids = v.select(F.col("vec_id").alias("id"))
-    dense = retrieval.scored(v, F.col("q"), "embedding", 6).select(F.col("vec_id").alias("id"), "score").join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    dense = retrieval.scored(v, query_vector(spark, sf), "embedding", 6).select(F.col("vec_id").alias("id"), "score").join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
     sparse = lexical.bm25(docs, first_item(spark, sf), "doc_id", "text").join(ids, "id", "left_semi").select("id", F.round("score", 6).alias("score"))
     return lexical.hybrid(dense, sparse, 10).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
 

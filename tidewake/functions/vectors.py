@@ -14,6 +14,20 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), product)
 
 
+#: Up to so many numbers a product with a known vector is written out, which compiles; longer code wouldn't.
+WRITTEN_OUT = 96
+
+
+def dot_with(v: Column, known: Sequence[float]) -> Column:
+    """dot with a vector that is known when the plan is made; the same sum in the same order."""
+    if not 0 < len(known) <= WRITTEN_OUT:
+        return dot(v, literal(known))
+    total = F.lit(0.0)
+    for i, x in enumerate(known):
+        total = total + F.get(v, F.lit(i)).cast("double") * F.lit(float(x))
+    return F.when(F.size(v) == len(known), total)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.vectors import dot, literal
+from ..functions.vectors import dot, dot_with, literal
 
 DEFAULT_LIMIT = 10
 
@@ -23,7 +23,7 @@ def order(id_col: str = "id") -> list[Column]:
 
 def scored(rows: DataFrame, query: Sequence[float] | Column, vector: str = "vector", digits: int | None = None) -> DataFrame:
     """rows with their score: the dot product with the query vector."""
-    score = dot(F.col(vector), query if isinstance(query, Column) else literal(query))
+    score = dot(F.col(vector), query) if isinstance(query, Column) else dot_with(F.col(vector), query)
     return rows.withColumn("score", F.round(score, digits) if digits is not None else score)
 
 
@@ -76,7 +76,7 @@ def approximate(rows: DataFrame, query: Sequence[float] | Column, centres: Seque
 
 
 def assign_cells(rows: DataFrame, centres: Sequence[Sequence[float]], vector: str = "vector") -> DataFrame:
-    best = F.array_max(F.array(*[F.struct(dot(F.col(vector), literal(c)).alias("d"), F.lit(-i).alias("n")) for i, c in enumerate(centres)]))
+    best = F.array_max(F.array(*[F.struct(dot_with(F.col(vector), c).alias("d"), F.lit(-i).alias("n")) for i, c in enumerate(centres)]))
     return rows.withColumn("cell", -best["n"])
 
 

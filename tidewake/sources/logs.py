@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LINE_BYTES = 4 * 1024 * 1024
+# The messages of the logs that hold counters and spans.
 SAMPLE_MESSAGE, SPAN_MESSAGE = "daemon.perf_counters", "daemon.span.completed"
 
 
