@@ -42,7 +42,7 @@ def test_batches_do_not_change_results():
 
 def test_predictions_and_unknown():
     m = model()
-    got = m.predict(["WITH THE DOG".encode(), "AVEC LE CHIEN ÉTÉ".encode(), b"", b"12 ++ 34", b"the " * 60_000])
+    got = m.predict(["WITH THE DOG".encode(), "AVEC LE CHIEN ÉTÉ".encode(), b"", "12 ++ 34 ² ½ _".encode(), b"the " * 60_000])
     assert [g[0] for g in got] == ["en", "fr", "und", "und", "en"]
     assert got[2][1] == 0.0 and all(0 <= g[1] <= 1 for g in got)
     assert L.train([], []).predict([b"abc"]) == [("und", 0.0)]

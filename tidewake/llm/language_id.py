@@ -34,6 +34,7 @@ from .hashing import LOWER, blocks
 SAMPLE, TRAIN_CHARS = 250, 4_000
 HIDDEN, WINDOW, BATCH = 10, 128, 1024
 ROUNDS, TRAIN_WINDOW, TRAIN_BATCH = 400, 48, 192
+#: Letters, and numbers that aren't digits, which isalpha tells apart.
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 _f = np.float32
@@ -139,7 +140,7 @@ class Model:
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
-        letters = [bool(LETTER.search(t.decode("utf-8", "surrogatepass"))) for t in texts]
+        letters = [any(m[0].isalpha() for m in LETTER.finditer(t.decode("utf-8", "surrogatepass"))) for t in texts]
         p = self.pooled(texts)
         best = p.argmax(1)
         return [(self.languages[k], min(1.0, float(row[k]))) if ok else (UNKNOWN, 0.0) for k, row, ok in zip(best.tolist(), p, letters)]
