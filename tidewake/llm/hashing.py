@@ -71,17 +71,24 @@ def blocks(texts) -> Iterator[tuple[int, list[bytes]]]:
 def words(texts: list[bytes], is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first, buffer): of each word its hash and its bytes' place in the lower-cased buffer; first[i]:first[i + 1] are the words of text i."""
     buf = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-    n = len(buf)
-    _grow(n + 1)
-    inside = np.zeros(n + 2, np.int8)
+    inside = np.zeros(len(buf) + 2, np.int8)
     inside[1:-1] = is_word[buf]
     turns = np.flatnonzero(np.diff(inside))
     start, end = turns[::2], turns[1::2]
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * _power[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * _inverse[start] + (end - start).astype(_U))
-    offsets = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    return h, start, end, np.searchsorted(start, offsets), buf
+    return spans(buf, start, end), start, end, np.searchsorted(start, offsets(texts)), buf
+
+
+def offsets(texts: list[bytes]) -> np.ndarray:
+    """Where each text begins in the buffer, and where it ends."""
+    return np.cumsum([0, *[len(t) + 1 for t in texts]])
+
+
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each span of a buffer."""
+    _grow(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, _U)
+    np.cumsum((buf.astype(_U) + _U(1)) * _power[: len(buf)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _inverse[start] + (end - start).astype(_U))
 
 
 #: Odd factors that tell the places of a window apart.

@@ -27,27 +27,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from . import hashing
+from .common import small_batches, table, tidily, written
 
 CAPACITY, END_ID = 4096, 1
 PARTS = 128
 TOKENIZER = "word_bpe_49k.json"
-#: Words remembered by each worker at a time; only speed depends on it.
-REMEMBERED = 700_000
+#: Words and chunks remembered by each worker at a time; only speed depends on it.
+REMEMBERED, CHUNKS = 800_000, 100_000
+SPACE, LETTER, DIGIT, OTHER = range(4)
 
 
 def _class(kind: str) -> str:
     return "".join(re.escape(c) for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == kind)
 
 
-#: Texts with any other character go to the tokenizer whole.
+#: Texts that are cut by classes of their bytes: ASCII without apostrophes, and the two-byte letters of Latin-1.
+BY_BYTES = re.compile(r"[\x00-\x1b\x20-&(-\x7fÀ-ÖØ-öø-ÿ]*")
+#: Of the rest, texts that are cut at white space first; all others go to the tokenizer whole.
 PLAIN = re.compile(r"[\x00-\x1b\x20-įı-ſ]*")
 #: The tokenizer's own way of cutting text between white space.
 CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_class('L')}{_class('N')}]+")
+CLASS = np.full(256, OTHER, np.int8)
+CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+CLASS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
+CLASS[0x30:0x3A] = DIGIT
 
 
-class Encoder(dict):
-    """bytes of the ids (unsigned, 32 bits, little-endian) of each chunk of text without white space."""
+class Encoder:
+    """Ids (unsigned, 32 bits, little-endian) of texts; what was cut before is not encoded again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,34 +64,95 @@ class Encoder(dict):
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        new = chunks.difference(self)
-        # most chunks are a word, or a word and one more character
-        cut = [(c,) if c.isalpha() else (c[:-1], c[-1]) if c[:-1].isalpha() else CUT.findall(c) for c in new]
-        unknown = sorted({p for ps in cut for p in ps}.difference(self.parts))
-        for k in range(0, len(unknown), 4_000):
-            some = unknown[k : k + 4_000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(some):
-                raise ValueError("the tokenizer cuts text in another way")
+        self.chunks: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int, int] = {}  # hash of a word to its number
+        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  # by number: where in the pool
+        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def of_words(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each word's end) of words that the tokenizer doesn't cut."""
+        ids = self.whole(" ".join(some))
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(some):
+            raise ValueError("the tokenizer cuts text in another way")
+        return ids, stops
+
+    def learn(self, hashes: list[int], some: list[str]) -> None:
+        """Put new words into the pool."""
+        for k in range(0, len(some), 4_000):
+            ids, stops = self.of_words(some[k : k + 4_000])
+            n, m = len(self.known), len(stops)
+            while len(self.pool) < self.used + len(ids):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            while len(self.first) < n + m:
+                self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.pool[self.used : self.used + len(ids)] = ids
+            begin = np.r_[0, stops[:-1]]
+            self.first[n : n + m], self.size[n : n + m] = self.used + begin, stops - begin
+            self.used += len(ids)
+            self.known.update(zip(hashes[k : k + 4_000], range(n, n + m)))
+
+    def by_bytes(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-case texts that BY_BYTES admits."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        kind = CLASS[buf]
+        turn = np.ones(len(buf), bool)
+        turn[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        at = np.flatnonzero(turn)
+        use = kind[at] != SPACE
+        start, end = at[use], np.r_[at[1:], len(buf)][use]
+        hashes, where, back = np.unique(hashing.spans(buf, start, end), return_index=True, return_inverse=True)
+        names = hashes.tolist()
+        numbers = [self.known.get(h, -1) for h in names]
+        new = [k for k, n in enumerate(numbers) if n < 0]
+        if new:
+            data, a, b = buf.tobytes(), start[where[new]].tolist(), end[where[new]].tolist()
+            self.learn([names[k] for k in new], [data[i:j].decode() for i, j in zip(a, b)])
+            for k in new:
+                numbers[k] = self.known[names[k]]
+        word = np.array(numbers, np.int64)[back]
+        size = self.size[word]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.pool[np.repeat(self.first[word] - (stop - size), size) + np.arange(total)].astype("<u4")
+        cuts = np.r_[0, stop][np.searchsorted(start, hashing.offsets(texts))].tolist()
+        return [ids[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+
+    def by_chunks(self, text: str) -> bytes:
+        """Ids of a text that PLAIN admits."""
+        chunks = text.lower().split()
+        if len(self.chunks) > CHUNKS:
+            self.chunks.clear()
+        new = list(set(chunks).difference(self.chunks))
+        cut = [CUT.findall(c) for c in new]
+        some = sorted({p for ps in cut for p in ps})
+        if some:
+            ids, stops = self.of_words(some)
             data = ids.astype("<u4").tobytes()
-            self.parts.update(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist()))))
-        known = self.parts
-        self.update(zip(new, [known[ps[0]] if len(ps) == 1 else known[ps[0]] + known[ps[1]] if len(ps) == 2 else b"".join([known[p] for p in ps]) for ps in cut]))
+            parts = dict(zip(some, (data[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist()))))
+            self.chunks.update(zip(new, [b"".join([parts[p] for p in ps]) for ps in cut]))
+        return b"".join([self.chunks[c] for c in chunks])
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text as the tokenizer's encode(text, add_special_tokens=False)."""
-        chunks = [None if "<|" in t or not PLAIN.fullmatch(t) else t.lower().split() for t in (t or "" for t in texts)]
-        self.learn(set().union(*(c for c in chunks if c)))
-        get = self.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+        plain = [t if "<|" not in (t or "") and BY_BYTES.fullmatch(t or "") else None for t in texts]
+        for first, block in hashing.blocks(t and t.lower() for t in plain):
+            for k, ids in enumerate(self.by_bytes(block), first):
+                text = texts[k] or ""
+                if plain[k] is not None or not text:
+                    yield ids
+                elif "<|" in text or not PLAIN.fullmatch(text):
+                    yield self.whole(text).astype("<u4").tobytes()
+                else:
+                    yield self.by_chunks(text)
 
 
 @cache
@@ -101,16 +170,15 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end, step = encoder_for(tokenizer), np.array([END_ID], "<u4").tobytes(), 4 * capacity
         for pdf in batches:
-            rows, texts = [], pdf["text"].tolist()
-            encoded = (e for k in range(0, len(texts), 256) for e in encoder.encode(texts[k : k + 256]))
-            for doc_id, ids in zip(pdf["doc_id"], encoded):
+            rows = []
+            for doc_id, ids in zip(pdf["doc_id"], encoder.encode(pdf["text"].tolist())):
                 ids += end
                 rows += [(doc_id, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -163,6 +231,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
+    small_batches(spark)
     cut = pieces(docs, capacity, tokenizer).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
     cut = written(cut, "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))  # capacity * PARTS rows at most
