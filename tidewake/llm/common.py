@@ -25,12 +25,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where none is set."""
+    """This application's folder for intermediate tables, in the shared folder; in a temporary one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='tidewake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return f"{found.rstrip('/')}/tidewake-{spark.sparkContext.applicationId}"
+
+
+def forget_work(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once what was made of them is written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
