@@ -100,6 +100,16 @@ def test_bm25_prefers_rare_terms(spark):
     assert max(got, key=got.get) == "a" and set(got) == {"a", "b", "c"}
 
 
+def test_bm25_from_an_index(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    lexical.write_index(docs, f"file://{tmp_path}/index")
+    text = "the and ontion, de la"
+    found = lexical.bm25_indexed(spark, f"file://{tmp_path}/index", text)
+    assert "In(term" in found._jdf.queryExecution().toString()
+    rows = lambda df: sorted((r["id"], round(r["score"], 9)) for r in df.collect())
+    assert rows(found) == rows(lexical.bm25(docs, text)) and rows(found)
+
+
 # -- shaping ---------------------------------------------------------------------------------------
 
 

@@ -31,6 +31,11 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "content",
     sized = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("w")).withColumn("len", F.size("w"))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
     found = sized.select("id", "len", F.explode("w").alias("term")).join(F.broadcast(wanted), "term").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return weighed(found, stats, k1, b)
+
+
+def weighed(found: DataFrame, stats: DataFrame, k1: float, b: float) -> DataFrame:
+    """(id, score) from (id, len, term, tf) of the query's terms and one row (n, avg)."""
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     x = found.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -38,6 +43,21 @@ def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "content",
     return x.groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def write_index(docs: DataFrame, path: str, id_col: str = "id", text: str = "content") -> None:
+    """Postings sorted by term, so that a search reads the files of its terms only, and the corpus' numbers."""
+    rows = postings(docs, id_col, text)
+    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    lengths = docs.select(F.size(terms(F.col(text))).alias("len"))
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bm25_indexed(spark, path: str, query: str, k1: float = K1, b: float = B) -> DataFrame:
+    """As bm25, from an index: the query's terms are a filter that the scan applies."""
+    wanted = [r["t"] for r in spark.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("t")).collect()]  # the query's words
+    found = spark.read.parquet(f"{path}/postings").where(F.col("term").isin(wanted))
+    return weighed(found.select("id", "len", "term", "tf"), spark.read.parquet(f"{path}/stats"), k1, b)
+
+
 def ranked(rows: DataFrame, size: int, id_col: str = "id") -> DataFrame:
     """(id, rank) of the first size rows."""
     best = rows.orderBy(*order(id_col)).limit(size)
