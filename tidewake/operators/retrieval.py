@@ -34,12 +34,15 @@ def top(rows: DataFrame, limit: int | None = None, id_col: str = "id", min_score
 
 
 def capped(rows: DataFrame, group: str, cap: int, id_col: str = "id", min_score: float = 0.0) -> DataFrame:
-    """At most cap rows of each group, the best ones; 0: all. The rank filter is also applied before the shuffle."""
-    kept = rows.where(F.col("score") >= min_score) if min_score > 0 else rows
-    if cap <= 0:
-        return kept
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order(id_col)))
-    return kept.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
+    """At most cap rows of each group, the best ones; 0: all. The rank filter is also applied before the shuffle.
+
+    Rows below the floor rank last, so the floor can follow the cap, and scores are computed once.
+    """
+    kept = rows
+    if cap > 0:
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(*order(id_col)))
+        kept = rows.withColumn("_rank", rank).where(F.col("_rank") <= cap).drop("_rank")
+    return kept.where(F.col("score") >= min_score) if min_score > 0 else kept
 
 
 def search(rows: DataFrame, query: Sequence[float] | Column, *, where: Column | None = None, limit: int | None = None, group: str | None = None, cap: int = 0, min_score: float = 0.0, id_col: str = "id", vector: str = "vector", digits: int | None = None) -> DataFrame:
