@@ -24,13 +24,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: The folders of applications without a shared one, as in tests.
+_own: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, in the shared folder; in a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/tidewake-{spark.sparkContext.applicationId}"
+        found = _own[app] = f"file://{tempfile.mkdtemp(prefix='tidewake-')}"
+    return f"{found.rstrip('/')}/tidewake-{app}"
 
 
 def forget_work(spark: SparkSession) -> None:
