@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import small_batches, table, tidily
+from .common import give_back, small_batches, table, tidily
 from .hashing import LOWER, blocks
 
 SAMPLE, TRAIN_CHARS = 250, 4_000
@@ -197,7 +197,10 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, sample).collect()  # at most sample rows of each language, of TRAIN_CHARS
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    model = train([r["text"] for r in rows], [r["lang"] for r in rows])
+    del rows
+    give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, tidily, without
+from .common import give_back, small_batches, table, tidily, without
 from .hashing import LETTERS, blocks, mix, shingle_sets, words
 from . import hashing
 
-SAMPLE, TRAIN_CHARS = 3_000, 20_000
+SAMPLE, TRAIN_CHARS = 2_000, 10_000
 SIGNIFICANT = 16.0
 PREFIXES = (4, 5, 6)
 SPAN = 20
@@ -282,7 +282,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, sample).collect()  # at most sample rows of each label, of TRAIN_CHARS
-    return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
+    model = train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], np.int64))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
