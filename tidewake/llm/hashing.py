@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 _power = np.ones(1, _U)

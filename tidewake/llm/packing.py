@@ -34,7 +34,7 @@ CAPACITY, END_ID = 4096, 1
 PARTS = 128
 TOKENIZER = "word_bpe_49k.json"
 #: Words and chunks remembered by each worker at a time; only speed depends on it.
-REMEMBERED, CHUNKS = 800_000, 100_000
+REMEMBERED, CHUNKS = 400_000, 50_000
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
 
