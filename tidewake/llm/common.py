@@ -55,15 +55,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: Identifiers that may be broadcast: 8 bytes each, counted before.
-MOST_BROADCAST = 1_000_000
+#: Rows' keys that may be broadcast: about 100 bytes each, counted before.
+MOST_BROADCAST = 500_000
+#: With doc_id what names a row in a decision on rows: ids may be null or repeat.
+DIGEST = "_digest"
 
 
-def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in gone (one column). Few keys are sent to the texts; only many make the texts move."""
-    gone = written(gone.distinct(), "gone")
+def digested(docs: DataFrame) -> DataFrame:
+    """docs with a digest of the text, which is null if the text is."""
+    return docs.withColumn(DIGEST, F.md5("text"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of which gone has both doc_id and DIGEST (null equals null): of rows with one id only those with the text that was decided on go.
+
+    Few keys are sent to the texts; only many make the texts move.
+    """
+    gone = written(gone.select(F.col("doc_id").alias("_gone"), F.col(DIGEST).alias("_gone_digest")).distinct(), "gone")
     few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & F.md5("text").eqNullSafe(F.col("_gone_digest"))
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 #: Rows sent to Python at a time, unless the session says otherwise: texts are long.

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, let, table, without
+from .common import DIGEST, LOWER, UPPER, digested, let, table, without
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -91,9 +91,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that hold a window of the benchmark."""
-    found = scan(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return without(docs, found.where(F.size("covered") > 0).select("doc_id"))
+    """docs without the rows that hold a window of the benchmark, whatever their doc_id."""
+    found = scan(digested(docs.select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
+    return without(docs, found.where(F.size("covered") > 0).select("doc_id", DIGEST))
 
 
 SQL = r"""

@@ -14,12 +14,14 @@ row; an empty table gives an empty table; other columns of the input play no par
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, partitions, table, without, written
+from .common import DIGEST as TEXT_DIGEST
+from .common import SPACES, digested, partitions, table, without, written
 
 FAN_IN = 4
 #: sha256 of the text, and a second hash and the length that verify it.
@@ -30,10 +32,10 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest columns) of every row."""
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
-    return text.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("check_hash"), F.octet_length("t").alias("check_len"))
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, keep, digest columns) of every row."""
+    text = docs.select(F.col(id_col).alias("doc_id"), *keep, normalised(F.col(text_col)).alias("t"))
+    return text.select("doc_id", *keep, F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("check_hash"), F.octet_length("t").alias("check_len"))
 
 
 def rounds_for(spark: SparkSession) -> int:
@@ -44,11 +46,11 @@ def rounds_for(spark: SparkSession) -> int:
     return rounds
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of docs."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256, keep), one row per row of docs; keep: columns of docs."""
     spark = docs.sparkSession
     rounds = rounds_for(spark)
-    rows = digests(docs, id_col, text_col).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_IN**rounds)).cast("int"))
+    rows = digests(docs, id_col, text_col, keep).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_IN**rounds)).cast("int"))
     rows = written(rows, "digests")  # the texts are read and hashed once
     merged = rows.groupBy("run", *DIGEST).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     levels = [merged]
@@ -62,7 +64,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     verdicts = reduce(down, reversed(levels[:-1]), levels[-1])
     out = rows.join(verdicts, ["run", *DIGEST])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +72,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that stay."""
-    return without(docs, dedup(docs).where(~F.col("kept")).select("doc_id"))
+    """The rows of docs that stay, as dedup defines it for null and repeated ids."""
+    return without(docs, dedup(digested(docs), keep=[TEXT_DIGEST]).where(~F.col("kept")).select("doc_id", TEXT_DIGEST))
 
 
 SQL = r"""

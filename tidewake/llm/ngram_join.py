@@ -30,7 +30,7 @@ of its leader; a single text as a whole.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, partitions, small_batches, table, tidily, without, written
+from .common import DIGEST, digested, give_back, partitions, small_batches, table, tidily, without, written
 from .hashing import blocks, mix, shingle_sets
 
 #: 7 * overlap >= 3 * (sum of sizes) is a similarity of 0.75.
@@ -89,8 +89,8 @@ def merged(df: DataFrame, dtype: type, cells_: int, size: int) -> np.ndarray:
     return out
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, class) of every row, and the slices of every task's sketch."""
+def survey(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n, class, keep) of every row, and the slices of every task's sketch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch, waiting, held = np.zeros(WIDTH, np.int64), [], 0
         for pdf in batches:
@@ -104,14 +104,14 @@ def survey(docs: DataFrame) -> DataFrame:
                 if held > FLUSH:
                     sketch += np.bincount(np.concatenate(waiting), minlength=WIDTH)
                     waiting, held = [], 0
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "class": pd.array(names, "Int64"), "slice": pd.array([None] * len(n), "Int32"), "blob": None})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "class": pd.array(names, "Int64"), "slice": pd.array([None] * len(n), "Int32"), "blob": None} | {c: pdf[c] for c in keep})
         if held:
             sketch += np.bincount(np.concatenate(waiting), minlength=WIDTH)
         got = list(sliced(sketch, SLICE))
         if got:
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(got), "Int64"), "n": pd.array([None] * len(got), "Int64"), "class": pd.array([None] * len(got), "Int64"), "slice": [k for k, _ in got], "blob": [b for _, b in got]})
+            yield pd.DataFrame({"doc_id": pd.array([None] * len(got), "Int64"), "n": pd.array([None] * len(got), "Int64"), "class": pd.array([None] * len(got), "Int64"), "slice": [k for k, _ in got], "blob": [b for _, b in got]} | dict.fromkeys(keep))
 
-    return docs.select("doc_id", "text").mapInPandas(tidily(run), "doc_id long, n long, class long, slice int, blob binary")
+    return docs.select("doc_id", "text", *keep).mapInPandas(tidily(run), "doc_id long, n long, class long, slice int, blob binary" + "".join(f", {c} string" for c in keep))
 
 
 def levels_of(sketch: np.ndarray) -> np.ndarray:
@@ -457,15 +457,15 @@ def components_of(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("class"), F.col("v").alias("component")).unionByName(tops)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) of every row of docs; n_links: how many links of its class were verified (under a hot leader not all that there are)."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, keep) of every row of docs; keep: string columns of docs; n_links: how many links of its class were verified (under a hot leader not all that there are)."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    seen = written(survey(docs), "survey")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
+    seen = written(survey(docs, keep), "survey")
     levels = spark.sparkContext.broadcast(levels_of(merged(seen.where("slice is not null").select("slice", "blob"), np.int64, WIDTH, SLICE)))
     pairs = written(candidates(docs, levels), "candidates")
-    rows = seen.where("slice is null").select("doc_id", F.col("n").alias("n_shingles"), "class", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
+    rows = seen.where("slice is null").select("doc_id", F.col("n").alias("n_shingles"), "class", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), *keep)
     # parts of a class, so that a class of many copies is spread
     parts = rows.where("class is not null").groupBy("class", "part").agg(F.min("doc_id").alias("least"))
     classes = parts.groupBy("class").agg(F.min("least").alias("least"))
@@ -489,7 +489,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_part = parts.select("class", "part").join(named.select("class", "component", "n_links"), "class").join(ids, "component").select("class", "part", "component_id", "n_links")
     out = rows.join(by_part, ["class", "part"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -497,8 +497,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs with one document of each group of near copies."""
-    return without(docs, join(docs).where("doc_id != component_id").select("doc_id"))
+    """docs with one document of each group of near copies.
+
+    A null doc_id loses against any other; a group of nulls alone keeps every row, and so do rows that share a group's smallest doc_id.
+    """
+    found = join(digested(docs), keep=[DIGEST])
+    return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", DIGEST))
 
 
 SQL = r"""

@@ -20,7 +20,7 @@ table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, table, tidily, without
+from .common import DIGEST, digested, give_back, small_batches, table, tidily, without
 from .hashing import LETTERS, blocks, mix, shingle_sets, words
 from . import hashing
 
@@ -288,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, spans): spans of toxic words in code points, with their marginals."""
+def score(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, score, spans, keep): spans of toxic words in code points, with their marginals; keep: string columns of docs."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -307,9 +307,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         out.append({"start": chars, "end": chars + n, "p": p})
                         chars, at = chars + n, b
                     spans.append(out)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "spans": spans})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "spans": spans} | {c: pdf[c] for c in keep})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>")
+    schema = "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>" + "".join(f", {c} string" for c in keep)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInPandas(tidily(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,6 +321,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that the model finds toxic."""
+    """docs without the rows whose text the model finds toxic, whatever their doc_id."""
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return without(docs, score(docs, model).where("score >= 0.5").select("doc_id"))
+    return without(docs, score(digested(docs), model, [DIGEST]).where("score >= 0.5").select("doc_id", DIGEST))
