@@ -2,9 +2,12 @@
 
 All in SQL functions. Each kind's pattern is run once per text; where it matches,
 the text is split by the same pattern, and the lengths of the pieces and of the
-matches give the offsets. Quantifiers are possessive and a match can only begin
-where a run of its characters begins (or where the match before it ended), which
-finds the same matches as the plain patterns in time linear in the text.
+matches give the offsets. Quantifiers of the base kinds are possessive and a match can
+only begin where a run of its characters begins (or where the match before it ended),
+which finds the same matches as the plain patterns in time linear in the text. The
+pattern of iban tries the length of the country, so that a word after the number takes
+no part; codes without a known length end where the longest run of capitals and digits
+ends, at most 34 characters.
 
 The base kinds (email, ip, card, phone) are kept as their patterns and checks
 decide. The method adds kinds that a checksum or the context must confirm: iban
@@ -24,13 +27,28 @@ from pyspark.sql import functions as F
 
 from .common import let, table
 
+#: Length of an account number by country, and of national numbers written the same way.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    of = [f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items()]
+    other = f"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?:\\x20?[A-Z0-9]){{11,30}}"
+    return f"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*of, other])})(?![A-Za-z0-9])"
+
+
 # The patterns of the contract, in the form described above.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 BASE = ("email", "ip", "card", "phone")
