@@ -91,6 +91,27 @@ def test_trie_prunes_but_finds_all():
     assert sorted(ngram_join.Trie(sets).linked(query, None, 16)) == want
 
 
+def test_words_that_collide_for_polynomials_dont_link(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, word[:1024]), (4, other[:1024]), (5, word)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_hash_of_a_word_depends_on_its_bytes_alone():
+    rng = np.random.default_rng(5)
+    data = [bytes(rng.integers(97, 100, n, dtype=np.uint8)) for n in [*range(1, 80), 300]]
+    alone = [hashing.words([w], hashing.NOT_SPACE)[0][0] for w in data]
+    h, start, end, _, buf = hashing.words([b" ".join(data + data)], hashing.NOT_SPACE)
+    assert h.tolist() == alone + alone and len(set(h.tolist())) == len(set(data))
+    like = np.r_[np.arange(80), np.arange(80)]
+    eight = hashing.pieces(buf)
+    assert hashing.equal(buf, start, end, like, eight).all() and hashing.equal(buf, start, end, like[::-1], eight).sum() == sum(data[i] == data[79 - i] for i in range(80)) * 2
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["a b ab ba É é", "", "Ab AB"]
     h, start, end, first, _ = hashing.words([t.encode() for t in texts], hashing.NOT_SPACE)

@@ -22,6 +22,30 @@ def test_encoder_is_the_tokenizer():
         assert np.frombuffer(got, "<u4").tolist() == want, text
 
 
+def turns(n):
+    """Thue-Morse: 2 ** n letters."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_collide_for_polynomials_keep_their_own_ids():
+    encoder, t = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    one = turns(12)
+    two = one.translate(str.maketrans("ab", "ba"))
+    for text in (one, two, f"{two} {one}", one[:1024], two[:1024]):
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(packing.hashing, "mix", lambda x: x & np.uint64(3))
+    encoder, t = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    text = " ".join(f"word{i} {'x' * i}" for i in range(70)) + " word3 word3 xxxx"
+    for _ in range(2):
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="aAéÉ's1² .\n\t-ßÿ", max_size=60))
 def test_encoder_on_any_text(text):

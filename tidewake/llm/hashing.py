@@ -1,30 +1,27 @@
 """Words of many texts at once, in numpy: where they lie and a 64-bit hash of each.
 
-The texts of a block lie in one byte buffer. A word's hash is a polynomial over its
-bytes, taken from running sums (all modulo 2**64), then mixed. The memory is
-proportional to a block: about BLOCK_BYTES of text, or one text if that is longer.
+The texts of a block lie in one byte buffer. Words are read eight bytes at a time: a
+hash mixes one such piece after the other into its state, so that words of different
+bytes collide by chance only; words of more than LONG bytes are hashed by blake2b.
+`equal` compares the bytes themselves, for callers that must not trust a hash. The
+memory is proportional to a block: about BLOCK_BYTES of text, or one text if that is
+longer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
 BLOCK_BYTES = 1 << 19
-BASE = 0x9E3779B97F4A7C15
+LONG = 64
 _U = np.uint64
-_power = np.ones(1, _U)
-_inverse = np.ones(1, _U)
-
-
-def _grow(n: int) -> None:
-    global _power, _inverse
-    if len(_power) < n:
-        _power = np.full(n, BASE, _U)
-        _inverse = np.full(n, pow(BASE, -1, 1 << 64), _U)
-        _power[0] = _inverse[0] = 1
-        _power, _inverse = np.cumprod(_power), np.cumprod(_inverse)
+#: Odd factors of the length and of the state.
+BY_LENGTH, BY_STATE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+#: The first n bytes of a piece.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,12 +80,46 @@ def offsets(texts: list[bytes]) -> np.ndarray:
     return np.cumsum([0, *[len(t) + 1 for t in texts]])
 
 
-def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The hash of each span of a buffer."""
-    _grow(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * _power[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * _inverse[start] + (end - start).astype(_U))
+def pieces(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a buffer on, as one number; beyond its end are zeros."""
+    v = np.zeros(len(buf) + 8, _U)
+    v[: len(buf)] = buf
+    for n in (1, 2, 4):
+        v[:-n] |= v[n:] << _U(8 * n)
+    return v
+
+
+def spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """The hash of each span of a buffer; eight: pieces(buf), where the caller has it."""
+    eight = pieces(buf) if eight is None else eight
+    size = end - start
+    h = mix((eight[start] & FIRST[np.minimum(size, 8)]) ^ (size.astype(_U) * BY_LENGTH))
+    more = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(more):
+        h[more] = mix(h[more] * BY_STATE ^ (eight[start[more] + at] & FIRST[np.minimum(size[more] - at, 8)]))
+        at += 8
+        more = more[size[more] > at]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def equal(buf: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray, eight: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as the span numbered by like; eight: pieces(buf)."""
+    size = end - start
+    same = size == size[like]
+    left = np.flatnonzero(same & (np.arange(len(start)) != like))
+    at = 0
+    while len(left) and at < LONG:
+        keep = FIRST[np.minimum(size[left] - at, 8)]
+        same[left] &= (eight[start[left] + at] & keep) == (eight[start[like[left]] + at] & keep)
+        at += 8
+        left = left[size[left] > at]
+    for i in left.tolist():
+        j = like[i]
+        same[i] &= bool((buf[start[i] : end[i]] == buf[start[j] : end[j]]).all())
+    return same
 
 
 #: Odd factors that tell the places of a window apart.

@@ -9,8 +9,11 @@ numbers allow at once. Pieces of one length are interchangeable: each gets a ran
 among its length, and its rank tells its sequence and offset.
 
 Defined results: a null or empty text is one piece that holds the end id alone; equal
-rows are packed each for itself; an empty table gives an empty table; other columns
-play no part. Texts are encoded whole; ids do not depend on how rows are batched.
+rows are packed each for itself, and so are rows with a null doc_id; which of the pieces
+of one length takes which place is decided by a hash, then by doc_id, piece and crc; a
+very long text is encoded whole and gives as many pieces as it needs; an empty table
+gives an empty table; other columns play no part. Ids do not depend on how rows are
+batched: words that were encoded before are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ from . import hashing
 from .common import small_batches, table, tidily, written
 
 CAPACITY, END_ID = 4096, 1
-PARTS = 128
+#: The pieces of one length are ranked in parts of about this many.
+PART_ROWS, LEAST_PARTS = 50_000, 128
 TOKENIZER = "word_bpe_49k.json"
 #: Words and chunks remembered by each worker at a time; only speed depends on it.
-REMEMBERED, CHUNKS = 400_000, 50_000
+REMEMBERED, REMEMBERED_BYTES, CHUNKS = 300_000, 16_000_000, 50_000
 SPACE, LETTER, DIGIT, OTHER = range(4)
 
 
@@ -54,6 +58,20 @@ CLASS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = LETTER
 CLASS[0x30:0x3A] = DIGIT
 
 
+def alike(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of one span of each kind, kind of each span): spans of the same bytes are of one kind.
+
+    Hashes propose the kinds, their bytes confirm them.
+    """
+    eight = hashing.pieces(buf)
+    _, where, back = np.unique(hashing.spans(buf, start, end, eight), return_index=True, return_inverse=True)
+    other = np.flatnonzero(~hashing.equal(buf, start, end, where[back], eight))
+    if len(other):  # hashes collide: each of these is a kind of its own
+        back[other] = len(where) + np.arange(len(other))
+        where = np.r_[where, other]
+    return where, back
+
+
 class Encoder:
     """Ids (unsigned, 32 bits, little-endian) of texts; what was cut before is not encoded again."""
 
@@ -68,9 +86,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}  # hash of a word to its number
+        self.known: dict[bytes, int] = {}  # a word to its number
         self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)  # by number: where in the pool
-        self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.pool, self.used, self.held = np.zeros(1 << 18, np.uint32), 0, 0  # held: bytes of words
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -83,10 +101,10 @@ class Encoder:
             raise ValueError("the tokenizer cuts text in another way")
         return ids, stops
 
-    def learn(self, hashes: list[int], some: list[str]) -> None:
+    def learn(self, some: list[bytes]) -> None:
         """Put new words into the pool."""
         for k in range(0, len(some), 4_000):
-            ids, stops = self.of_words(some[k : k + 4_000])
+            ids, stops = self.of_words([w.decode() for w in some[k : k + 4_000]])
             n, m = len(self.known), len(stops)
             while len(self.pool) < self.used + len(ids):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -96,11 +114,12 @@ class Encoder:
             begin = np.r_[0, stops[:-1]]
             self.first[n : n + m], self.size[n : n + m] = self.used + begin, stops - begin
             self.used += len(ids)
-            self.known.update(zip(hashes[k : k + 4_000], range(n, n + m)))
+            self.held += sum(map(len, some[k : k + 4_000]))
+            self.known.update(zip(some[k : k + 4_000], range(n, n + m)))
 
     def by_bytes(self, texts: list[bytes]) -> list[bytes]:
         """Ids of lower-case texts that BY_BYTES admits."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.forget()
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         kind = CLASS[buf]
@@ -109,15 +128,11 @@ class Encoder:
         at = np.flatnonzero(turn)
         use = kind[at] != SPACE
         start, end = at[use], np.r_[at[1:], len(buf)][use]
-        hashes, where, back = np.unique(hashing.spans(buf, start, end), return_index=True, return_inverse=True)
-        names = hashes.tolist()
-        numbers = [self.known.get(h, -1) for h in names]
-        new = [k for k, n in enumerate(numbers) if n < 0]
-        if new:
-            data, a, b = buf.tobytes(), start[where[new]].tolist(), end[where[new]].tolist()
-            self.learn([names[k] for k in new], [data[i:j].decode() for i, j in zip(a, b)])
-            for k in new:
-                numbers[k] = self.known[names[k]]
+        where, back = alike(buf, start, end)
+        data, a, b = buf.tobytes(), start[where].tolist(), end[where].tolist()
+        names = [data[i:j] for i, j in zip(a, b)]
+        self.learn(list(dict.fromkeys(w for w in names if w not in self.known)))
+        numbers = [self.known[w] for w in names]
         word = np.array(numbers, np.int64)[back]
         size = self.size[word]
         stop = np.cumsum(size)
@@ -232,9 +247,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece."""
     spark = docs.sparkSession
     small_batches(spark)
-    cut = pieces(docs, capacity, tokenizer).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)).cast("int"))
-    cut = written(cut, "pieces")
-    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))  # capacity * PARTS rows at most
+    cut = written(pieces(docs, capacity, tokenizer), "pieces")
+    parts = max(LEAST_PARTS, cut.count() // PART_ROWS)
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most

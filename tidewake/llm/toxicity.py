@@ -42,14 +42,11 @@ _U = np.uint64
 def features(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of each feature kind, start, end, first): as hashing.words; a prefix no shorter than its word has the hash 0."""
     h, start, end, first, buf = words(texts, LETTERS)
-    sums = np.zeros(len(buf) + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * hashing._power[: len(buf)], out=sums[1:])
+    head = hashing.pieces(buf)[start]
     out = [h]
     for n in PREFIXES:
-        long = end - start > n
-        at = np.where(long, start, 0)
-        p = mix((sums[at + np.where(long, n, 0)] - sums[at]) * hashing._inverse[at] + _U(1_000_000 + n))
-        out.append(np.where(long, p, _U(0)))
+        p = mix((head & hashing.FIRST[n]) ^ _U((1 << 60) + n))
+        out.append(np.where(end - start > n, p, _U(0)))
     return out, start, end, first
 
 
