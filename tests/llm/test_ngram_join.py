@@ -61,7 +61,7 @@ def test_join_against_all_pairs(spark, monkeypatch, hot):
 
 def test_hot_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", 8)
-    monkeypatch.setattr(ngram_join, "SALT", 16)
+    monkeypatch.setattr(ngram_join, "TRIE_TOKENS", 700)
     rng = random.Random(1)
     base = [f"b{i}" for i in range(60)]
     texts = []
@@ -89,6 +89,38 @@ def test_trie_prunes_but_finds_all():
     sets = [np.unique(s).astype(np.uint64) for s in sets] + [query, query[:80]]
     want = [k for k, s in enumerate(sets) if 7 * len(np.intersect1d(s, query)) >= 3 * (len(s) + len(query))]
     assert sorted(ngram_join.Trie(sets).linked(query, None, 16)) == want
+    few = sets[0]
+    assert sorted(ngram_join.Trie([few[:9], few[:5], few, few[:1]]).linked(few)) == [2]
+    assert list(ngram_join.Trie([]).linked(query)) == []
+
+
+def test_a_hopeless_subtree_is_left_at_once(monkeypatch):
+    path = np.arange(1_000, 1_200, dtype=np.uint64)
+    below = [np.r_[path, np.arange(k, k + 30)].astype(np.uint64) for k in range(2_000, 200_000, 100)]
+    trie, looked = ngram_join.Trie(below), []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **k: looked.append(1) or search(a, v, **k))
+    assert list(trie.linked(np.arange(0, 900, dtype=np.uint64))) == []
+    assert len(trie.nodes) == 1 + len(below) and len(looked) <= 4  # one shared path was looked at, none of 1,980 branches
+    looked.clear()
+    assert list(trie.linked(below[7])) == list(range(len(below))) and len(looked) > len(below)
+    assert list(trie.linked(below[7], lambda of: True)) == list(range(len(below)))  # no groups: nothing is left out
+    own = ngram_join.Trie(below, [b"x"] * 5 + [b"y"] * (len(below) - 5))
+    assert sorted(own.linked(below[7], lambda of: of == b"y")) == [0, 1, 2, 3, 4]
+
+
+def test_texts_sent_for_a_passage_that_unlike_texts_share(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "levels_of", lambda counts, mean: np.zeros(len(counts), np.uint8))  # the worst order: the passage leads to candidates
+    sent = []
+    real = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: sent.append((name, out := real(df, name))) or out)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(25)) + f" {passage} " + " ".join(f"v{i}x{j}" for j in range(25))) for i in range(2_000)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("doc_id != component_id").count() == 0
+    count = {name: df.count() for name, df in sent}
+    assert count["texts"] <= 2_000 and count["candidates"] <= 2_000 * 12 and count["links"] == count["more-links"] == 0
 
 
 def test_words_that_collide_for_polynomials_dont_link(spark):

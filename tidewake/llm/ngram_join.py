@@ -1,36 +1,40 @@
 """N-gram Jaccard join by a prefix tree over globally ordered shingle sets.
 
 A document's set holds its five-word shingles as 64-bit tokens whose integer order is
-the global order: the upper LEVEL_BITS are a level of frequency, from a count-min
-sketch over every shingle of every document, so that frequent shingles come last; the
-rest is the shingle's hash. Documents with equal sets form one class and are joined
-as one.
+the global order: the upper LEVEL_BITS are a level of frequency, from a sketch over every
+shingle of every document, so that frequent shingles come last; the rest is the shingle's
+hash. The sketch has a counter for every PER_CELL shingles (MOST_CELLS at most). Documents
+with equal sets, by a name of 128 bits, form one class and are joined as one.
 
 1. Candidates. Two sets that reach the threshold share a token among the first
    n - ceil(0.75 n) + 1 of each. These tokens meet by hash, and for each pair the tokens
    that both prefixes share are counted; a pair is kept only if they and what remains
    of the sets behind their prefixes can reach the needed overlap. A token of more
    than HOT classes isn't paired up: its classes are listed under a leader.
-2. Verification. The candidates of one leader are put in lexicographic order, which is
-   their trie with each path written once: neighbours share the overlap counted down
-   to where they branch, and a branch whose remaining length can't reach the needed
-   overlap is cut.
+2. Verification. The candidates of one leader are stored in a trie, in which sets that
+   begin alike share a path. The leader walks down it: the overlap counted along a path
+   serves all sets below, and a subtree is left as soon as no size in it can reach the
+   needed overlap with the tokens that remain on both sides.
 3. Components of the links by alternating stars. A class under a leader that is not in
-   its leader's component is then compared with every class under that leader that
-   is in another component, again by the trie, and links found join the components.
-   So no link between components is lost, and no pair list of a large group is made.
+   its leader's component then walks down the trie of all classes under that leader,
+   where subtrees of its own component are left at once, and links found join the
+   components. So no link between components is lost, and no pair list of a large group
+   is made. The sets under a leader are dealt to tries of about TRIE_TOKENS tokens.
+
+Candidates name a class by half of its 128 bits; texts are looked up by that half and
+carry the whole name from there on, so two sets of one half are compared as two.
 
 Defined results: a null or blank text has an empty set, links with nothing and is its
 own component; equal rows and equal texts are one class; a null doc_id is never the
 smallest; an empty table gives an empty table; other columns play no part. Memory: a
-task holds one partition of tokens or one group of at most SALT sets and the queries
-of its leader; a single text as a whole.
+task holds one partition of tokens or one trie of about TRIE_TOKENS tokens (one set, if
+that is larger); a single text as a whole.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from hashlib import blake2b
 
 import numpy as np
@@ -42,22 +46,36 @@ from .common import DIGEST, digested, give_back, partitions, small_batches, tabl
 from .hashing import blocks, mix, shingle_sets
 
 #: 7 * overlap >= 3 * (sum of sizes) is a similarity of 0.75.
-WIDTH, SLICE = 1 << 22, 1 << 12
+PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 64, 1 << 16, 1 << 24, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
-HOT, SALT = 48, 512
+HOT, TRIE_TOKENS = 16, 1 << 21
 FLUSH = 1 << 20
+#: Parts of a component, so that a large one is spread.
+SUBS = 256
 _U = np.uint64
+EMPTY = blake2b(b"", digest_size=16).digest()
 NO_ID = -(1 << 62)
 
 
-def class_of(s: np.ndarray) -> int:
-    """64-bit name of a set."""
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def name_of(s: np.ndarray) -> bytes:
+    """128-bit name of a set."""
+    return blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def half_of(name: bytes) -> int:
+    """The half of a name that candidates carry."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
 
+def cells_for(size: int) -> int:
+    """Counters for texts of size bytes, a power of two; a shingle for every six bytes."""
+    want = size // 6 // PER_CELL
+    return min(MOST_CELLS, max(LEAST_CELLS, 1 << want.bit_length()))
 
-def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> _U(64 - 22)).astype(np.int64)
+
+def cells(hashes: np.ndarray, width: int) -> np.ndarray:
+    return (hashes >> _U(65 - width.bit_length())).astype(np.int64)
 
 
 def sliced(whole: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
@@ -66,66 +84,65 @@ def sliced(whole: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
             yield k, zlib.compress(part.tobytes(), 1)
 
 
-def merged(df: DataFrame, dtype: type, cells_: int, size: int) -> np.ndarray:
-    """Sums (or, for bits, unions) of the slices of all tasks, as one array of fixed size on the driver."""
+def merged(df: DataFrame, dtype: type, cells_: int, size: int, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """Sums (or, for bits, unions) of the slices of all tasks, each made bytes by finish, as one array of bytes of a fixed size on the driver."""
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, blob in zip(pdf["slice"], pdf["blob"]):
                 part = np.frombuffer(zlib.decompress(blob), dtype)
-                if k not in held:
-                    held[k] = part.copy()
-                elif dtype is np.uint8:
-                    held[k] |= part
-                else:
+                if dtype is np.uint8:
+                    held[k] = held[k] | part if k in held else part
+                elif k in held:
                     held[k] += part
+                else:
+                    held[k] = part.astype(np.int64)
         if held:
-            yield pd.DataFrame({"slice": list(held), "blob": [zlib.compress(v.tobytes(), 1) for v in held.values()]})
+            yield pd.DataFrame({"slice": list(held), "blob": [zlib.compress((finish(v) if finish else v).tobytes(), 1) for v in held.values()]})
 
-    out = np.zeros(cells_, dtype)
+    out = np.zeros(cells_, np.uint8)
     parts = df.repartition(partitions(df.sparkSession), "slice").mapInPandas(tidily(add), "slice int, blob binary")
     for r in parts.collect():  # at most cells_ / size rows of a fixed size
-        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["blob"]), dtype)
+        out[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(zlib.decompress(r["blob"]), np.uint8)
     return out
 
 
-def survey(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, n, class, keep) of every row, and the slices of every task's sketch."""
+def survey(docs: DataFrame, width: int, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n, name, class, keep) of every row, and the slices of every task's sketch."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch, waiting, held = np.zeros(WIDTH, np.int64), [], 0
+        sketch, waiting, held = np.zeros(width, np.int32), [], 0
         for pdf in batches:
             n, names = [], []
             for _, texts in blocks(pdf["text"]):
                 for s in shingle_sets(texts):
                     n.append(len(s))
-                    names.append(class_of(s) if len(s) else None)
-                    waiting.append(cells(s))
+                    names.append(name_of(s) if len(s) else None)
+                    waiting.append(cells(s, width))
                     held += len(s)
                 if held > FLUSH:
-                    sketch += np.bincount(np.concatenate(waiting), minlength=WIDTH)
+                    np.add.at(sketch, np.concatenate(waiting), 1)
                     waiting, held = [], 0
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "class": pd.array(names, "Int64"), "slice": pd.array([None] * len(n), "Int32"), "blob": None} | {c: pdf[c] for c in keep})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": n, "name": names, "class": pd.array([None if x is None else half_of(x) for x in names], "Int64"), "slice": pd.array([None] * len(n), "Int32"), "blob": None} | {c: pdf[c] for c in keep})
         if held:
-            sketch += np.bincount(np.concatenate(waiting), minlength=WIDTH)
+            np.add.at(sketch, np.concatenate(waiting), 1)
         got = list(sliced(sketch, SLICE))
         if got:
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(got), "Int64"), "n": pd.array([None] * len(got), "Int64"), "class": pd.array([None] * len(got), "Int64"), "slice": [k for k, _ in got], "blob": [b for _, b in got]} | dict.fromkeys(keep))
+            yield pd.DataFrame({"doc_id": pd.array([None] * len(got), "Int64"), "n": pd.array([None] * len(got), "Int64"), "name": None, "class": pd.array([None] * len(got), "Int64"), "slice": [k for k, _ in got], "blob": [b for _, b in got]} | dict.fromkeys(keep))
 
-    return docs.select("doc_id", "text", *keep).mapInPandas(tidily(run), "doc_id long, n long, class long, slice int, blob binary" + "".join(f", {c} string" for c in keep))
+    return docs.select("doc_id", "text", *keep).mapInPandas(tidily(run), "doc_id long, n long, name binary, class long, slice int, blob binary" + "".join(f", {c} string" for c in keep))
 
 
-def levels_of(sketch: np.ndarray) -> np.ndarray:
+def levels_of(counts: np.ndarray, mean: float) -> np.ndarray:
     """A level for each cell: 0 where the count is what collisions alone would make, then one more for each doubling of the excess."""
-    mean = sketch.mean()
-    excess, least = sketch.astype(np.float32) - np.float32(mean), max(12.0, 5 * mean**0.5)
-    out, high = np.zeros(len(sketch), np.uint8), np.flatnonzero(excess >= least)
+    excess, least = counts - mean, max(12.0, 5 * mean**0.5)
+    out, high = np.zeros(len(counts), np.uint8), np.flatnonzero(excess >= least)
     out[high] = np.minimum(1 + np.log2(excess[high] / least), (1 << LEVEL_BITS) - 1)
     return out
 
 
 def ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The set's tokens in the global order."""
-    return np.sort((levels[cells(s)].astype(_U) << _U(64 - LEVEL_BITS)) | (s >> _U(LEVEL_BITS)))
+    return np.sort((levels[cells(s, len(levels))].astype(_U) << _U(64 - LEVEL_BITS)) | (s >> _U(LEVEL_BITS)))
 
 
 def prefix(n: int) -> int:
@@ -149,10 +166,10 @@ def postings(docs: DataFrame, levels, buckets: int) -> DataFrame:
         for pdf in batches:
             for _, texts in blocks(pdf["text"]):
                 for s in shingle_sets(texts):
-                    if not len(s) or (name := class_of(s)) in seen:
+                    if not len(s) or (whole := name_of(s)) in seen:
                         continue
-                    seen.add(name)
-                    m = prefix(len(s))
+                    seen.add(whole)
+                    m, name = prefix(len(s)), half_of(whole)
                     tok.append(ordered(s, level)[:m])
                     cls.append(np.full(m, name, np.int64))
                     size.append(np.full(m, len(s), np.int32))
@@ -192,7 +209,7 @@ def pairs_in(tok: np.ndarray, cls: np.ndarray, size: np.ndarray) -> np.ndarray:
     by = by[np.lexsort((cls[by], size[by], tok[by]))]
     t, c, n = tok[by], cls[by], size[by].astype(np.int64)
     first = np.ones(len(t), bool)
-    first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])  # copies of a class from several tasks
+    first[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (n[1:] != n[:-1])  # copies of a class from several tasks
     t, c, n = t[first], c[first], n[first]
     start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
     length = np.diff(np.r_[start, len(t)])
@@ -236,7 +253,7 @@ def possible(rows: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, levels) -> DataFrame:
-    """(a, b, hot): the classes that may link, each pair once."""
+    """(a, b, hot, n): the classes that may link, each pair once; n: the size of b."""
     n = partitions(docs.sparkSession)
     buckets = 4 * n
 
@@ -263,47 +280,48 @@ def candidates(docs: DataFrame, levels) -> DataFrame:
             rows = rows[possible(rows)]
             for i in range(0, len(rows), FLUSH):
                 part = rows[i : i + FLUSH]
-                yield pd.DataFrame({"a": part[:, 0], "b": part[:, 1], "hot": (part[:, 2] >= LISTED).astype(np.int64)})
+                yield pd.DataFrame({"a": part[:, 0], "b": part[:, 1], "hot": (part[:, 2] >= LISTED).astype(np.int64), "n": part[:, 3] & 0xFFFFFFFF})
 
     met = postings(docs, levels, buckets).repartition(n, "bucket").mapInPandas(tidily(meet), "bucket int, blob binary")
-    return met.repartition(n, "bucket").mapInPandas(tidily(once), "a long, b long, hot long")
+    return met.repartition(n, "bucket").mapInPandas(tidily(once), "a long, b long, hot long, n long")
 
 
-def marks(names: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def marks(names: list[bytes], ids: np.ndarray) -> np.ndarray:
     """The bit of a class and the document that stands for it."""
-    return (mix(names.astype(np.int64).astype(_U) ^ mix(ids.astype(np.int64).astype(_U))) % _U(BITS)).astype(np.int64)
+    lo, hi = np.frombuffer(b"".join(names), "<u8").reshape(-1, 2).T
+    return (mix(lo ^ mix(hi ^ mix(ids.astype(np.int64).astype(_U)))) % _U(BITS)).astype(np.int64)
 
 
 def bits_of(wanted: DataFrame) -> np.ndarray:
-    """A bit for every row (class, doc_id); of fixed size."""
+    """A bit for every row (name, doc_id); of fixed size."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, any_ = np.zeros(BITS // 8, np.uint8), False
         for pdf in batches:
-            at = marks(pdf["class"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64))
+            at = marks(list(pdf["name"]), pdf["doc_id"].to_numpy(np.int64))
             np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype(np.uint8))
             any_ |= len(pdf) > 0
         got = list(sliced(bits, 1 << 14)) if any_ else []
         if got:
             yield pd.DataFrame(got, columns=["slice", "blob"])
 
-    return merged(wanted.select("class", "doc_id").mapInPandas(tidily(run), "slice int, blob binary"), np.uint8, BITS // 8, 1 << 14)
+    return merged(wanted.select("name", "doc_id").mapInPandas(tidily(run), "slice int, blob binary"), np.uint8, BITS // 8, 1 << 14)
 
 
 def texts_of(docs: DataFrame, bits) -> DataFrame:
-    """(class, text) of the classes in bits: packed texts, which are smaller than their sets."""
+    """(class, name, text) of the classes in bits: packed texts, which are smaller than their sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = bits.value
         for pdf in batches:
             for first, texts in blocks(pdf["text"]):
-                sets = shingle_sets(texts)
-                names = np.array([class_of(s) if len(s) else 0 for s in sets], np.int64)
+                names = [name_of(s) for s in shingle_sets(texts)]
                 at = marks(names, pdf["doc_id"].iloc[first : first + len(texts)].fillna(NO_ID).to_numpy(np.int64))
-                use = np.flatnonzero(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
-                use = [i for i in use.tolist() if len(sets[i])]
+                use = np.flatnonzero(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
+                use = [i for i in use if names[i] != EMPTY]
                 if use:
-                    yield pd.DataFrame({"class": names[use], "text": [zlib.compress(texts[i], 3) for i in use]})
+                    yield pd.DataFrame({"class": [half_of(names[i]) for i in use], "name": [names[i] for i in use], "text": [zlib.compress(texts[i], 3) for i in use]})
 
-    return docs.select("doc_id", "text").mapInPandas(tidily(run), "class long, text binary")
+    # of equal rows each gives a text
+    return docs.select("doc_id", "text").mapInPandas(tidily(run), "class long, name binary, text binary").dropDuplicates(["name"])
 
 
 def unpacked_sets(packed: list[bytes], levels: np.ndarray) -> list[np.ndarray]:
@@ -315,39 +333,70 @@ def unpacked_sets(packed: list[bytes], levels: np.ndarray) -> list[np.ndarray]:
 
 
 class Trie:
-    """Sets in lexicographic order: neighbours share the path down to where they branch."""
+    """Sets in lexicographic order as a radix tree: a node holds the tokens that all sets below it share from its parent on.
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        self.shared = [0]
-        for x, y in zip(self.sets, self.sets[1:]):
+    groups: of each set, for walks that leave out the sets of one group.
+    """
+
+    def __init__(self, sets: list[np.ndarray], groups: Sequence[bytes] | None = None):
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+        rows = [sets[i] for i in order]
+        shared = np.zeros(len(rows), np.int64)
+        for k, (x, y) in enumerate(zip(rows, rows[1:]), 1):
             m = min(len(x), len(y))
             differ = np.flatnonzero(x[:m] != y[:m])
-            self.shared.append(int(differ[0]) if len(differ) else m)
-
-    def linked(self, query: np.ndarray, skip: np.ndarray | None = None, chunk: int = 128) -> Iterator[int]:
-        """Numbers of the sets that reach the threshold with the query; those set in skip, also meanwhile, aren't looked at."""
-        counts, done = np.zeros(1, np.int64), 0
-        for k, s in enumerate(self.sets):
-            done = min(done, self.shared[k])  # tokens of this path that are counted already
-            need = -(-3 * (len(s) + len(query)) // 7)
-            if skip is not None and skip[self.order[k]] or min(len(s), len(query)) < need:
+            shared[k] = differ[0] if len(differ) else m
+        sizes = np.array([len(x) for x in rows], np.int64)
+        #: (tokens, depth above, least and most size below, sets that end here, children, group of all sets below or None)
+        self.nodes: list[tuple[np.ndarray, int, int, int, list[int], list[int], bytes | None]] = []
+        todo, self.roots = [], []
+        if rows:
+            cuts = np.r_[np.flatnonzero(shared == 0), len(rows)]
+            todo = [(int(a), int(b), 0, self.roots) for a, b in zip(cuts[:-1], cuts[1:])]
+        while todo:
+            a, b, above, siblings = todo.pop()
+            depth = int(shared[a + 1 : b].min()) if b - a > 1 else int(sizes[a])
+            ends, at = [], a
+            while at < b and sizes[at] == depth:
+                ends.append(order[at])
+                at += 1
+            below: list[int] = []
+            of = None if groups is None or len({groups[i] for i in order[a:b]}) > 1 else groups[order[a]]
+            siblings.append(len(self.nodes))
+            self.nodes.append((rows[a][above:depth], above, int(sizes[a:b].min()), int(sizes[a:b].max()), ends, below, of))
+            if at < b:
+                cuts = np.r_[at, at + 1 + np.flatnonzero(shared[at + 1 : b] == depth), b]
+                todo += [(int(x), int(y), depth, below) for x, y in zip(cuts[:-1], cuts[1:])]
+
+    def linked(self, query: np.ndarray, own: Callable[[bytes], bool] | None = None, chunk: int = 128) -> Iterator[int]:
+        """Numbers of the sets that reach the threshold with the query; subtrees of a group that own says is the query's aren't walked."""
+        n = len(query)
+
+        def hopeless(overlap: int, depth: int, used: int, least: int, most: int) -> bool:
+            """Whether no size from least to most can reach the threshold, with overlap counted down to depth and used tokens of the query passed."""
+            size = min(max(depth + n - used, least), most)
+            return 7 * (overlap + min(n - used, size - depth)) < 3 * (size + n)
+
+        walk = [(k, 0, 0) for k in self.roots]
+        while walk:
+            k, overlap, used = walk.pop()
+            tokens, depth, least, most, ends, below, of = self.nodes[k]
+            if own is not None and of is not None and own(of):
                 continue
-            run = [counts[: done + 1]]
-            overlap = int(counts[done])
-            while done < len(s):
-                rest = len(query) - int(np.searchsorted(query, s[done]))
-                if overlap + min(len(s) - done, rest) < need:
+            done = 0
+            while True:
+                if hopeless(overlap, depth + done, used, least, most):
+                    break
+                if done == len(tokens):
+                    if 7 * overlap >= 3 * (depth + done + n):
+                        yield from ends
+                    walk += [(c, overlap, used) for c in below]
                     break
-                part = s[done : done + chunk]
-                at = np.minimum(np.searchsorted(query, part), len(query) - 1)
-                run.append(overlap + np.cumsum(query[at] == part))
-                overlap = int(run[-1][-1])
+                part = tokens[done : done + chunk]
+                at = np.searchsorted(query, part)
+                overlap += int(np.count_nonzero(query[np.minimum(at, n - 1)] == part))
+                used = int(np.searchsorted(query, part[-1], side="right"))
                 done += len(part)
-            counts = np.concatenate(run)
-            if done == len(s) and overlap >= need:
-                yield self.order[k]
 
 
 def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[tuple]]:
@@ -365,23 +414,23 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[t
 
 
 def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
-    """(a, b): the pairs that reach the threshold."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).cast("int").alias("salts"))
+    """(a, b): names of the pairs that reach the threshold."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / TRIE_TOKENS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    members = members.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "b", "text")
+    members = members.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "name", "text")
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    leaders = leaders.join(texts, F.col("a") == F.col("class")).select("a", "salt", F.lit(0).alias("member"), F.col("a").alias("b"), "text")
+    leaders = leaders.join(texts, F.col("a") == F.col("class")).select("a", "salt", F.lit(0).alias("member"), "name", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
         for rows in grouped(batches, ["a", "salt"]):
-            if rows[0][2]:
-                continue
-            others = [r for r in rows if r[2]]
-            query, *sets = unpacked_sets([r[4] for r in rows[:1] + others], levels.value)
-            for k in Trie(sets).linked(query):
-                a.append(rows[0][0])
-                b.append(others[k][3])
+            sets = unpacked_sets([r[4] for r in rows], levels.value)
+            n = sum(not r[2] for r in rows)  # leaders come first; more than one only if their halves are equal
+            trie = Trie(sets[n:])
+            for leader, query in zip(rows[:n], sets[:n]):
+                for k in trie.linked(query):
+                    a.append(leader[3])
+                    b.append(rows[n + k][3])
             if len(a) > 10_000:
                 yield pd.DataFrame({"a": a, "b": b})
                 a, b = [], []
@@ -389,50 +438,55 @@ def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
             yield pd.DataFrame({"a": a, "b": b})
 
     together = members.unionByName(leaders).repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
-    return together.mapInPandas(tidily(run), "a long, b long")
+    return together.mapInPandas(tidily(run), "a binary, b binary")
 
 
 def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """(a, b): links across components among the classes under one hot leader."""
-    own = components.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-    lead = components.select(F.col("class").alias("a"), F.col("component").alias("ca"))
-    under = pairs.where("hot = 1").join(own, "b", "left").join(lead, "a", "left")
-    under = under.select("a", "b", F.coalesce("cb", "b").alias("cb"), F.coalesce("ca", "a").alias("ca"))
+    known = texts.select("class", "name").join(components, "name", "left").select("class", "name", F.coalesce("component", "name").alias("component"))
+    own = known.select(F.col("class").alias("b"), F.col("name").alias("b_name"), F.col("component").alias("cb"))
+    lead = known.select(F.col("class").alias("a"), F.col("component").alias("ca"))
+    under = pairs.where("hot = 1").join(own, "b").join(lead, "a").select("a", F.col("b_name").alias("name"), "n", "cb", (F.col("ca") != F.col("cb")).alias("away"))
     under = written(under, "under-leaders")
-    open_ = under.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ca") != F.col("cb"), 1)).alias("away"))
-    open_ = open_.where("away > 0").select("a", F.ceil(F.col("n") / SALT).cast("int").alias("salts"))
-    under = under.join(open_, "a")
-    members = under.select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "b", "cb")
-    queries = under.where("ca != cb").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), "b", "cb")
+    open_ = under.groupBy("a").agg(F.sum("n").alias("n"), F.max("away").alias("any"))
+    open_ = open_.where("any").select("a", F.ceil(F.col("n") / TRIE_TOKENS).cast("int").alias("salts"))
+    under = under.join(open_, "a").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
+    members = under.select("a", "salt", F.lit(1).alias("member"), "away", "name", "cb")
+    # a class that is away walks its own trie as a member, and those of the other salts
+    guests = under.where("away and salts > 1").select("a", "salt", "name", "cb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    guests = guests.where("other != salt").select("a", F.col("other").alias("salt"), F.lit(2).alias("member"), F.lit(True).alias("away"), "name", "cb")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in grouped(batches, ["a", "salt"]):
-            others = [r for r in rows if r[2]]
-            queries = [r for r in rows if not r[2]]
-            trie = Trie(unpacked_sets([r[5] for r in others], levels.value))
-            at = np.array([r[4] for r in others], np.int64)  # components, as far as they are joined here
-            joined: dict[int, int] = {}
+            n = sum(r[2] == 1 for r in rows)
+            sets = unpacked_sets([r[6] for r in rows[:n]], levels.value)
+            trie = Trie(sets, [r[5] for r in rows[:n]])
+            joined: dict[bytes, bytes] = {}  # components, as far as they are joined here
+
+            def top(x: bytes) -> bytes:
+                while x in joined:
+                    x = joined[x]
+                return x
+
             a, b = [], []
-            for q in queries:
-                own = q[4]
-                while own in joined:
-                    own = joined[own]
-                skip = at == own
-                for k in trie.linked(unpacked_sets([q[5]], levels.value)[0], skip):
-                    a.append(q[3])
-                    b.append(others[k][3])
-                    joined[int(at[k])] = own
-                    at[at == at[k]] = own
-                    skip[:] = at == own
+            for k, q in enumerate(rows):
+                if not q[3]:
+                    continue
+                query = sets[k] if k < n else unpacked_sets([q[6]], levels.value)[0]
+                for m in trie.linked(query, lambda of: top(of) == top(q[5])):  # noqa: B023
+                    a.append(q[4])
+                    b.append(rows[m][4])
+                    if top(rows[m][5]) != top(q[5]):
+                        joined[top(rows[m][5])] = top(q[5])
             if a:
                 yield pd.DataFrame({"a": a, "b": b})
 
-    rows = members.unionByName(queries).join(texts.withColumnRenamed("class", "b"), "b").select("a", "salt", "member", "b", "cb", "text")
-    return rows.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member").mapInPandas(tidily(run), "a long, b long")
+    rows = members.unionByName(guests).join(texts.select("name", "text"), "name").select("a", "salt", "member", "away", "name", "cb", "text")
+    return rows.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member").mapInPandas(tidily(run), "a binary, b binary")
 
 
 def components_of(links: DataFrame) -> DataFrame:
-    """(class, component) of every class that has a link; component: the smallest class reachable.
+    """(name, component) of every class that has a link; component: the smallest name reachable.
 
     Alternating stars: each round hangs every node's larger, then its smaller
     neighbours under the smallest of them, until nothing changes.
@@ -453,8 +507,8 @@ def components_of(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
-    tops = edges.select(F.col("v").alias("class"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("class"), F.col("v").alias("component")).unionByName(tops)
+    tops = edges.select(F.col("v").alias("name"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("name"), F.col("v").alias("component")).unionByName(tops)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -462,15 +516,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    seen = written(survey(docs, keep), "survey")
-    levels = spark.sparkContext.broadcast(levels_of(merged(seen.where("slice is not null").select("slice", "blob"), np.int64, WIDTH, SLICE)))
+    width = cells_for(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    seen = written(survey(docs, width, keep), "survey")
+    mean = (seen.agg(F.sum("n")).first()[0] or 0) / width
+    slices = seen.where("slice is not null").select("slice", "blob")
+    levels = spark.sparkContext.broadcast(merged(slices, np.int32, width, SLICE, lambda counts: levels_of(counts, mean)))  # MOST_CELLS bytes at most
     pairs = written(candidates(docs, levels), "candidates")
-    rows = seen.where("slice is null").select("doc_id", F.col("n").alias("n_shingles"), "class", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), *keep)
+    rows = seen.where("slice is null").select("doc_id", F.col("n").alias("n_shingles"), "name", "class", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"), *keep)
     # parts of a class, so that a class of many copies is spread
-    parts = rows.where("class is not null").groupBy("class", "part").agg(F.min("doc_id").alias("least"))
-    classes = parts.groupBy("class").agg(F.min("least").alias("least"))
+    parts = rows.where("name is not null").groupBy("name", "class", "part").agg(F.min("doc_id").alias("least"))
+    classes = parts.groupBy("name", "class").agg(F.min("least").alias("least"))
     ends = pairs.select(F.col("a").alias("class")).unionAll(pairs.select(F.col("b").alias("class"))).distinct()
-    bits = spark.sparkContext.broadcast(bits_of(classes.join(ends, "class").select("class", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))))
+    stand = classes.join(ends, "class").select("name", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
+    bits = spark.sparkContext.broadcast(bits_of(stand))
     texts = written(texts_of(docs, bits), "texts")
     links = written(verified(pairs, texts, levels), "links")
     components = components_of(links)
@@ -483,13 +541,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         links = links.unionByName(more).distinct()
         components = components_of(links)
 
-    ends = links.select(F.col("a").alias("class")).unionAll(links.select(F.col("b").alias("class")))
-    degree = ends.groupBy("class").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(components, "class", "left").join(degree, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_part = parts.select("class", "part").join(named.select("class", "component", "n_links"), "class").join(ids, "component").select("class", "part", "component_id", "n_links")
-    out = rows.join(by_part, ["class", "part"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *keep)
+    ends = links.select(F.col("a").alias("name")).unionAll(links.select(F.col("b").alias("name")))
+    degree = ends.groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
+    # smallest doc_id of a component: of its parts, of these, and back, so that no task gets a whole component
+    inside = components.join(classes, "name").withColumn("sub", F.pmod(F.xxhash64("name"), F.lit(SUBS)).cast("int"))
+    by_sub = inside.groupBy("component", "sub").agg(F.min("least").alias("least"))
+    ids = by_sub.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = inside.join(by_sub.select("component", "sub").join(ids, "component"), ["component", "sub"]).select("name", "component_id").join(degree, "name", "left")
+    by_part = parts.select("name", "part").join(classes.drop("class"), "name").join(named, "name", "left").select("name", "part", F.coalesce("component_id", "least").alias("component_id"), "n_links")
+    out = rows.join(by_part, ["name", "part"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *keep)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
