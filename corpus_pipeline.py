@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewake.llm import decontaminate, exact_dedup, ngram_join, packing, toxicity
-from tidewake.llm.common import table, written
+from tidewake.llm.common import forget_but_last, made, table, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -33,7 +33,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), len(made())
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget_but_last(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)

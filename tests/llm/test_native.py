@@ -105,9 +105,12 @@ ITEMS = [(3, "One two THREE four five six seven eight nine ten eleven twelve"),
 TEXTS = [None, "", "!!", "short item", "a short, item; and SHORT item", "One, two three four five six seven eight nine ten!", "é ü one two three four five six seven eight nine ten", "É ü one two three four five six seven eight nine ten eleven twelve", "a " * 30, "x " * 2000 + "short item", "one two three", "shortitem"]
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
-def test_decontaminate_against_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "MAX_SET", most)
+@pytest.mark.parametrize(("few", "numbers", "chunk"), [(200_000, 1 << 23, 1 << 12), (0, 1, 1)])
+def test_decontaminate_against_brute_force(spark, monkeypatch, few, numbers, chunk):
+    """Also with a set of 64 bits, which lets most windows through to the verification."""
+    monkeypatch.setattr(decontaminate, "FEW", few)
+    monkeypatch.setattr(decontaminate, "MOST_NUMBERS", numbers)
+    monkeypatch.setattr(decontaminate, "CHUNK", chunk)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.scan(docs_of(spark, TEXTS + TEXTS), bench).collect()
     assert len(got) == 2 * len(TEXTS)

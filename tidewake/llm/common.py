@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,18 +30,23 @@ _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """This application's folder for intermediate tables, in the shared folder; in a temporary one only where none is set."""
+    """This application's folder for intermediate tables, in the shared folder; without one, a temporary folder in local mode and the warehouse on a cluster, where machines share no other."""
     app = spark.sparkContext.applicationId
     found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
     if not found:
-        found = _own[app] = f"file://{tempfile.mkdtemp(prefix='tidewake-')}"
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        found = _own[app] = f"file://{tempfile.mkdtemp(prefix='tidewake-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{found.rstrip('/')}/tidewake-{app}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def forget_work(spark: SparkSession) -> None:
     """Delete the application's intermediate tables, once what was made of them is written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, work_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,9 +54,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_here = threading.local()
+
+
+def made() -> list[str]:
+    """The work tables that this thread has written."""
+    if not hasattr(_here, "made"):
+        _here.made = []
+    return _here.made
+
+
+def forget_but_last(spark: SparkSession, since: int) -> None:
+    """Delete the work tables that this thread has written since it had that many, but for the last one: what the others held is in it."""
+    *old, last = made()[since:]
+    for path in old:
+        delete(spark, path)
+    made()[since:] = [last]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -77,6 +102,43 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
+def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, most_bytes: int) -> list[tuple[str, object]]:
+    """(text, label) of at most size documents of each label, those with the smallest hashes of doc_id, and of at most most_bytes of whole texts in all.
+
+    known: (doc_id, label), with a row for each pair or several equal ones. Of rows that repeat a
+    doc_id the shortest text is taken, then that with the smallest digest; a text that doesn't fit
+    into what is left of most_bytes is passed over. Hashes below a bound that keeps about twice
+    as many as needed come to the driver, so no task sorts a label.
+    """
+    spark = docs.sparkSession
+    counts = {r[0]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
+    if not counts:
+        return []
+    whole = (1 << 64) - 1
+    bounds = {k: min(whole, whole * 2 * size // n) - (1 << 63) for k, n in counts.items()}
+    at = F.xxhash64(F.col("doc_id"))
+    near = F.lit(False)
+    for k, bound in bounds.items():
+        near = near | ((F.col(label) == F.lit(k)) & (at <= F.lit(bound)))
+    ids = sorted(((r[label], r["at"], r["doc_id"]) for r in known.where(near).select(label, at.alias("at"), "doc_id").distinct().collect()), key=lambda r: r[1:])  # about 2 * size rows of each label
+    chosen, left = [], dict.fromkeys(counts, size)
+    for k, _, doc_id in ids:
+        if left[k] > 0:
+            left[k] -= 1
+            chosen.append((doc_id, k))
+    kinds = f"doc_id {dict(known.dtypes)['doc_id']}, {label} {dict(known.dtypes)[label]}"
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(spark.createDataFrame(chosen, kinds)), "doc_id")
+    rows = rows.groupBy("doc_id", label).agg(F.min(F.struct(F.octet_length("text").alias("bytes"), F.md5("text").alias("digest"), "text")).alias("x"))
+    rows = written(rows.select("doc_id", label, F.xxhash64("doc_id").alias("at"), "x.bytes", "x.text"), "training")
+    picked, held = [], 0
+    for r in sorted(rows.select("doc_id", label, "at", "bytes").collect(), key=lambda r: (r["at"], r["doc_id"])):  # at most size rows of each label
+        if held + r["bytes"] <= most_bytes:
+            held += r["bytes"]
+            picked.append((r["doc_id"], r[label]))
+    texts = rows.join(F.broadcast(spark.createDataFrame(picked, kinds)), ["doc_id", label]).select(label, "at", "doc_id", "text").collect()  # at most most_bytes of texts
+    return [(r["text"], r[label]) for r in sorted(texts, key=lambda r: (str(r[label]), r["at"], r["doc_id"]))]
+
+
 #: Rows sent to Python at a time, unless the session says otherwise: texts are long.
 ARROW_ROWS, DEFAULT_ROWS = "2000", "10000"
 

@@ -1,21 +1,27 @@
 """Exact deduplication by a tree-merge of sorted digest runs.
 
-Every row gets a digest of its normalised text and belongs to a run. Within a
-run equal digests are merged first; then runs meet in rounds, FAN_IN at a time,
-and each merge keeps the smallest identifier and adds the counts, until one
-run is left. The verdicts then travel down the same tree, so the rows of one
-large group are spread over all runs and no task ever holds a whole group.
-
-Defined results: a null text counts as empty; equal rows are members of one
-group, and if they share the smallest doc_id too, all of them are kept; a null
-doc_id loses against any other, and a group of nulls alone keeps null and every
-row; an empty table gives an empty table; other columns of the input play no part.
+Every row gets a digest of its normalised text and belongs to a run, by a hash of its
+doc_id. A run is sorted by digest and holds each digest once, with the smallest
+identifier and the count of its rows. Then runs meet in rounds, FAN_IN partners at a
+time (runs whose numbers differ in the round's base-FAN_IN digit alone): a merge sorts
+the partners' rows together, keeps of equal digests the smallest identifier and adds the
+counts. Each round is written once and read by the next; after the last one run is left.
+Only its digests of more than one row go back to the first runs, so unique texts don't
+travel down, and the rows of one large group are spread over all runs: no task ever
+holds a whole group.
+
+Digests are verified at every level by two independent hashes and the length: rows
+are merged only if sha256, a second hash and the length in bytes all agree.
+
+Defined results: a null text counts as empty; a very long text is hashed whole; equal
+rows are members of one group, and if they share the smallest doc_id too, all of them are
+kept; a null doc_id loses against any other, and a group of nulls alone keeps null and
+every row; an empty table gives an empty table; other columns of the input play no part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +31,7 @@ from .common import SPACES, digested, partitions, table, without, written
 
 FAN_IN = 4
 #: sha256 of the text, and a second hash and the length that verify it.
-DIGEST = ["text_sha256", "check_hash", "check_len"]
+DIGEST = ["digest", "check_hash", "check_len"]
 
 
 def normalised(text: Column) -> Column:
@@ -35,7 +41,7 @@ def normalised(text: Column) -> Column:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, keep, digest columns) of every row."""
     text = docs.select(F.col(id_col).alias("doc_id"), *keep, normalised(F.col(text_col)).alias("t"))
-    return text.select("doc_id", *keep, F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("check_hash"), F.octet_length("t").alias("check_len"))
+    return text.select("doc_id", *keep, F.unhex(F.sha2("t", 256)).alias("digest"), F.xxhash64("t").alias("check_hash"), F.octet_length("t").alias("check_len"))
 
 
 def rounds_for(spark: SparkSession) -> int:
@@ -46,24 +52,26 @@ def rounds_for(spark: SparkSession) -> int:
     return rounds
 
 
+def merged(runs: DataFrame) -> DataFrame:
+    """The runs of `run` as one sorted run for each number, every digest once."""
+    level = runs.groupBy("run", *DIGEST).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    return written(level.sortWithinPartitions("run", *DIGEST), "digest-runs")
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256, keep), one row per row of docs; keep: columns of docs."""
-    spark = docs.sparkSession
-    rounds = rounds_for(spark)
+    rounds = rounds_for(docs.sparkSession)
     rows = digests(docs, id_col, text_col, keep).withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(FAN_IN**rounds)).cast("int"))
     rows = written(rows, "digests")  # the texts are read and hashed once
-    merged = rows.groupBy("run", *DIGEST).agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    levels = [merged]
+    first = level = merged(rows.select("run", *DIGEST, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size")))
     for _ in range(rounds):
-        level = levels[-1].withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int"))
-        levels.append(level.groupBy("run", *DIGEST).agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
-    # down the tree: each level takes its verdict from the one above
-    def down(above: DataFrame, level: DataFrame) -> DataFrame:
-        members = level.select(F.col("run").alias("own_run"), F.floor(F.col("run") / FAN_IN).cast("int").alias("run"), *DIGEST)
-        return members.join(above, ["run", *DIGEST]).select(F.col("own_run").alias("run"), *DIGEST, "keep_id", "group_size")
-
-    verdicts = reduce(down, reversed(levels[:-1]), levels[-1])
-    out = rows.join(verdicts, ["run", *DIGEST])
+        level = merged(level.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int")))
+    several = level.where("group_size > 1").select(*DIGEST, "keep_id", "group_size")
+    # a digest meets as many rows here as there are runs that hold it, and in the next join those of one run
+    verdicts = first.select("run", *DIGEST).join(several, DIGEST)
+    out = rows.join(verdicts.withColumn("found", F.lit(True)), ["run", *DIGEST], "left")
+    keep_id = F.when(F.col("found"), F.col("keep_id")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"), *keep)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *keep)
 
 

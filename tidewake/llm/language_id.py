@@ -5,12 +5,12 @@ together give a distribution over the languages, and a document's probabilities
 the mean over all its bytes. Everything is numpy: training is backpropagation through
 time with Adam, on random windows of a bounded sample of documents.
 
-Training takes at most SAMPLE documents of each language, those whose ids have the
-smallest hashes, and TRAIN_CHARS of each. Prediction reads every text whole, in windows
+Training takes whole texts of at most SAMPLE documents of each language, those whose ids
+have the smallest hashes, and at most TRAIN_BYTES in all. Prediction reads every text whole, in windows
 of WINDOW bytes that are laid side by side, BATCH at a time, so memory doesn't depend
 on how long a text is (but for the text itself).
 
-Defined results: `und` and a score of 0 for a text that is null or has no letter, and for
+Defined results: a row without doc_id counts as held out, as nothing is learned from it; `und` and a score of 0 for a text that is null or has no letter, and for
 every text if no language was learned; equal rows get equal results; ties go to the
 language that sorts first; an empty table gives an empty table; other columns play no
 part.
@@ -26,12 +26,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import give_back, small_batches, table, tidily
+from .common import give_back, small_batches, table, tidily, training_sample
 from .hashing import LOWER, blocks
 
-SAMPLE, TRAIN_CHARS = 250, 4_000
+SAMPLE, TRAIN_BYTES = 250, 8_000_000
 HIDDEN, WINDOW, BATCH = 10, 128, 1024
 ROUNDS, TRAIN_WINDOW, TRAIN_BATCH = 400, 48, 192
 #: Letters, and numbers that aren't digits, which isalpha tells apart.
@@ -148,7 +147,7 @@ class Model:
 
 def train(texts: list[str], langs: list[str], rounds: int = ROUNDS, hidden: int = HIDDEN, seed: int = 0) -> Model:
     languages = sorted(set(langs))
-    data = [folded(t[:TRAIN_CHARS].encode("utf-8", "surrogatepass")) for t in texts]
+    data = [folded(t.encode("utf-8", "surrogatepass")) for t in texts]
     of = {k: [d for d, x in zip(data, langs) if x == k and len(d) >= 8] for k in languages}
     languages = [k for k in languages if of[k]]
     rng, k = np.random.default_rng(seed), len(languages)
@@ -186,18 +185,13 @@ def train(texts: list[str], langs: list[str], rounds: int = ROUNDS, hidden: int
     return Model(languages, weights)
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, lang) of at most sample learnable documents of each language."""
-    ids = docs.where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) != 2").select("lang", "doc_id").distinct()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    rows = docs.select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(F.broadcast(chosen), ["lang", "doc_id"])
-    return rows.where("text is not null").orderBy("lang", "n", "text").select("text", "lang")
+def learnable(docs: DataFrame) -> DataFrame:
+    return docs.where("lang is not null and pmod(crc32(cast(doc_id as string)), 4) != 2").select("doc_id", "lang")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = training_rows(docs, sample).collect()  # at most sample rows of each language, of TRAIN_CHARS
-    model = train([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = training_sample(docs, learnable(docs), "lang", sample, TRAIN_BYTES)
+    model = train([t for t, _ in rows], [lang for _, lang in rows])
     del rows
     give_back()
     return model
@@ -219,4 +213,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(docs))
-    return found.select("doc_id", (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(True))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

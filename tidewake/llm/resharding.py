@@ -1,7 +1,7 @@
 """Resharding by minimum-cost flow.
 
 Rows lie in old shards; the new shards shall hold nearly equal bytes (the law
-`bytes`). Each old shard is cut into blocks by a hash of the identifier, BLOCKS at
+`bytes`). Each old shard is cut into blocks by a hash of identifier and text, BLOCKS at
 most in all, and only the blocks' sizes come to the driver. A minimum-cost flow
 from old shards to new ones, where a byte that stays costs nothing and a byte that
 moves costs one, says how many bytes go where; whole blocks, the largest first,
@@ -9,20 +9,23 @@ fill those amounts. Rows follow their block; a row's slot is its block's first s
 plus its place in the block, so no shard is ever sorted as a whole.
 
 Defined results: a null text has size 1; equal rows are placed side by side, in any
-order; an empty table gives an empty table; more shards than rows leave shards
-empty. Other columns of the input play no part in the placement.
+order, and rows that repeat a doc_id, or have none, each get a place of their own; a very
+long text makes its shard larger by itself at most; an empty table gives an empty table;
+more shards than rows leave shards empty. Other columns of the input play no part in the
+placement.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict, deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import delete, table, written
 
 #: The most blocks, whatever the input: what the driver holds and broadcasts.
 BLOCKS = 65_536
@@ -105,33 +108,59 @@ def place(blocks: list[tuple[int, int, int, int]], shards: int) -> tuple[dict[tu
     return places, moved
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, old_shard: Column | None, old_shards: int) -> DataFrame:
+def sized(docs: DataFrame, id_col: str, text_col: str, old_shard: Column | None, old_shards: int, whole: bool) -> DataFrame:
     key = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     old = (F.pmod(key, F.lit(old_shards)) if old_shard is None else old_shard).cast("int")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old_shard")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS // old_shards)).cast("int"))
+    row = [F.struct("*").alias("row")] if whole else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old.alias("old_shard"), *row)
+    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(BLOCKS // old_shards)).cast("int"))
 
 
-def reshard(docs: DataFrame, shards: int = NEW_SHARDS, old_shard: Column | None = None, old_shards: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, size, text_crc32, old_shard, shard, slot) of every row; old_shard: by default a hash of the identifier."""
+def reshard(docs: DataFrame, shards: int = NEW_SHARDS, old_shard: Column | None = None, old_shards: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, size, text_crc32, old_shard, shard, slot) of every row, and row, all its columns, if whole; old_shard: by default a hash of the identifier."""
     spark = docs.sparkSession
-    rows = sized(docs, id_col, text_col, old_shard, old_shards)
+    rows = sized(docs, id_col, text_col, old_shard, old_shards, whole)
     blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # BLOCKS rows at most
     places, _ = place([tuple(r) for r in blocks], shards)
     plan = spark.createDataFrame([(*k, *v) for k, v in places.items()], "old_shard int, block int, shard int, first long")
     order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
     placed = rows.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(plan), ["old_shard", "block"])
-    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("place")).alias("slot"))
+    return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("place")).alias("slot"), *(["row"] if whole else []))
 
 
 def rewrite(docs: DataFrame, path: str, **how) -> DataFrame:
-    """Write the shards that gain or lose rows to path, one folder each, and return their numbers and rows."""
-    placed = reshard(docs.select("doc_id", "text"), **how)
-    moved = placed.where(F.col("old_shard") != F.col("shard"))
-    touched = moved.select("shard").union(moved.select(F.col("old_shard").alias("shard"))).distinct()
-    rows = docs.join(placed.join(F.broadcast(touched), "shard").select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
-    return docs.sparkSession.read.parquet(path).groupBy("shard").count()
+    """Write the shards that gain or lose rows to path, one folder `shard=<number>` each, and return their numbers and how many rows they hold now.
+
+    Every row is written once with its own columns (own columns named shard and slot are
+    replaced), whatever its doc_id. Shards that nothing moves into or out of, and other folders
+    in path, stay as they are; a shard that loses all its rows loses its folder. New folders are
+    written beside path first and then take the place of the old ones one by one; docs may
+    come from path itself.
+    """
+    spark = docs.sparkSession
+    placed = written(reshard(docs, whole=True, **how), "placed")
+    moved = placed.where("old_shard != shard")
+    touched = [r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()]  # a row for each shard at most
+    rows = placed.where(F.col("shard").isin(touched))
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    stage = f"{path.rstrip('/')}_stage_{uuid.uuid4().hex}"
+    rows.select(*own, "shard", "slot").repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(stage)
+    counts = rows.groupBy("shard").count().collect()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    for k in sorted(touched):
+        new, old, aside = at(f"{stage}/shard={k}"), at(f"{path}/shard={k}"), at(f"{path}/_before_shard={k}")
+        if fs.exists(old) and not fs.rename(old, aside):
+            raise OSError(f"can't set {old} aside")
+        if fs.exists(new) and not fs.rename(new, old):
+            if fs.exists(aside):
+                fs.rename(aside, old)
+            raise OSError(f"can't put {new} in place")
+        fs.delete(aside, True)
+    delete(spark, stage)
+    return spark.createDataFrame([tuple(r) for r in counts], "shard int, count long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
