@@ -111,7 +111,7 @@ def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, mo
     as many as needed come to the driver, so no task sorts a label.
     """
     spark = docs.sparkSession
-    counts = {r[0]: r["n"] for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
+    counts = {r[0]: max(1, r["n"]) for r in known.groupBy(label).agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # a row for each label
     if not counts:
         return []
     whole = (1 << 64) - 1

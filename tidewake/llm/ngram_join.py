@@ -49,7 +49,7 @@ from .hashing import blocks, mix, shingle_sets
 PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 64, 1 << 16, 1 << 24, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
-HOT, TRIE_TOKENS = 16, 1 << 21
+HOT, TRIE_TOKENS = 48, 1 << 21
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
