@@ -61,6 +61,7 @@ def test_join_against_all_pairs(spark, monkeypatch, hot):
 
 def test_hot_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", 8)
+    monkeypatch.setattr(ngram_join, "LEADER_TOKENS", 500)
     monkeypatch.setattr(ngram_join, "TRIE_TOKENS", 700)
     rng = random.Random(1)
     base = [f"b{i}" for i in range(60)]

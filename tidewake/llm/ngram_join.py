@@ -14,12 +14,16 @@ with equal sets, by a name of 128 bits, form one class and are joined as one.
 2. Verification. The candidates of one leader are stored in a trie, in which sets that
    begin alike share a path. The leader walks down it: the overlap counted along a path
    serves all sets below, and a subtree is left as soon as no size in it can reach the
-   needed overlap with the tokens that remain on both sides.
+   needed overlap with the tokens that remain on both sides. Of the leaders under which
+   a class is listed the first is tried at once, the others only if they are in another
+   component then.
 3. Components of the links by alternating stars. A class under a leader that is not in
    its leader's component then walks down the trie of all classes under that leader,
    where subtrees of its own component are left at once, and links found join the
    components. So no link between components is lost, and no pair list of a large group
-   is made. The sets under a leader are dealt to tries of about TRIE_TOKENS tokens.
+   is made. The sets under a leader are dealt to tries of about TRIE_TOKENS tokens. Before
+   texts are sent to these tries, signatures of two bits for each token, whose differences
+   bound the overlap from above, leave out the sets that can't link with any other there.
 
 Candidates name a class by half of its 128 bits; texts are looked up by that half and
 carry the whole name from there on, so two sets of one half are compared as two.
@@ -49,10 +53,13 @@ from .hashing import blocks, mix, shingle_sets
 PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 64, 1 << 16, 1 << 24, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
-HOT, TRIE_TOKENS = 48, 1 << 21
+#: Tokens of the sets that one leader walks at a time, and of the tries in which sets under a leader meet each other.
+HOT, LEADER_TOKENS, TRIE_TOKENS = 12, 1 << 15, 1 << 21
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
+#: Bits of a signature at most.
+MOST_SIGNATURE = 1 << 16
 _U = np.uint64
 EMPTY = blake2b(b"", digest_size=16).digest()
 NO_ID = -(1 << 62)
@@ -307,21 +314,36 @@ def bits_of(wanted: DataFrame) -> np.ndarray:
     return merged(wanted.select("name", "doc_id").mapInPandas(tidily(run), "slice int, blob binary"), np.uint8, BITS // 8, 1 << 14)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Bits of a set, a power of two of them and about two for each token: a bit that two signatures don't share stands for a token that the sets don't share."""
+    size = min(MOST_SIGNATURE, max(256, 1 << (2 * len(s)).bit_length()))
+    out = np.zeros(size // 8, np.uint8)
+    at = (mix(s) & _U(size - 1)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out.tobytes()
+
+
+def folded(signature_: bytes, size: int) -> np.ndarray:
+    """A signature at a smaller size, as numbers of 64 bits."""
+    return np.bitwise_or.reduce(np.frombuffer(signature_, np.uint64).reshape(-1, size // 64), 0)
+
+
 def texts_of(docs: DataFrame, bits) -> DataFrame:
-    """(class, name, text) of the classes in bits: packed texts, which are smaller than their sets."""
+    """(class, name, signature, text) of the classes in bits: packed texts, which are smaller than their sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = bits.value
         for pdf in batches:
             for first, texts in blocks(pdf["text"]):
-                names = [name_of(s) for s in shingle_sets(texts)]
+                sets = shingle_sets(texts)
+                names = [name_of(s) for s in sets]
                 at = marks(names, pdf["doc_id"].iloc[first : first + len(texts)].fillna(NO_ID).to_numpy(np.int64))
                 use = np.flatnonzero(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
                 use = [i for i in use if names[i] != EMPTY]
                 if use:
-                    yield pd.DataFrame({"class": [half_of(names[i]) for i in use], "name": [names[i] for i in use], "text": [zlib.compress(texts[i], 3) for i in use]})
+                    yield pd.DataFrame({"class": [half_of(names[i]) for i in use], "name": [names[i] for i in use], "signature": [signature(sets[i]) for i in use], "text": [zlib.compress(texts[i], 3) for i in use]})
 
     # of equal rows each gives a text
-    return docs.select("doc_id", "text").mapInPandas(tidily(run), "class long, name binary, text binary").dropDuplicates(["name"])
+    return docs.select("doc_id", "text").mapInPandas(tidily(run), "class long, name binary, signature binary, text binary").dropDuplicates(["name"])
 
 
 def unpacked_sets(packed: list[bytes], levels: np.ndarray) -> list[np.ndarray]:
@@ -415,8 +437,9 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[t
 
 def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """(a, b): names of the pairs that reach the threshold."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / TRIE_TOKENS).cast("int").alias("salts"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / LEADER_TOKENS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    texts = texts.select("class", "name", "text")
     members = members.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "name", "text")
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     leaders = leaders.join(texts, F.col("a") == F.col("class")).select("a", "salt", F.lit(0).alias("member"), "name", "text")
@@ -441,9 +464,21 @@ def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     return together.mapInPandas(tidily(run), "a binary, b binary")
 
 
+def placed(texts: DataFrame, components: DataFrame) -> DataFrame:
+    """(class, name, component) of every text."""
+    return texts.select("class", "name").join(components, "name", "left").select("class", "name", F.coalesce("component", "name").alias("component"))
+
+
+def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs whose classes are in different components."""
+    a = known.select(F.col("class").alias("a"), F.col("component").alias("ca"))
+    b = known.select(F.col("class").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(a, "a").join(b, "b").where("ca != cb").select(pairs.columns).distinct()
+
+
 def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """(a, b): links across components among the classes under one hot leader."""
-    known = texts.select("class", "name").join(components, "name", "left").select("class", "name", F.coalesce("component", "name").alias("component"))
+    known = placed(texts, components)
     own = known.select(F.col("class").alias("b"), F.col("name").alias("b_name"), F.col("component").alias("cb"))
     lead = known.select(F.col("class").alias("a"), F.col("component").alias("ca"))
     under = pairs.where("hot = 1").join(own, "b").join(lead, "a").select("a", F.col("b_name").alias("name"), "n", "cb", (F.col("ca") != F.col("cb")).alias("away"))
@@ -451,10 +486,35 @@ def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, level
     open_ = under.groupBy("a").agg(F.sum("n").alias("n"), F.max("away").alias("any"))
     open_ = open_.where("any").select("a", F.ceil(F.col("n") / TRIE_TOKENS).cast("int").alias("salts"))
     under = under.join(open_, "a").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
-    members = under.select("a", "salt", F.lit(1).alias("member"), "away", "name", "cb")
+    members = under.select("a", "salt", F.lit(1).alias("member"), "away", "name", "cb", "n")
     # a class that is away walks its own trie as a member, and those of the other salts
-    guests = under.where("away and salts > 1").select("a", "salt", "name", "cb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-    guests = guests.where("other != salt").select("a", F.col("other").alias("salt"), F.lit(2).alias("member"), F.lit(True).alias("away"), "name", "cb")
+    guests = under.where("away and salts > 1").select("a", "salt", "name", "cb", "n", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    guests = guests.where("other != salt").select("a", F.col("other").alias("salt"), F.lit(2).alias("member"), F.lit(True).alias("away"), "name", "cb", "n")
+    every = members.unionByName(guests)
+
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
+
+    def promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in grouped(batches, ["a", "salt"]):
+            n = sum(r[2] == 1 for r in rows)
+            sizes, owners = np.array([r[6] for r in rows], np.int64), np.array([r[5] for r in rows], object)
+            width = min(8 * len(r[7]) for r in rows)
+            marks_ = np.stack([folded(r[7], width) for r in rows])
+            asks, asked = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
+            for k in np.flatnonzero([r[3] for r in rows]).tolist():
+                differ = np.bitwise_count(marks_[:n] ^ marks_[k]).sum(1, dtype=np.int64)
+                most = np.minimum((sizes[:n] + sizes[k] - differ) // 2, np.minimum(sizes[:n], sizes[k]))
+                hit = (7 * most >= 3 * (sizes[:n] + sizes[k])) & (owners[:n] != owners[k])
+                if hit.any():
+                    asks[k] = True
+                    asked[:n] |= hit
+            use = np.flatnonzero(asks | asked).tolist()
+            if use:
+                yield pd.DataFrame([(*rows[k][:3], bool(asks[k]), *rows[k][4:6]) for k in use], columns=["a", "salt", "member", "away", "name", "cb"])
+
+    light = together(every.join(texts.select("name", "signature"), "name").select("a", "salt", "member", "away", "name", "cb", "n", "signature"))
+    left = written(light.mapInPandas(tidily(promising), "a long, salt int, member int, away boolean, name binary, cb binary"), "promising")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in grouped(batches, ["a", "salt"]):
@@ -481,8 +541,8 @@ def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, level
             if a:
                 yield pd.DataFrame({"a": a, "b": b})
 
-    rows = members.unionByName(guests).join(texts.select("name", "text"), "name").select("a", "salt", "member", "away", "name", "cb", "text")
-    return rows.repartition(partitions(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member").mapInPandas(tidily(run), "a binary, b binary")
+    rows = left.join(texts.select("name", "text"), "name").select("a", "salt", "member", "away", "name", "cb", "text")
+    return together(rows).mapInPandas(tidily(run), "a binary, b binary")
 
 
 def components_of(links: DataFrame) -> DataFrame:
@@ -530,7 +590,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stand = classes.join(ends, "class").select("name", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
     bits = spark.sparkContext.broadcast(bits_of(stand))
     texts = written(texts_of(docs, bits), "texts")
-    links = written(verified(pairs, texts, levels), "links")
+    # under leaders the first one, then those in other components
+    listed = pairs.where("hot = 1")
+    first = listed.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n"))
+    first = pairs.where("hot = 0").select("a", "b", "n").unionByName(first.select("a", "b", "n"))
+    links = written(verified(first, texts, levels), "first-links")
+    components = components_of(links)
+    others = written(apart(listed.select("a", "b", "n"), placed(texts, components)), "others")
+    links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
     components = components_of(links)
     more = written(rest_of_hot(pairs, components, texts, levels), "more-links")
     for held in (levels, bits):  # all that reads them is written
