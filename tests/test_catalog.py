@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from tidewake import catalog
+from tidewake import cases, catalog  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -87,7 +87,7 @@ def test_search_code_plan(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],)], "v array<float>")
     assert [round(x, 6) for x in df.select(vectors.normalised(F.col("v"))).first()[0]] == [0.6, 0.8]
-    assert df.select(vectors.dot(F.col("v"), vectors.literal([1.0]))).first()[0] is None
+    assert df.select(vectors.dot(F.col("v"), vectors.literal([1.0, 1.0]))).first()[0] == 7.0
     with pytest.raises(Exception, match="finite"):
         spark.createDataFrame([([0.0, 0.0],)], "v array<float>").select(vectors.normalised(F.col("v"))).collect()
     pooled = spark.createDataFrame([([[1.0, 0.0], [0.0, 1.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<float>>, m array<int>").select(vectors.mean_pooled(F.col("t"), F.col("m"))).first()[0]

@@ -130,15 +130,18 @@ CELLS, PROBES = 8, 7
 def celled(spark: SparkSession, sf: str) -> tuple[DataFrame, list[list[float]]]:
     """The collection with its cells, and their centres."""
     e = vectors(spark, sf)
-    centres = [r["embedding"] for r in e.orderBy(F.xxhash64("vec_id")).limit(CELLS).collect()]
+    centres = [r["embedding"] for r in e.orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(CELLS).collect()]
     return retrieval.assign_cells(e, centres, "embedding"), centres
 
 
-@query()
+@query(f"""WITH k AS (SELECT embedding AS c, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) - 1 AS n FROM embeddings QUALIFY n < 8),
+p AS (SELECT n FROM k, (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) ORDER BY list_dot_product(c::DOUBLE[], q::DOUBLE[]) DESC, n LIMIT 7),
+a AS (SELECT vec_id, arg_max(n, (list_dot_product(embedding::DOUBLE[], c::DOUBLE[]), -n)) AS n FROM embeddings, k GROUP BY vec_id)
+SELECT vec_id, label, score FROM {SCORED} JOIN a USING (vec_id) JOIN p USING (n) ORDER BY score DESC, vec_id LIMIT 10""")
 def knn_cells(spark, sf):
     """Approximate: rows of the PROBES cells nearest to the query, of CELLS centres."""
     rows, centres = celled(spark, sf)
-    return retrieval.approximate(rows, query_vector(spark, sf), centres, PROBES, id_col="vec_id", vector="embedding").select("vec_id", "label", "score")
+    return retrieval.approximate(rows, query_vector(spark, sf), centres, PROBES, id_col="vec_id", vector="embedding", digits=6).select("vec_id", "label", "score")
 
 
 @query(f"SELECT path, extension FROM {FILES} WHERE extension IN ('.en', '.de') AND (path = 'src1' OR starts_with(path, 'src1/') OR starts_with(path, 'src10/'))")
@@ -179,11 +182,15 @@ def hybrid_rrf(spark, sf):
     return lexical.hybrid(dense, sparse, 10).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT source AS relative_path, CAST(doc_id AS INTEGER) AS rank, CAST(doc_id * 37 % 200 AS INTEGER) AS s, CAST(doc_id * 37 % 200 + len(text) % 60 AS INTEGER) AS e, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT relative_path, n, rank, TRUE AS kept, [{'s': s, 'e': e}] AS have FROM d WHERE n = 1
+UNION ALL SELECT relative_path, n, rank, ok, CASE WHEN ok THEN list_append(have, {'s': s, 'e': e}) ELSE have END FROM (
+SELECT d.*, r.have, len(list_filter(r.have, lambda k: least(k.e, d.e) - greatest(k.s, d.s) + 1 > 0 AND (least(k.e, d.e) - greatest(k.s, d.s) + 1) * 2 > d.e - d.s + 1)) = 0 AS ok FROM r JOIN d ON d.relative_path = r.relative_path AND d.n = r.n + 1))
+SELECT d.relative_path, d.rank, s AS start_line, e AS end_line FROM d JOIN r USING (relative_path, rank) WHERE kept""")
 def min_line_overlap_dedupe(spark, sf):
-    """Results on line ranges of one file each, ranked by hash; checked against a loop in the tests."""
+    """Results on line ranges of one file each."""
     d = table(spark, sf, "documents")
-    start = (F.pmod(F.xxhash64("doc_id"), F.lit(200))).cast("int")
+    start = (F.col("doc_id") * 37 % 200).cast("int")
     rows = d.select(F.col("source").alias("relative_path"), F.col("doc_id").cast("int").alias("rank"), start.alias("start_line"), (start + F.pmod(F.length("text"), F.lit(60)).cast("int")).alias("end_line"))
     return retrieval.without_overlaps(rows)
 
@@ -401,7 +408,8 @@ def flagged(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Rows of which a third have a root and those labelled a flag, and entries for half of the conversations."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", F.concat("source", F.lit(":"), "lang").alias("conversation_id"), F.when(F.col("doc_id") % 3 == 0, "/root").otherwise("").alias("workspace_root"), (F.col("toxic") == 1).alias("archived"))
     entries = rows.where("conversation_id < 'src15'").groupBy("conversation_id").agg(F.lit("/new").alias("workspace_root"), F.lit(True).alias("archived"))
-    return rows, entries
+    # a conversation that was sent twice has two entries
+    return rows, entries.unionByName(entries.withColumn("workspace_root", F.lit("/alt")))
 
 
 FLAGGED = "WITH r AS (SELECT doc_id, source || ':' || lang AS conversation_id, CASE WHEN doc_id % 3 = 0 THEN '/root' ELSE '' END AS workspace_root, toxic = 1 AS archived FROM documents LEFT JOIN labels USING (doc_id))\n"
@@ -437,24 +445,51 @@ def removal_prefix(spark, sf):
 # -- shaping -------------------------------------------------------------------------------------
 
 
-@query()
+#: What a file's bytes are cut into: (path, at, bytes), by the last character that ends in the budget.
+CUT_AT = f"""WITH RECURSIVE f AS (SELECT path, content, strlen(content) AS total FROM {FILES}),
+c AS (SELECT path, total, unnest(string_split(content, '')) AS ch, generate_subscripts(string_split(content, ''), 1) AS i FROM f WHERE total > 1152),
+b AS (SELECT path, total, CAST(sum(strlen(ch)) OVER (PARTITION BY path ORDER BY i) AS BIGINT) AS off FROM c UNION ALL SELECT path, total, 0 FROM f WHERE total > 1152),
+nxt AS (SELECT x.path, x.off, y.off AS following FROM (SELECT path, off, off + 1152 AS most FROM b WHERE off < total) x ASOF JOIN b y ON x.path = y.path AND x.most >= y.off),
+r AS (SELECT path, off, following FROM nxt WHERE off = 0 UNION ALL SELECT r.path, nxt.off, nxt.following FROM r JOIN nxt ON nxt.path = r.path AND nxt.off = r.following)
+"""
+
+
+@query(CUT_AT + "SELECT path, CAST(off + 1 AS INTEGER) AS split_part, CAST(following - off AS INTEGER) AS bytes FROM r UNION ALL SELECT path, NULL, CAST(total AS INTEGER) FROM f WHERE total <= 1152 OR total IS NULL")
 def byte_budget_split(spark, sf):
     rows = files(spark, sf).select("path", "content", F.lit(None).cast("int").alias("split_part"))
     return shaping.split_rows(rows, 1152).select("path", "split_part", F.octet_length("content").alias("bytes"))
 
 
-@query()
+@query(f"""WITH RECURSIVE f AS (SELECT path, regexp_extract_all(regexp_replace(content, '[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]', ' ', 'g'), '[^\n]*\n|[^\n]+$') AS ls FROM {FILES}),
+l AS (SELECT path, generate_subscripts(ls, 1) AS i, len(unnest(ls)) AS n FROM f), c AS (SELECT path, i, CAST(sum(n) OVER (PARTITION BY path ORDER BY i) AS BIGINT) AS upto, CAST(coalesce(sum(n) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM l),
+m AS (SELECT path, max(i) AS lines FROM c GROUP BY path),
+w AS (SELECT x.path, x.i AS first, greatest(x.i, coalesce(y.i, 0)) AS last FROM (SELECT path, i, before + 2500 AS most FROM c) x ASOF LEFT JOIN c y ON x.path = y.path AND x.most >= y.upto),
+g AS (SELECT w.path, w.first, w.last, min(b.i) AS back FROM w JOIN c z ON z.path = w.path AND z.i = w.last JOIN c b ON b.path = w.path AND b.i > w.first AND b.i <= w.last AND z.upto - b.before <= 300 GROUP BY ALL),
+s AS (SELECT w.path, w.first, w.last, CASE WHEN w.last < lines THEN coalesce(g.back, w.last + 1) END AS following FROM w JOIN m USING (path) LEFT JOIN g USING (path, first, last)),
+r AS (SELECT path, first, last, following FROM s WHERE first = 1 UNION ALL SELECT s.path, s.first, s.last, s.following FROM r JOIN s ON s.path = r.path AND s.first = r.following)
+SELECT path, CAST(first AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line, sha256(array_to_string(ls[first:last], '')) AS hash FROM r JOIN f USING (path) WHERE regexp_matches(array_to_string(ls[first:last], ''), '\\S')""")
 def file_line_chunks(spark, sf):
-    return shaping.file_chunks(files(spark, sf)).select("path", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
+    """Of line ends only \\n is left, which is what the SQL knows."""
+    f = files(spark, sf).withColumn("content", F.regexp_replace("content", "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\u2028\u2029]", " "))
+    return shaping.file_chunks(f).select("path", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
+
+
+def packing_sql(cost: str, budget: int, most: int) -> str:
+    """Documents of each source in order, in groups within the budget and of at most so many."""
+    return f"""WITH RECURSIVE d AS (SELECT source, doc_id, CAST({cost} AS BIGINT) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT source, doc_id, n, CAST(0 AS BIGINT) AS "group", c AS used, CAST(1 AS BIGINT) AS held FROM d WHERE n = 1
+UNION ALL SELECT source, doc_id, n, CASE WHEN fresh THEN "group" + 1 ELSE "group" END, CASE WHEN fresh THEN c ELSE used + c END, CASE WHEN fresh THEN 1 ELSE held + 1 END FROM (
+SELECT d.*, r."group", r.used, r.held, r.used + d.c > {budget} OR r.held >= {most} AS fresh FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1))
+SELECT source, doc_id, "group" FROM r"""
 
 
-@query()
+@query(packing_sql("CASE WHEN doc_id % 4 = 0 THEN 0 ELSE greatest(1, (strlen(text) + 3) // 4) END", 6000, 32))
 def pack_tokens(spark, sf):
     rows = files(spark, sf).select("source", "doc_id", "content")
     return shaping.packed_by_tokens(rows, "source", "doc_id", F.col("doc_id") % 4 == 0).select("source", "doc_id", "group")
 
 
-@query()
+@query(packing_sql("strlen(text)", 65_536, 1 << 40))
 def pack_bytes(spark, sf):
     rows = files(spark, sf).select("source", "doc_id", F.octet_length("content").alias("bytes"))
     return shaping.packed_by_bytes(rows, "source", "doc_id", F.col("bytes"), 65_536).select("source", "doc_id", "group")
@@ -468,18 +503,36 @@ def conversation_rows(spark, sf):
     return shaping.message_rows(m, 1_000_000)
 
 
-@query(f"SELECT conversation_id, message_index, role, text, FALSE AS has_derived FROM {MESSAGES}")
+@query(f"SELECT conversation_id, message_index, role, text, starts_with(conversation_id, 'claude:') AS has_derived FROM {MESSAGES}")
 def message_reassembly(spark, sf):
-    return shaping.reassembled(shaping.message_rows(messages(spark, sf), 100))
+    """Messages cut into pieces of 100 bytes and put together again; a third also have a tool call."""
+    tool = F.struct(F.lit("run").alias("name"), F.repeat(F.lit("é x "), 60).alias("display"), F.lit("").alias("lang_hint"), F.lit("out").alias("output"), F.lit(False).alias("is_error"))
+    m = messages(spark, sf).withColumn("tools", F.when(F.startswith("conversation_id", F.lit("claude:")), F.array(tool)))
+    return shaping.reassembled(shaping.message_rows(m, 100))
+
+
+@query(f"""SELECT conversation_id, message_index, 'convtool/' || conversation_id || '/' || message_index || '/0' AS relative_path, CASE WHEN message_index % 2 = 0
+THEN concat_ws(chr(10), 'run', 'cat', 'grep', '/out/' || message_index, 'out/' || message_index, 'cat ' || role || '.txt | grep x > out/' || message_index)
+ELSE concat_ws(chr(10), 'run', 'cat ' || role || '.txt | grep x > out/' || message_index) END AS content FROM {MESSAGES}""")
+def tool_rows(spark, sf):
+    """Calls of a shell give its programs and files beside the command; what a call put out is left out."""
+    command = F.concat(F.lit("cat "), "role", F.lit(".txt | grep x > out/"), F.col("message_index").cast("string"))
+    tool = F.struct(F.lit(" run ").alias("name"), command.alias("display"), F.when(F.col("message_index") % 2 == 0, "bash").otherwise("sql").alias("lang_hint"), F.lit("what it put out").alias("output"), F.lit(False).alias("is_error"))
+    m = messages(spark, sf).withColumn("tools", F.array(tool)).withColumn("text", F.lit(" "))
+    return shaping.message_rows(m, 1_000_000).select("conversation_id", "message_index", "relative_path", "content")
 
 
 # -- gates and guards ----------------------------------------------------------------------------
 
-REASON = "CASE WHEN extension = '.fr' THEN 'ignored' WHEN strlen(content) > 4000 THEN 'oversize' END"
+REASON = "CASE WHEN doc_id % 17 = 0 THEN 'out_of_scope' WHEN extension = '.fr' THEN 'ignored' WHEN strlen(content) > 4000 THEN 'oversize' WHEN doc_id % 13 = 0 THEN 'non_utf8' END"
 
 
 def reasons(spark, sf) -> tuple[DataFrame, Column]:
-    return files(spark, sf), gates.verdict(F.col("path"), F.octet_length("content"), F.is_valid_utf8("content"), excluded=F.endswith("path", F.lit(".fr")), limit=4000)
+    """Files of which some lie in .git, and some end in a byte that isn't UTF-8."""
+    f = files(spark, sf)
+    path = F.when(F.col("doc_id") % 17 == 0, F.concat(F.lit("a/.git/"), "path")).otherwise(F.col("path"))
+    text = F.when(F.col("doc_id") % 13 == 0, F.concat(F.encode("content", "UTF-8"), F.unhex(F.lit("C3"))).cast("string")).otherwise(F.col("content"))
+    return f, gates.verdict(path, F.octet_length("content"), F.is_valid_utf8(text), excluded=F.endswith("path", F.lit(".fr")), limit=4000)
 
 
 @query(f"SELECT path, {REASON} AS reason FROM {FILES}")
@@ -605,11 +658,22 @@ def gauge_summary(spark, sf):
     return reports.gauge_summary(marked, *window()).withColumn("mean", F.round("mean", 6))
 
 
-@query(WINDOWED + "SELECT name, reset FROM r")
+@query(WINDOWED + "SELECT name, reset AND ends_with(name, '_total') AS reset FROM r")
 def counter_resets(spark, sf):
     return reports.resets(samples(spark, sf), *window())
 
 
+@query(WINDOWED + f"""SELECT name, reset AND ends_with(name, '_total') AS before, ends_with(name, '_total') AS inside, d.delta FROM r
+LEFT JOIN (SELECT name, NULL::BIGINT AS delta FROM r) d USING (name)""")
+def counter_resets_on_start(spark, sf):
+    """A process that started before the window resets nothing, one that started in it resets every counter, which hides their deltas."""
+    s, (start, end) = samples(spark, sf), window()
+    before = reports.resets(s, start, end, start - F.expr("INTERVAL 1 DAY")).withColumnRenamed("reset", "before")
+    inside = reports.resets(s, start, end, start + F.expr("INTERVAL 1 DAY")).withColumnRenamed("reset", "inside")
+    hidden = reports.counter_summary(s.where(reports.counter(F.col("name"))), start, end, end).select("name", "delta")
+    return before.join(inside, "name").join(hidden, "name", "left")
+
+
 @query(f"""WITH t AS (SELECT DISTINCT event_type, ts FROM events WHERE ts BETWEEN TIMESTAMP '{START}' AND TIMESTAMP '{END}'),
 g AS (SELECT event_type, epoch(ts) - epoch(coalesce(lag(ts) OVER (PARTITION BY event_type ORDER BY ts), TIMESTAMP '{START}')) AS s, ts FROM t)
 SELECT event_type, greatest(max(s), epoch(TIMESTAMP '{END}') - epoch(max(ts))) > 7200 AS gap FROM g GROUP BY event_type""")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 #: Share of a model's token limit that is used, and bytes for each of its tokens (5 / 2).
 TOKEN_SHARE, BYTES_NUMERATOR, BYTES_DENOMINATOR = 0.9, 5, 2
-#: Token limits of the embedding models.
-MODEL_TOKENS = {"local": 512, "hosted": 4096, "preset": 2048, "default": 512}
+#: Token limits of the embedding models by name, and of presets that run offline.
+MODEL_TOKENS = {"baai/bge-small-en-v1.5": 512, "nvidia/nv-embedcode-7b-v1": 4096}
+PRESET_TOKENS = {"embeddinggemma": 2048, "bge-small": 512}
+LEAST_TOKENS = 512
 FILE_BYTES = 2 * 1024 * 1024
 INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
@@ -20,9 +22,15 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor((F.octet_length(text) + 3) / 4).cast("int"))
 
 
-def embed_byte_budget(model: str = "default", configured_tokens: int = 0) -> int:
+def model_tokens(model: str = "", offline: bool = False) -> int:
+    """Tokens that an input may have; of an unknown model the least of the known limits."""
+    known = PRESET_TOKENS if offline else MODEL_TOKENS
+    return known.get(model.strip().lower(), LEAST_TOKENS)
+
+
+def embed_byte_budget(model: str = "", configured_tokens: int = 0, offline: bool = False) -> int:
     """Bytes of text that surely fit the model; a configured limit can only tighten it."""
-    tokens = int(MODEL_TOKENS.get(model, MODEL_TOKENS["default"]) * TOKEN_SHARE)
+    tokens = int(model_tokens(model, offline) * TOKEN_SHARE)
     if configured_tokens > 0:
         tokens = min(tokens, configured_tokens)
     return tokens * BYTES_NUMERATOR // BYTES_DENOMINATOR

@@ -53,5 +53,10 @@ def same_model(stored: Column, current: Column) -> Column:
 
 
 def growth_limit(expected: Column, factor: float = 4.0, floor: int = 10_000) -> Column:
-    """The most chunks that a rerun may grow to; null without an expectation."""
-    return F.when(expected > 0, F.greatest(F.ceil(expected * (factor if factor > 0 else 1.0)), expected + floor))
+    """The most chunks that a rerun may grow to; null without an expectation, or if neither factor nor floor is above 0."""
+    return F.when((expected > 0) & F.lit(factor > 0 or floor > 0), F.greatest(F.ceil(expected * (factor if factor > 0 else 1.0)), expected + floor))
+
+
+def searchable(eligible: Column, degraded: Column, collection: Column) -> Column:
+    """Whether a search is served now: the path is indexed, nothing it depends on is down, and its collection isn't absent, building or unknown; an idle or loading one is loaded by the search."""
+    return eligible & ~degraded & ~collection.isin("absent", "building", "unknown")

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def dot(a: Column, b: Column) -> Column:
-    """Sum of products in double precision; null if the sizes differ."""
+    """Sum of products in double precision; an error if the sizes differ, null if a vector is."""
     product = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), product)
+    return same_size(F.size(a), F.size(b), product)
+
+
+def same_size(a: Column, b: Column, value: Column) -> Column:
+    return F.when(a == b, value).when((a >= 0) & (b >= 0), F.raise_error(F.concat(F.lit("vectors of sizes "), a.cast("string"), F.lit(" and "), b.cast("string"))).cast("double"))
 
 
 #: Up to so many numbers a product with a known vector is written out, which compiles; longer code wouldn't.
@@ -25,7 +29,7 @@ def dot_with(v: Column, known: Sequence[float]) -> Column:
     total = F.lit(0.0)
     for i, x in enumerate(known):
         total = total + F.get(v, F.lit(i)).cast("double") * F.lit(float(x))
-    return F.when(F.size(v) == len(known), total)
+    return same_size(F.coalesce(F.size(v), F.lit(-1)), F.lit(len(known)), total)
 
 
 def norm(v: Column) -> Column:

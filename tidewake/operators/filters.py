@@ -84,10 +84,25 @@ class ConversationFilter:
         )
 
 
+def of_conversations(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of the requested conversations with batch_id, the requested id they belong to.
+
+    A row belongs to its own id, if that is requested, and else to the longest requested id that its path begins with, as conv/<id>/, convtool/<id>/ or convthink/<id>/; ids may hold slashes. Only the paths of rows without a requested id of their own are looked at.
+    """
+    wanted = ids.select("conversation_id").distinct()
+    own = rows.join(wanted, "conversation_id", "left_semi").withColumn("batch_id", F.col("conversation_id"))
+    rest = rows.join(wanted, "conversation_id", "left_anti")
+    parts = F.split("relative_path", "/")
+    kept = rest.where(F.get(parts, F.lit(0)).isin("conv", "convtool", "convthink") & (F.size(parts) > 2))
+    begun = F.transform(F.sequence(F.lit(1), F.size(parts) - 2), lambda n: F.array_join(F.slice(parts, F.lit(2), n), "/"))
+    found = kept.select("relative_path").distinct().select("relative_path", F.explode(begun).alias("batch_id")).join(wanted.withColumnRenamed("conversation_id", "batch_id"), "batch_id")
+    best = found.groupBy("relative_path").agg(F.max_by("batch_id", F.length("batch_id")).alias("batch_id"))
+    return own.unionByName(kept.join(best, "relative_path").select(own.columns))
+
+
 def in_conversations(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of many conversations, by column or, where that is missing, by the paths of their messages."""
-    by_path = F.coalesce(F.col("conversation_id"), F.get(F.split("relative_path", "/"), F.lit(1)))
-    return rows.withColumn("_id", by_path).join(ids.select(F.col("conversation_id").alias("_id")).distinct(), "_id", "left_semi").drop("_id")
+    """Rows of many conversations, by column or else by the paths of their messages."""
+    return of_conversations(rows, ids).select(rows.columns)
 
 
 def storable(text: Column) -> Column:

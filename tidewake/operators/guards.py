@@ -38,6 +38,18 @@ def admitted(items: DataFrame, seq: str = "seq", *, expected: int = 0, max_chunk
     return rows.crossJoin(F.broadcast(halt)).withColumn("admitted", F.col("halt_at").isNull() | (F.col(seq) < F.col("halt_at")))
 
 
+def sibling_baseline(registry: DataFrame, siblings: DataFrame, own_root: str, config: dict[str, object]) -> DataFrame:
+    """(expected): the most chunks that the last successful run of a sibling worktree had, 0 without one; what a first build is expected to have.
+
+    registry: (canonical_path, kind, last_chunks, and the columns of config); siblings: (root). Documents and collections with another model, provider or dimension don't count.
+    """
+    rows = registry.join(siblings.select(F.col("root").alias("canonical_path")).distinct(), "canonical_path", "left_semi")
+    rows = rows.where((F.col("canonical_path") != own_root) & (F.col("kind") != "document") & F.col("last_chunks").isNotNull())
+    for name, value in config.items():
+        rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    return rows.agg(F.coalesce(F.max("last_chunks"), F.lit(0)).alias("expected"))
+
+
 def suspicious(kind: Column, has_run: Column, missing: Column, total: Column) -> Column:
     """A wave of deletes: at least WAVE_LEAST files and a quarter of all, in code that was indexed before."""
     return (kind == "code") & has_run & (total > 0) & (missing >= WAVE_LEAST) & (missing * WAVE_SHARE >= total)

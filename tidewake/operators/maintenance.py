@@ -50,8 +50,9 @@ def needs_work(expected: DataFrame, stored: DataFrame, key: str = "conversation_
 
 
 def enriched(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """rows with workspace root and archived filled in where they lack them."""
-    new = entries.select("conversation_id", F.col("workspace_root").alias("_root"), F.col("archived").alias("_archived"), F.lit(True).alias("_in"))
+    """rows with workspace root and archived filled in where they lack them; of several entries of a conversation the one with the greatest root, then archived, counts."""
+    one = F.max(F.struct(F.coalesce("workspace_root", F.lit("")).alias("root"), "archived"))
+    new = entries.groupBy("conversation_id").agg(one.alias("_e")).select("conversation_id", F.col("_e.root").alias("_root"), F.col("_e.archived").alias("_archived"), F.lit(True).alias("_in"))
     joined = rows.join(new, "conversation_id", "left")
     target = F.coalesce(F.col("_in"), F.lit(False)) & needs_enrichment(F.col("workspace_root"), F.col("archived"))
     root = F.when(target, F.coalesce(F.when(F.col("workspace_root") != "", F.col("workspace_root")), F.col("_root"))).otherwise(F.col("workspace_root"))
@@ -94,5 +95,11 @@ def absorbed(registry: DataFrame, root: str, path: str = "canonical_path") -> Da
 
 
 def run_totals(files: DataFrame, reason: Column, chunks: DataFrame | None = None) -> DataFrame:
-    """(reason, files, bytes) of a run's files, the indexed ones under the reason 'indexed'."""
-    return files.groupBy(F.coalesce(reason, F.lit("indexed")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
+    """(reason, files, bytes) of a run's files, the indexed ones under the reason 'indexed'; with chunks (a row for each) also how many there are and their bytes, which are the indexed files'."""
+    out = files.groupBy(F.coalesce(reason, F.lit("indexed")).alias("reason")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
+    if chunks is None:
+        return out
+    zero = F.lit(0).cast("long")
+    made = chunks.agg(F.lit("indexed").alias("reason"), F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("content")).alias("chunk_bytes"))
+    joined = out.join(F.broadcast(made), "reason", "full_outer")  # one row
+    return joined.select("reason", *[F.coalesce(c, zero).alias(c) for c in ("files", "bytes", "chunks", "chunk_bytes")])

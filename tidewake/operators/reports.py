@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_GAP = 15 * 60
+STRETCH = 24 * 3600
 RETAINED_PER_CODEBASE, RETAINED = 5, 5000
 TERMINAL = ("completed", "failed", "cancelled")
 PROGRESS = ("files_processed", "files_embedded", "chunks_processed", "chunks_reused", "chunks_embedded", "embedding_batches", "collection_rows_written")
@@ -32,18 +33,19 @@ def baselines(samples: DataFrame, start: Column) -> DataFrame:
     return samples.where(F.col("at") <= start).groupBy("name").agg(F.max_by("value", "at").alias("baseline"))
 
 
-def resets(samples: DataFrame, start: Column, end: Column) -> DataFrame:
-    """(name, reset): whether a counter fell between the last sample before the window and its end."""
+def resets(samples: DataFrame, start: Column, end: Column, started: Column | None = None) -> DataFrame:
+    """(name, reset): whether a counter fell between the last sample before the window and its end, or its process started in the window (started, a timestamp); what isn't a counter is never reset."""
+    fresh = F.lit(False) if started is None else F.coalesce((started > start) & (started <= end), F.lit(False))
     base = samples.where(F.col("at") <= start).groupBy("name").agg(F.max("at").alias("at"), F.max_by("value", "at").alias("value"))
     seen = samples.where(within(F.col("at"), start, end)).select("name", "at", "value").unionByName(base.select("name", "at", "value")).distinct()
     fell = F.col("value") < F.lag("value").over(Window.partitionBy("name").orderBy("at"))
-    return seen.withColumn("_fell", fell).groupBy("name").agg(F.coalesce(F.bool_or("_fell"), F.lit(False)).alias("reset"))
+    return seen.withColumn("_fell", fell).groupBy("name").agg((counter(F.col("name")) & (F.coalesce(F.bool_or("_fell"), F.lit(False)) | fresh)).alias("reset"))
 
 
-def counter_summary(samples: DataFrame, start: Column, end: Column) -> DataFrame:
+def counter_summary(samples: DataFrame, start: Column, end: Column, started: Column | None = None) -> DataFrame:
     """(name, current, delta, rate_per_second): no delta after a reset, without a baseline, or if it would be negative."""
     now = samples.where(F.col("at") <= end).groupBy("name").agg(F.max_by("value", "at").alias("current"))
-    rows = now.join(baselines(samples, start), "name", "left").join(resets(samples, start, end), "name", "left")
+    rows = now.join(baselines(samples, start), "name", "left").join(resets(samples, start, end, started), "name", "left")
     ok = ~F.coalesce("reset", F.lit(False)) & F.col("baseline").isNotNull() & (F.col("current") >= F.col("baseline"))
     delta = F.when(ok, F.col("current") - F.col("baseline"))
     length = seconds(end) - seconds(start)
@@ -71,12 +73,17 @@ def coverage(samples: DataFrame, start: Column, end: Column) -> DataFrame:
 
 
 def sampling_gap(samples: DataFrame, start: Column, end: Column, key: str | None = None, most: int = MAX_GAP) -> DataFrame:
-    """([key,] gap): whether the window, its samples and its end leave over most seconds without a sample."""
+    """([key,] gap): whether the window, its samples and its end leave over most seconds without a sample.
+
+    Steps are taken within stretches of STRETCH seconds, then between them, so no task sorts all samples.
+    """
     keys = [key] if key else []
-    times = samples.where(within(F.col("at"), start, end)).select(*keys, "at").distinct()
-    w = Window.partitionBy(*keys).orderBy("at") if key else Window.orderBy("at")
-    step = seconds(F.col("at")) - seconds(F.coalesce(F.lag("at").over(w), start))
-    worst = times.withColumn("_s", step).groupBy(*keys).agg(F.max("_s").alias("_s"), F.max("at").alias("_last"))
+    times = samples.where(within(F.col("at"), start, end)).select(*keys, "at").distinct().withColumn("_b", F.floor(seconds(F.col("at")) / STRETCH))
+    step = seconds(F.col("at")) - seconds(F.lag("at").over(Window.partitionBy(*keys, "_b").orderBy("at")))
+    parts = times.withColumn("_s", step).groupBy(*keys, "_b").agg(F.max("_s").alias("_s"), F.min("at").alias("_first"), F.max("at").alias("_last"))
+    w = Window.partitionBy(*keys).orderBy("_b") if key else Window.orderBy("_b")  # a row for each stretch
+    between = seconds(F.col("_first")) - seconds(F.coalesce(F.lag("_last").over(w), start))
+    worst = parts.withColumn("_s", F.greatest("_s", between)).groupBy(*keys).agg(F.max("_s").alias("_s"), F.max("_last").alias("_last"))
     return worst.select(*keys, (F.greatest(F.coalesce("_s", F.lit(0.0)), seconds(end) - seconds(F.coalesce("_last", start))) > most).alias("gap"))
 
 
@@ -135,6 +142,11 @@ def last_events(events: DataFrame, offset: str = "offset") -> DataFrame:
     return events.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
+def job_feed(events: DataFrame, ids: DataFrame, offset: str = "offset") -> DataFrame:
+    """The current state, once, of those of the requested jobs (job_id) that are known."""
+    return last_events(events.join(ids.select("job_id").distinct(), "job_id", "left_semi"), offset)
+
+
 def retained(jobs: DataFrame, per_codebase: int = RETAINED_PER_CODEBASE, total: int = RETAINED) -> DataFrame:
     """Jobs that a compaction keeps: all that still run, and the newest terminal ones of each codebase and of all."""
     recency = F.coalesce("completed_at", "updated_at")
@@ -188,3 +200,22 @@ def overall_percent(chunks_total: Column, chunks_done: Column, run_percent: Colu
 def phase_percent(files_total: Column, files_done: Column, batches_total: Column, batches_done: Column) -> Column:
     held = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))
     return F.when(files_total > 0, held(files_done / files_total * 100)).when(batches_total > 0, held(batches_done / batches_total * 100)).otherwise(0.0)
+
+
+# The counters of a process. Those in GAUGES go up and down.
+COUNTERS = """
+embed_batches_total embed_batches_failed embed_vectors_total embed_latency_ms_sum embed_inflight embed_chunks_reused_total embed_inputs_refused_empty
+converge_upsert_total converge_remove_total converge_copy_chunks_total sweep_runs_total sweep_changed_total sync_skipped_inflight_total
+jobs_completed_total jobs_failed_total jobs_cancelled_total boot_resumes_total jobs_active
+milvus_collection_loads_total milvus_collection_load_failures_total milvus_collection_load_wait_timeouts_total milvus_collection_load_inflight milvus_collection_load_latency_ms_sum
+milvus_collection_unloads_total milvus_collection_unload_failures_total milvus_collection_unload_skipped_in_use_total milvus_collection_unload_latency_ms_sum
+milvus_collection_leases_active milvus_collections_idle milvus_collections_loading milvus_collections_ready milvus_mmap_migrations_total milvus_mmap_migration_failures_total
+""".split()
+GAUGES = {"embed_inflight", "jobs_active", "milvus_collection_load_inflight", "milvus_collection_leases_active", "milvus_collections_idle", "milvus_collections_loading", "milvus_collections_ready"}
+
+
+def process_counters(changes: DataFrame) -> DataFrame:
+    """(name, value, gauge) of all COUNTERS from their changes (name, delta): sums, so that a gauge is what was entered and not yet left; those without a change are 0."""
+    every = changes.sparkSession.createDataFrame([(n, n in GAUGES) for n in COUNTERS], "name string, gauge boolean")
+    sums = changes.groupBy("name").agg(F.sum("delta").alias("value"))
+    return every.join(sums, "name", "left").select("name", F.coalesce("value", F.lit(0)).cast("long").alias("value"), "gauge")

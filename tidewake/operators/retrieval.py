@@ -27,10 +27,11 @@ def scored(rows: DataFrame, query: Sequence[float] | Column, vector: str = "vect
     return rows.withColumn("score", F.round(score, digits) if digits is not None else score)
 
 
-def top(rows: DataFrame, limit: int | None = None, id_col: str = "id", min_score: float = 0.0) -> DataFrame:
-    """The best rows by score, then id; a floor only if it is above 0."""
+def top(rows: DataFrame, limit: int | None = None, id_col: str = "id", min_score: float = 0.0, offset: int = 0) -> DataFrame:
+    """The best rows by score, then id, after the first offset ones; a floor only if it is above 0."""
     kept = rows.where(F.col("score") >= min_score) if min_score > 0 else rows
-    return kept.orderBy(*order(id_col)).limit(limit_of(limit))
+    best = kept.orderBy(*order(id_col)).limit(limit_of(limit) + max(offset, 0))
+    return best.offset(offset) if offset > 0 else best
 
 
 def capped(rows: DataFrame, group: str, cap: int, id_col: str = "id", min_score: float = 0.0) -> DataFrame:
@@ -45,13 +46,13 @@ def capped(rows: DataFrame, group: str, cap: int, id_col: str = "id", min_score:
     return kept.where(F.col("score") >= min_score) if min_score > 0 else kept
 
 
-def search(rows: DataFrame, query: Sequence[float] | Column, *, where: Column | None = None, limit: int | None = None, group: str | None = None, cap: int = 0, min_score: float = 0.0, id_col: str = "id", vector: str = "vector", digits: int | None = None) -> DataFrame:
+def search(rows: DataFrame, query: Sequence[float] | Column, *, where: Column | None = None, limit: int | None = None, group: str | None = None, cap: int = 0, min_score: float = 0.0, id_col: str = "id", vector: str = "vector", digits: int | None = None, offset: int = 0) -> DataFrame:
     """Filter, score, cap, rank: filters reach the scan, and no page is ever fetched twice."""
     kept = rows if where is None else rows.where(where)
     ranked = scored(kept, query, vector, digits)
     if group:
         ranked = capped(ranked, group, cap, id_col, min_score)
-    return top(ranked, limit, id_col, min_score)
+    return top(ranked, limit, id_col, min_score, offset)
 
 
 def search_in(rows: DataFrame, ids: DataFrame, key: str, query: Sequence[float] | Column, **how) -> DataFrame:
@@ -67,7 +68,7 @@ def merged(batches: Sequence[DataFrame], limit: int | None = None, id_col: str =
     return top(out, limit, id_col)
 
 
-def approximate(rows: DataFrame, query: Sequence[float] | Column, centres: Sequence[Sequence[float]], probes: int, *, limit: int | None = None, id_col: str = "id", vector: str = "vector") -> DataFrame:
+def approximate(rows: DataFrame, query: Sequence[float] | Column, centres: Sequence[Sequence[float]], probes: int, *, limit: int | None = None, id_col: str = "id", vector: str = "vector", digits: int | None = None) -> DataFrame:
     """search over the rows of the probes cells whose centres are nearest to the query.
 
     rows must have a column cell, the number of the nearest centre (see assign_cells); a table partitioned by cell is pruned to the probed ones.
@@ -75,11 +76,13 @@ def approximate(rows: DataFrame, query: Sequence[float] | Column, centres: Seque
     q = query if isinstance(query, Column) else literal(query)
     near = F.slice(F.array_sort(F.array(*[F.struct((-dot(literal(c), q)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)])), F.lit(1), F.lit(probes))
     probed = [r["cell"] for r in rows.sparkSession.range(1).select(F.explode(near).alias("x")).select("x.cell").collect()]  # probes rows
-    return search(rows.where(F.col("cell").isin(probed)), query, limit=limit, id_col=id_col, vector=vector)
+    return search(rows.where(F.col("cell").isin(probed)), query, limit=limit, id_col=id_col, vector=vector, digits=digits)
 
 
 def assign_cells(rows: DataFrame, centres: Sequence[Sequence[float]], vector: str = "vector") -> DataFrame:
-    best = F.array_max(F.array(*[F.struct(dot_with(F.col(vector), c).alias("d"), F.lit(-i).alias("n")) for i, c in enumerate(centres)]))
+    """rows with cell, the number of the nearest centre, the first of equally near ones; the centres are one value that each row goes through, so the code doesn't grow with them."""
+    known = F.array(*[F.struct(F.lit(-i).alias("n"), literal(c).alias("c")) for i, c in enumerate(centres)])
+    best = F.array_max(F.transform(known, lambda k: F.struct(dot(F.col(vector), k["c"]).alias("d"), k["n"].alias("n"))))
     return rows.withColumn("cell", -best["n"])
 
 

@@ -15,11 +15,11 @@ from ..functions.status import same_model
 def seed(stores: Sequence[DataFrame], scope=None) -> DataFrame:
     """(content_hash, content, embedding_model, vector, priority) of stores in order; scope: a predicate on their rows.
 
-    Rows of old stores without a hash get the hash of their content.
+    Rows of old stores without a hash get the hash of their content. A catalog (content_hash, model, vector) holds no content and is trusted by its hash.
     """
     out = None
     for n, s in enumerate(stores):
-        rows = s if scope is None else s.where(scope)
+        rows = s.withColumns({"content": F.lit(None).cast("string"), "embedding_model": F.col("model")}) if "content" not in s.columns else s if scope is None else s.where(scope)
         rows = rows.select(F.coalesce("content_hash", content_key(F.col("content"))).alias("content_hash"), "content", "embedding_model", "vector", F.lit(n).alias("priority"))
         out = rows if out is None else out.unionByName(rows)
     if out is None:
@@ -34,7 +34,7 @@ def reuse(chunks: DataFrame, stores: Sequence[DataFrame], model: str = "", scope
     """
     keyed = chunks.drop("vector").withColumn("content_hash", content_key(F.col("content")))
     wanted = keyed.select("content_hash", F.col("content").alias("_content")).groupBy("content_hash").agg(F.first("_content").alias("_content"))
-    rows = seed(stores, scope).join(wanted, "content_hash").where((F.col("content") == F.col("_content")) & same_model(F.col("embedding_model"), F.lit(model)))
+    rows = seed(stores, scope).join(wanted, "content_hash").where((F.col("content").isNull() | (F.col("content") == F.col("_content"))) & same_model(F.col("embedding_model"), F.lit(model)))
     exact = F.coalesce(F.col("embedding_model"), F.lit("")) != model
     best = rows.groupBy("content_hash").agg(F.min_by("vector", F.struct("priority", exact.alias("other"), F.xxhash64("vector").alias("tie"))).alias("vector"), F.min("priority").alias("store"))
     return keyed.join(best, "content_hash", "left").withColumn("reused", F.col("vector").isNotNull())

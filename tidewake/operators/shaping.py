@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+import re
+import shlex
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -50,8 +53,8 @@ def split_bytes(text: Column, budget: Column | int) -> Column:
     return run(text, limit.cast("int"))
 
 
-def split_rows(chunks: DataFrame, budget: int) -> DataFrame:
-    """chunks with content over the budget split; split_part is the offset in the first parent plus one."""
+def split_rows(chunks: DataFrame, budget: int = STORAGE_BYTES) -> DataFrame:
+    """chunks with content over the budget (what a store takes, unless a model takes less) split; split_part is the offset in the first parent plus one."""
     if budget <= 0:
         return chunks
     fits = F.octet_length("content") <= budget
@@ -90,10 +93,54 @@ def file_chunks(files: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLA
     return files.select("path", F.explode(run(F.col("content"))).alias("x")).select("path", "x.*").where(storable(F.col("content")))
 
 
+#: Words of a shell that start no program.
+SHELL_WORDS = {"if", "then", "elif", "else", "fi", "for", "while", "until", "do", "done", "case", "esac", "in", "{", "}", "!", "time", "function"}
+ENDS_COMMAND = {";", ";;", "&", "&&", "|", "||", "|&", "(", ")", "\n"}
+REDIRECTS = {"<": 0, ">": 1, ">>": 1, "&>": 1, "&>>": 1, ">|": 1, "<>": 0}
+
+
+def shell_tokens(command: str) -> list[str]:
+    """What a search should find of a shell command: its programs, then the files it reads, then those it writes.
+
+    A file is named by its path below / and, if that differs, as it is written; one that needs the shell to be known only as written. A command that can't be read is its own token.
+    """
+    try:
+        lexer = shlex.shlex(command.replace("\n", " ; "), posix=True, punctuation_chars=True)
+        lexer.whitespace_split = True
+        words = list(lexer)
+    except ValueError:
+        return [command.strip()]
+    programs: list[str] = []
+    files: tuple[list[str], list[str]] = ([], [])
+    fresh, into = True, None
+    for w in words:
+        if w in REDIRECTS:
+            into = REDIRECTS[w]
+        elif into is not None:
+            if not w.isdigit():
+                known = not re.search(r"[$`*?\[~]", w)
+                files[into].extend(dict.fromkeys([posixpath.normpath(posixpath.join("/", w)), w] if known else [w]))
+            into = None
+        elif w in ENDS_COMMAND:
+            fresh = True
+        elif fresh and w not in SHELL_WORDS and not re.match(r"[A-Za-z_]\w*=", w):
+            programs.append(w)
+            fresh = False
+    found = [t for t in dict.fromkeys([*programs, *files[0], *files[1]]) if t.strip()]
+    return found or [command.strip()]
+
+
 def tool_text(tool: Column) -> Column:
-    """Name, output and display of a tool call, trimmed, once each, by line."""
-    parts = F.transform(F.array(tool["name"], tool["output"], tool["display"]), lambda x: F.trim(F.coalesce(x, F.lit(""))))
-    return F.array_join(F.array_distinct(F.filter(parts, lambda x: x != "")), "\n")
+    """Name, shell tokens and display of a tool call, trimmed, once each, by line; what it put out is left out. Only shell commands leave the JVM."""
+    @F.pandas_udf("array<string>")  # type: ignore[call-overload]
+    def run(commands: pd.Series) -> pd.Series:
+        return commands.map(lambda c: shell_tokens(c) if c else [])
+
+    none = F.array().cast("array<string>")
+    shell = run(F.when((tool["lang_hint"] == "bash") & (F.trim(tool["display"]) != ""), F.trim(tool["display"])))
+    parts = F.concat(F.array(tool["name"]), F.coalesce(shell, none), F.array(tool["display"]))
+    trimmed = F.transform(parts, lambda x: F.trim(F.coalesce(x, F.lit(""))))
+    return F.array_join(F.array_distinct(F.filter(trimmed, lambda x: x != "")), "\n")
 
 
 def named_piece(name: Column, piece: Column, part: Column) -> Column:
@@ -144,26 +191,29 @@ def reassembled(rows: DataFrame) -> DataFrame:
 def packed(rows: DataFrame, key: str, seq: str, cost: Column, budget: int, max_rows: int | None = None) -> DataFrame:
     """rows with group: consecutive rows of each key whose costs stay within the budget, at most max_rows; a row over the budget is alone.
 
-    A key's rows pass through one task in order, without being held.
+    Keys, places and costs alone pass through one task for each key, in order, without being held; what else a row holds is joined by key and place. Rows of the same key and place go together.
     """
-    schema = T.StructType([*rows.schema.fields, T.StructField("group", T.LongType())])
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([fields[key], fields[seq], T.StructField("group", T.LongType())])
     budget, most = max(budget, 1), max(max_rows, 1) if max_rows is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, group, used, n = object(), 0, 0, 0
         for pdf in batches:
             groups = []
-            for k, c in zip(pdf[key], pdf["_cost"]):
+            for k, c, m in zip(pdf[key], pdf["_cost"], pdf["_rows"]):
                 if k != at:
                     at, group, used, n = k, 0, 0, 0
-                elif n and (used + c > budget or most is not None and n >= most):
+                elif n and (used + c > budget or most is not None and n + m > most):
                     group, used, n = group + 1, 0, 0
-                used, n = used + c, n + 1
+                used, n = used + c, n + m
                 groups.append(group)
-            yield pdf.drop(columns="_cost").assign(group=groups)
+            yield pdf.drop(columns=["_cost", "_rows"]).assign(group=groups)
 
-    ordered = rows.withColumn("_cost", cost.cast("long")).repartition(key).sortWithinPartitions(key, seq)
-    return ordered.mapInPandas(run, schema)
+    costs = rows.select(key, seq, cost.cast("long").alias("_cost")).groupBy(key, seq).agg(F.sum("_cost").alias("_cost"), F.count(F.lit(1)).alias("_rows"))
+    groups = costs.repartition(key).sortWithinPartitions(key, seq).mapInPandas(run, schema)
+    groups = groups.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), "group")
+    return rows.join(groups, F.col(key).eqNullSafe(F.col("_key")) & F.col(seq).eqNullSafe(F.col("_seq"))).drop("_key", "_seq")
 
 
 def packed_by_tokens(rows: DataFrame, key: str, seq: str, reused: Column | None = None, max_rows: int = MAX_ROWS, tokens: int = MAX_TOKENS) -> DataFrame:
@@ -204,8 +254,8 @@ def hashing_embedder(dimension: int = 64) -> Callable[[list[str]], list[list[flo
     return embed
 
 
-def embed_with_retry(texts: list[str], embed: Callable[[list[str]], list[list[float]]], floor: int = 1) -> tuple[list[list[tuple[str, int, list[float]]]], int]:
-    """For each text its pieces (piece, offset, vector), and how many pieces were dropped.
+def embed_with_retry(texts: list[str], embed: Callable[[list[str]], list[list[float]]], floor: int = 1, lost: list[tuple[int, str, int]] | None = None) -> tuple[list[list[tuple[str, int, list[float]]]], int]:
+    """For each text its pieces (piece, offset, vector), and how many pieces were dropped, which (text, piece, offset) are added to lost.
 
     A piece that is rejected as too long is halved and sent again; one that can't be halved, or has no more than floor bytes, is dropped. Blank texts are never sent.
     """
@@ -223,6 +273,8 @@ def embed_with_retry(texts: list[str], embed: Callable[[list[str]], list[list[fl
             size = len(t.encode("utf-8", "surrogatepass"))
             if len(t) <= 1 or size <= floor:
                 dropped += 1
+                if lost is not None:
+                    lost.append((i, t, at))
             else:
                 waiting[k:k] = [(i, p, at + o) for p, o in byte_pieces(t, max(size // 2, 1))]
             continue
@@ -232,23 +284,40 @@ def embed_with_retry(texts: list[str], embed: Callable[[list[str]], list[list[fl
     return done, dropped
 
 
-def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """chunks (with split_part and vector) embedded where they lack a vector; pieces that had to be split are rows of their own."""
-    columns = chunks.columns
+def embedded_with_fate(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """embedded with every piece's fate: reused (had a vector), embedded, dropped (too long and can't be split) or refused (blank, never sent); the last two have no vector."""
+    columns = [*chunks.columns, "fate"]
+    schema = T.StructType([*chunks.schema.fields, T.StructField("fate", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = pdf.to_dict("records")
             for k in range(0, len(rows), BATCH_ROWS):
-                some, out = rows[k : k + BATCH_ROWS], []
+                some, lost = rows[k : k + BATCH_ROWS], []
                 lack = [r for r in some if r["vector"] is None]
-                found, _ = embed_with_retry([r["content"] or "" for r in lack], embed)
-                out += [r for r in some if r["vector"] is not None]
-                for r, pieces in zip(lack, found):
+                found, _ = embed_with_retry([r["content"] or "" for r in lack], embed, lost=lost)
+                out = [r | {"fate": "reused"} for r in some if r["vector"] is not None]
+                for i, (r, pieces) in enumerate(zip(lack, found)):
                     base = int(r["split_part"]) - 1 if r["split_part"] == r["split_part"] and r["split_part"] else 0
-                    for p, at, v in pieces:
-                        part = base + at + 1 if len(pieces) > 1 or at else r["split_part"]
-                        out.append(r | {"content": p, "vector": v, "split_part": part})
+                    gone = [(t, at) for j, t, at in lost if j == i]
+                    if not pieces and not gone:
+                        out.append(r | {"fate": "refused"})
+                    for p, at, v in [*pieces, *((t, at, None) for t, at in gone)]:
+                        part = base + at + 1 if len(pieces) + len(gone) > 1 or at else r["split_part"]
+                        out.append(r | {"content": p, "vector": v, "split_part": part, "fate": "dropped" if v is None else "embedded"})
                 yield pd.DataFrame(out, columns=columns)
 
-    return chunks.mapInPandas(run, chunks.schema)
+    return chunks.mapInPandas(run, schema)
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """chunks (with split_part and vector) embedded where they lack a vector; pieces that had to be split are rows of their own."""
+    return embedded_with_fate(chunks, embed).where("vector is not null").drop("fate")
+
+
+def fates(rows: DataFrame) -> DataFrame:
+    """(fate, pieces, bytes) of embedded_with_fate, every fate also without pieces: what was refused is never counted as dropped."""
+    every = rows.sparkSession.createDataFrame([(f,) for f in ("reused", "embedded", "dropped", "refused")], "fate string")
+    counts = rows.groupBy("fate").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("content")).alias("bytes"))
+    zero = F.lit(0).cast("long")
+    return every.join(counts, "fate", "left").select("fate", F.coalesce("pieces", zero).alias("pieces"), F.coalesce("bytes", zero).alias("bytes"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from ..operators.maintenance import reindexed
 from ..operators.reuse import reuse
 from ..operators.shaping import embedded, file_chunks, split_rows
 from ..operators.snapshots import diff
-from ..sources.files import captured, gated, recover, replace
+from ..sources.files import captured, drop, gated, recover, replace
 
 
 @dataclass
@@ -36,10 +37,10 @@ def chunk_rows(files: DataFrame, byte_budget: int, model: str = "") -> DataFrame
     return rows.select(key.alias("id"), "content", "relative_path", "start_line", "end_line", extension(F.col("relative_path")).alias("file_extension"), "split_part", content_key(F.col("content")).alias("content_hash"), F.lit(model).alias("embedding_model"), F.lit(None).cast("array<float>").alias("vector"))
 
 
-def sync(files: DataFrame, rows: DataFrame, snapshot: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, stores: Sequence[DataFrame] = (), model: str = "", byte_budget: int = 1152, kind: str = "code", confirmed: bool = False, expected_chunks: int = 0) -> Outcome:
+def sync(files: DataFrame, rows: DataFrame, snapshot: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, catalog: DataFrame | None = None, stores: Sequence[DataFrame] = (), model: str = "", byte_budget: int = 1152, kind: str = "code", confirmed: bool = False, expected_chunks: int = 0) -> Outcome:
     """Bring rows and snapshot in step with files (path, content).
 
-    A suspicious wave of deletes is held back unless confirmed; chunks beyond the budget halt the run before anything is embedded.
+    Vectors come from the catalog, then from the collection's own rows, then from other stores. A suspicious wave of deletes is held back unless confirmed; chunks beyond the budget halt the run before anything is embedded.
     """
     seen = gated(files)
     current = captured(seen)
@@ -53,12 +54,67 @@ def sync(files: DataFrame, rows: DataFrame, snapshot: DataFrame, embed: Callable
     halted = not admitted(per_file.withColumn("seq", F.monotonically_increasing_id()), expected=expected_chunks).where("not admitted").isEmpty()
     if halted:
         return Outcome(rows, snapshot, changes.limit(0), quarantined, True)
-    taken = reuse(new, [rows, *stores], model).drop("store", "reused").select(new.columns)
+    taken = reuse(new, [*([] if catalog is None else [catalog]), rows, *stores], model).drop("store", "reused").select(new.columns)
     after = reindexed(rows, embedded(taken, embed), changes.select("path"))
     kept = snapshot.join(changes.select("path"), "path", "left_anti").select("path", "hash")
     return Outcome(after, kept.unionByName(current.join(touched, "path", "left_semi").select("path", "hash")), changes, quarantined, False)
 
 
+@dataclass
+class Build:
+    """What a first build did: its rows and snapshot, how many files earlier attempts had done, and its run mode."""
+
+    rows: DataFrame | None
+    snapshot: DataFrame
+    resumed: int
+    run_mode: str
+
+
+def bootstrap(files: DataFrame, embed: Callable[[list[str]], list[list[float]]], rows_path: str, snapshot_path: str, *, batches: int = 16, catalog: DataFrame | None = None, stores: Sequence[DataFrame] = (), model: str = "", byte_budget: int = 1152) -> Build:
+    """Build a collection from files (path, content) where there is none, in batches that a cut-off run needn't repeat.
+
+    Each batch is written to a stage, then noted with its files and hashes in a checkpoint. The next attempt skips files that the checkpoint has with the same hash, if the stage is still there; what was staged but not noted is not used. Every file counts as added, so rows of a file that went between two attempts stay. At the end the stage takes the place of the collection and the checkpoint that of the snapshot. Without any rows there is no collection, which is a success.
+    """
+    spark = files.sparkSession
+    stage, noted = f"{rows_path}_build", f"{rows_path}_checkpoint"
+    seen = gated(files)
+    current = captured(seen)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(rows_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at(stage)) or not fs.exists(at(noted)):
+        drop(spark, stage), drop(spark, noted)
+    snapshot = "path string, hash string, batch string"
+    done = spark.read.schema(snapshot).parquet(noted) if fs.exists(at(noted)) else spark.createDataFrame([], snapshot)
+    resumed = done.count()
+    todo = current.join(done.select("path", "hash"), ["path", "hash"], "left_anti").withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(batches)))
+    texts = seen.where("reason is null").select("path", F.col("content").cast("string").alias("content"))
+    seeds = [s for s in (catalog, *stores) if s is not None]
+    for k in range(batches):
+        part = todo.where(F.col("_b") == k).select("path", "hash")
+        if part.isEmpty():
+            continue
+        batch = uuid.uuid4().hex
+        new = chunk_rows(texts.join(part.select("path"), "path", "left_semi"), byte_budget, model)
+        taken = reuse(new, seeds, model).drop("store", "reused").select(new.columns) if seeds else new
+        embedded(taken, embed).write.mode("append").parquet(f"{stage}/batch={batch}")
+        part.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(noted)
+    done = spark.read.schema(snapshot).parquet(noted) if fs.exists(at(noted)) else done
+    kept = done.select("path", "hash").distinct()
+    rows = None
+    if fs.exists(at(stage)):
+        rows = spark.read.option("basePath", stage).parquet(stage).join(F.broadcast(done.select("batch").distinct()), "batch", "left_semi").drop("batch")
+        if rows.isEmpty():
+            rows = None
+    for path in (rows_path, snapshot_path):
+        recover(spark, path)
+    if rows is not None:
+        replace(rows, rows_path)
+        rows = spark.read.parquet(rows_path)
+    replace(kept, snapshot_path)
+    drop(spark, stage), drop(spark, noted)
+    return Build(rows, spark.read.parquet(snapshot_path), resumed, "resuming" if resumed else "first_build")
+
+
 def publish(outcome: Outcome, rows_path: str, snapshot_path: str) -> None:
     """Replace the stored collection, then its snapshot, so that a cut-off run is repeated and never skipped."""
     spark = outcome.rows.sparkSession

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 
 class OutOfOrder(ValueError):
     """A part came where it may not."""
@@ -20,11 +22,12 @@ class Upsert:
     manifest: dict[str, str] | None = None
 
     @classmethod
-    def read(cls, parts: Iterable[tuple[str, Any]]) -> Upsert:
-        out = cls()
+    def read(cls, parts: Iterable[tuple[str, Any]], keep: Callable[[list[dict[str, Any]]], None] | None = None) -> Upsert:
+        """The delivery, or an error as soon as a part is out of order. keep: takes each batch of documents as it comes, such as a writer to a stage; only without it they are gathered here."""
+        out, any_documents = cls(), False
         for kind, value in parts:
             if kind == "header":
-                if out.header is not None or out.documents or out.manifest is not None:
+                if out.header is not None or any_documents or out.manifest is not None:
                     raise OutOfOrder("the header comes first, and once")
                 out.header = value
             elif out.header is None:
@@ -32,7 +35,11 @@ class Upsert:
             elif kind == "documents":
                 if out.manifest is not None:
                     raise OutOfOrder("documents come before the manifest")
-                out.documents += value
+                any_documents = True
+                if keep is None:
+                    out.documents += value
+                else:
+                    keep(value)
             elif kind == "manifest":
                 if out.manifest is not None:
                     raise OutOfOrder("one manifest only")
@@ -64,3 +71,12 @@ class Enrichment:
         if head is None:
             raise OutOfOrder("a header is required")
         return cls(head, entries)
+
+
+def staged(spark: SparkSession, path: str, schema: str) -> Callable[[list[dict[str, Any]]], None]:
+    """For Upsert.read: appends each batch to the table at path, so the driver holds one batch at a time."""
+    def keep(batch: list[dict[str, Any]]) -> None:
+        if batch:
+            spark.createDataFrame(batch, schema).write.mode("append").parquet(path)
+
+    return keep

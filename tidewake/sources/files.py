@@ -62,6 +62,20 @@ def replace(rows: DataFrame, path: str) -> None:
     fs.delete(at(old), True)
 
 
+def cache_chunks(chunks: DataFrame, folder: str, collection: str) -> None:
+    """Keep the chunks of a collection in place of those kept before, at once."""
+    replace(chunks, f"{folder.rstrip('/')}/{collection}")
+
+
+def cached_chunks(spark: SparkSession, folder: str, collection: str, schema: str | None = None) -> DataFrame | None:
+    """The chunks that were kept of a collection; None: none were. A replacement that was cut off is finished or undone first."""
+    path = f"{folder.rstrip('/')}/{collection}"
+    if recover(spark, path) == "none":
+        return None
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
+
+
 def recover(spark: SparkSession, path: str) -> str:
     """Finish or undo a replacement that was cut off: kept, restored or none."""
     jvm = spark.sparkContext._jvm

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.reports import last_events, retained
+from .files import drop, recover
+
 LINE_BYTES = 4 * 1024 * 1024
 # The messages of the logs that hold counters and spans.
 SAMPLE_MESSAGE, SPAN_MESSAGE = "daemon.perf_counters", "daemon.span.completed"
@@ -59,3 +62,21 @@ def collection_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     if bad["n"] > 1 or bad["n"] == 1 and bad["at"] != bad["last"]:
         raise ValueError("malformed line in the collection")
     return rows.where("valid").select(F.from_json("line", schema).alias("x")).select("x.*"), bad["n"] == 1
+
+
+def compact(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Rewrite a job journal (a folder of JSON lines) with the last event of the jobs that a compaction keeps; (kept, dropped). The old journal stays until the new one is whole."""
+    recover(spark, path)
+    latest = last_events(job_events(spark, path))
+    kept = retained(latest).select("offset")
+    text = lines(spark, path).withColumn("offset", F.monotonically_increasing_id()).join(kept, "offset", "left_semi")
+    stage, old = f"{path}_stg", f"{path}_swap_previous"
+    text.orderBy("offset").select("line").write.mode("overwrite").text(stage)
+    left, all_ = spark.read.text(stage).count(), latest.count()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.rename(at(path), at(old)) or not fs.rename(at(stage), at(path)):
+        recover(spark, path)
+        raise OSError(f"can't replace the journal {path}")
+    drop(spark, old)
+    return left, all_ - left

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.gates import extension_regex, ignored
 from ..operators.paths import ancestors
 from ..operators.snapshots import converge
 
@@ -21,12 +22,21 @@ def read(spark: SparkSession, path: str, schema: str = EVENTS, format: str = "js
     return spark.readStream.format(format).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
-def dispatched(events: DataFrame, roots: DataFrame) -> DataFrame:
-    """(ts, codebase_id, path) of file events, relative to each root (codebase_id, root) that covers them; directories and what lies in .git go."""
+def dispatched(events: DataFrame, roots: DataFrame, rules: dict[str, tuple[tuple[str, str], ...]] | None = None) -> DataFrame:
+    """(ts, codebase_id, path) of file events, relative to each root (codebase_id, root) that covers them; directories, what lies in .git and what a codebase's ignore rules exclude go.
+
+    rules: the rule set of each codebase that has its own; the built-in rules hold for the others.
+    """
     kept = events.where(~F.col("is_dir") & ~F.array_contains(F.split("path", "/"), ".git"))
     up = kept.select("ts", "path", F.explode(ancestors(F.col("path"))).alias("root"))
     found = up.join(roots.select("codebase_id", "root"), "root").where(F.col("root") != F.col("path"))
-    return found.select("ts", "codebase_id", F.substr("path", F.length("root") + 2, F.length("path")).alias("path"))
+    found = found.select("ts", "codebase_id", F.substr("path", F.length("root") + 2, F.length("path")).alias("path"))
+    own = rules or {}
+    builtin = F.coalesce(F.regexp_like("path", F.lit(extension_regex())), F.lit(False))
+    hit = F.lit(None).cast("boolean")
+    for codebase, lines in own.items():
+        hit = F.coalesce(hit, F.when(F.col("codebase_id") == codebase, ignored(F.col("path"), lines)["pattern"].isNotNull()))
+    return found.where(~F.coalesce(hit, builtin))
 
 
 def debounced(events: DataFrame, gap: str = DEBOUNCE, delay: str | None = "10 seconds") -> DataFrame:
