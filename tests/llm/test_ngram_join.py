@@ -55,8 +55,9 @@ def test_join_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     rows = [(3 * i + 5, t) for i, t in enumerate(corpus(hot))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", ngram_join.F.lit("x"))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()}
-    assert got == brute(rows)
+    for every in (False, True):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, all_links=every).collect()}
+        assert got == brute(rows)
 
 
 def test_hot_group_of_near_copies(spark, monkeypatch):

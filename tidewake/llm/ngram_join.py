@@ -14,9 +14,9 @@ with equal sets, by a name of 128 bits, form one class and are joined as one.
 2. Verification. The candidates of one leader are stored in a trie, in which sets that
    begin alike share a path. The leader walks down it: the overlap counted along a path
    serves all sets below, and a subtree is left as soon as no size in it can reach the
-   needed overlap with the tokens that remain on both sides. Of the leaders under which
-   a class is listed the first is tried at once, the others only if they are in another
-   component then.
+   needed overlap with the tokens that remain on both sides. Of a
+   class's candidates the first is tried at once, the others only if they are in another
+   component then (or all of them, if every link shall be counted).
 3. Components of the links by alternating stars. A class under a leader that is not in
    its leader's component then walks down the trie of all classes under that leader,
    where subtrees of its own component are left at once, and links found join the
@@ -54,7 +54,7 @@ PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 64, 1 << 16, 1 << 24, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
 #: Tokens of the sets that one leader walks at a time, and of the tries in which sets under a leader meet each other.
-HOT, LEADER_TOKENS, TRIE_TOKENS = 12, 1 << 15, 1 << 21
+HOT, LEADER_TOKENS, TRIE_TOKENS = 48, 1 << 15, 1 << 21
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
@@ -571,8 +571,8 @@ def components_of(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("name"), F.col("v").alias("component")).unionByName(tops)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, keep) of every row of docs; keep: string columns of docs; n_links: how many links of its class were verified (under a hot leader not all that there are)."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), all_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, keep) of every row of docs; keep: string columns of docs; n_links: how many links of its class were verified: those that make the components, or, with all_links, all but some between classes of one component that a hot token lists."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
@@ -590,15 +590,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stand = classes.join(ends, "class").select("name", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
     bits = spark.sparkContext.broadcast(bits_of(stand))
     texts = written(texts_of(docs, bits), "texts")
-    # under leaders the first one, then those in other components
-    listed = pairs.where("hot = 1")
-    first = listed.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n"))
-    first = pairs.where("hot = 0").select("a", "b", "n").unionByName(first.select("a", "b", "n"))
-    links = written(verified(first, texts, levels), "first-links")
-    components = components_of(links)
-    others = written(apart(listed.select("a", "b", "n"), placed(texts, components)), "others")
-    links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
+    every = pairs.select("a", "b", "n")
+    first = every.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n")).select("a", "b", "n")
+    links = written(verified(every if all_links else first, texts, levels), "first-links")
     components = components_of(links)
+    if not all_links:
+        others = written(apart(every, placed(texts, components)), "others")
+        links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
+        components = components_of(links)
     more = written(rest_of_hot(pairs, components, texts, levels), "more-links")
     for held in (levels, bits):  # all that reads them is written
         held.destroy()
