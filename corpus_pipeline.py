@@ -10,6 +10,13 @@ last return the columns of documents:
 3. near_dedup: of each group of near copies the document with the smallest doc_id stays.
 4. decontaminate: documents that hold a window of `benchmark` go.
 5. pack: the pieces of what is left, packed into sequences.
+
+Defined results: stages decide on rows. A null text has no toxic word and no window of the
+benchmark, counts as empty for exact copies and has no near copies; a null doc_id loses
+against any other, rows of null ids alone stay, and so do rows that share the smallest
+doc_id of a group; very long texts are read whole by every stage; columns beside doc_id and
+text go through all stages but the last, whatever their names; an empty table gives no
+sequences. What a stage wrote is deleted once the next one is written.
 """
 
 from __future__ import annotations

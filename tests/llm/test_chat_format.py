@@ -16,6 +16,13 @@ def brute(rows):
         for a, b in zip(out, out[1:]):
             if a[0] == 0 and b[0] > 0 and re.search(C.ANNOUNCES, a[1]):
                 a[0] = -1
+        runs = []
+        for (n, x), last in zip(out, [None, *out]):
+            if last and x.strip() and last[1].strip() and last[0] == n:
+                runs[-1][1].append(x)
+            else:
+                runs.append((n, [x]))
+        out += [[n, " ".join(xs)] for n, xs in runs if len(xs) > 1]
         parse.setdefault((conv, turn), []).append(out)
     norm = lambda s: re.sub(r"\s+", " ", s.lower()).strip()
     own = {k: {norm(x) for ls in v for n, x in ls if n == 0} for k, v in parse.items()}
@@ -71,3 +78,11 @@ def test_nulls_and_empty_tables(spark):
     got = C.format_chat(df).collect()
     assert len(got) == 5 and all(r["depth"] == 0 and r["parent"] is None for r in got)
     assert C.format_chat(df.limit(0)).count() == 0
+
+
+def test_a_passage_that_was_wrapped_anew_finds_its_source(spark):
+    original = "The first words of it\nand then some more words\nand the last ones.\n\nSomething else"
+    rows = [(1, 0, "a", original), (1, 1, "b", "No quote"), (1, 2, "a", "> > The first words of it and then\n> > some more words and the\n> > last ones.\n> No quote\nI see"), (1, 3, "b", "> the FIRST words of it and then some more words and the last ones.\nYes"), (1, 4, "b", "> words of it and then\nNo")]
+    got = {r["turn"]: r for r in C.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t]["parent"] for t in range(5)] == [None, None, 1, 0, None]
+    assert got[2]["n_quoted"] == 4 and got[3]["own_text"] == "Yes"

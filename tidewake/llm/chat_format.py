@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking.
 
 Each message is cut into lines with a quote level (how many > stand before it); the
-lines that announce a quote go with it. Quoted lines are normalised and hashed and looked
-up among the own lines of earlier messages of the same conversation: the latest earlier
-message that wrote the line is its source. A message replies to the source of most of
-its lines of the lowest quote level that has a source (ties: the later one). Following
+lines that announce a quote go with it. Quoted passages, which are runs of lines of one
+level, and their single lines are normalised and hashed and looked up among the own
+passages and lines of earlier messages of the same conversation: the latest earlier message
+that wrote one is its source. A passage that was wrapped anew so links as a whole, a part
+of one by its lines. A message replies to the source of most of its lines and passages of
+the lowest quote level that has a source (ties: the later one). Following
 replies upwards gives every message its thread, and (thread, turn) orders a conversation
 so that replies follow what they answer; the text keeps only what the message itself says.
 
@@ -14,7 +16,7 @@ by doubling, in rounds as many as the logarithm of the longest chain of replies.
 
 Defined results: a null text is empty; a message without quotes, or whose quotes have no
 source, starts its own thread; rows that repeat conversation and turn count as one
-message whose replies are the union, and each gives a row; a null conversation or turn
+message whose replies are the union, and each gives a row; a very long message is cut into lines whole; a null conversation or turn
 is linked with nothing; an empty table gives an empty table; other columns are left out.
 """
 
@@ -43,6 +45,21 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
 
 
+def passages(lines_: Column) -> Column:
+    """array<struct<level, line>> of the runs of several lines of one level, joined by spaces; a blank line ends a run."""
+    before = F.concat(F.array(F.lit(None).cast("struct<level:int,line:string>")), F.slice(lines_, F.lit(1), F.size(lines_) - 1))
+    blank = lambda x: F.trim(x["line"]) == ""
+
+    def piece(x: Column, last: Column) -> Column:
+        goes_on = last.isNotNull() & (last["level"] == x["level"]) & ~blank(x) & ~blank(last)
+        text = F.translate(x["line"], "\u0001\u0002\u0003", "")
+        return F.when(goes_on, F.concat(F.lit("\u0003"), text)).otherwise(F.concat(F.lit("\u0001"), x["level"].cast("string"), F.lit("\u0002"), text))
+
+    runs = F.split(F.array_join(F.zip_with(lines_, before, piece), ""), "\u0001")
+    several = F.filter(runs, lambda r: F.contains(r, F.lit("\u0003")))
+    return F.transform(several, lambda r: F.struct(F.substring_index(r, "\u0002", 1).cast("int").alias("level"), F.translate(F.substring_index(r, "\u0002", -1), "\u0003", " ").alias("line")))
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """messages with own_text and lines."""
     rows = messages.select("conv_id", "turn", "role", lines(F.col("text")).alias("lines"))
@@ -52,7 +69,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 def sources(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, level, source) of every quoted line that has one."""
-    said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("lines").alias("x"))
+    said = rows.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.concat("lines", passages(F.col("lines")))).alias("x"))
     said = said.select("conv_id", "turn", F.col("x.level").alias("level"), normalised(F.col("x.line")).alias("line")).where("line != '' and level >= 0")
     said = said.select("conv_id", "turn", "level", F.sha2("line", 256).alias("hash"))
     quoted = written(said.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.count(F.lit(1)).alias("n")), "quoted")
