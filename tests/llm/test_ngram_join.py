@@ -55,15 +55,14 @@ def test_join_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     rows = [(3 * i + 5, t) for i, t in enumerate(corpus(hot))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("class", ngram_join.F.lit("x"))
-    for every in (False, True):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df, all_links=every).collect()}
-        assert got == brute(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(df).collect()}
+    assert got == brute(rows)
 
 
 def test_hot_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT", 8)
-    monkeypatch.setattr(ngram_join, "LEADER_TOKENS", 500)
-    monkeypatch.setattr(ngram_join, "TRIE_TOKENS", 700)
+    monkeypatch.setattr(ngram_join, "TRIE_TOKENS", 500)
+    monkeypatch.setattr(ngram_join, "LEAST_SETS", 3)
     rng = random.Random(1)
     base = [f"b{i}" for i in range(60)]
     texts = []

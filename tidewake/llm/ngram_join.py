@@ -14,9 +14,9 @@ with equal sets, by a name of 128 bits, form one class and are joined as one.
 2. Verification. The candidates of one leader are stored in a trie, in which sets that
    begin alike share a path. The leader walks down it: the overlap counted along a path
    serves all sets below, and a subtree is left as soon as no size in it can reach the
-   needed overlap with the tokens that remain on both sides. Of a
-   class's candidates the first is tried at once, the others only if they are in another
-   component then (or all of them, if every link shall be counted).
+   needed overlap with the tokens that remain on both sides. Of the
+   leaders under which a class is listed the first is tried at once, the others only if they
+   are in another component then.
 3. Components of the links by alternating stars. A class under a leader that is not in
    its leader's component then walks down the trie of all classes under that leader,
    where subtrees of its own component are left at once, and links found join the
@@ -31,8 +31,8 @@ carry the whole name from there on, so two sets of one half are compared as two.
 Defined results: a null or blank text has an empty set, links with nothing and is its
 own component; equal rows and equal texts are one class; a null doc_id is never the
 smallest; an empty table gives an empty table; other columns play no part. Memory: a
-task holds one partition of tokens or one trie of about TRIE_TOKENS tokens (one set, if
-that is larger); a single text as a whole.
+task holds one partition of tokens or one trie of about TRIE_TOKENS tokens (LEAST_SETS
+sets, if they have more); a single text as a whole.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import DIGEST, digested, give_back, partitions, small_batches, table, tidily, without, written
@@ -53,8 +53,8 @@ from .hashing import blocks, mix, shingle_sets
 PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 64, 1 << 16, 1 << 24, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
-#: Tokens of the sets that one leader walks at a time, and of the tries in which sets under a leader meet each other.
-HOT, LEADER_TOKENS, TRIE_TOKENS = 48, 1 << 15, 1 << 21
+#: Tokens of the sets in one trie, if they are more than LEAST_SETS.
+HOT, TRIE_TOKENS, LEAST_SETS = 16, 1 << 15, 16
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
@@ -435,9 +435,14 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[t
         yield rows
 
 
+def tries(tokens: Column, sets: Column) -> Column:
+    """Into how many tries so many sets are dealt: long ones aren't dealt one by one, as each trie gets its leader's text."""
+    return F.least(F.ceil(tokens / TRIE_TOKENS), F.ceil(sets / LEAST_SETS)).cast("int")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """(a, b): names of the pairs that reach the threshold."""
-    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n") / LEADER_TOKENS).cast("int").alias("salts"))
+    salts = pairs.groupBy("a").agg(tries(F.sum("n"), F.count(F.lit(1))).alias("salts"))
     members = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
     texts = texts.select("class", "name", "text")
     members = members.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "name", "text")
@@ -483,8 +488,8 @@ def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, level
     lead = known.select(F.col("class").alias("a"), F.col("component").alias("ca"))
     under = pairs.where("hot = 1").join(own, "b").join(lead, "a").select("a", F.col("b_name").alias("name"), "n", "cb", (F.col("ca") != F.col("cb")).alias("away"))
     under = written(under, "under-leaders")
-    open_ = under.groupBy("a").agg(F.sum("n").alias("n"), F.max("away").alias("any"))
-    open_ = open_.where("any").select("a", F.ceil(F.col("n") / TRIE_TOKENS).cast("int").alias("salts"))
+    open_ = under.groupBy("a").agg(tries(F.sum("n"), F.count(F.lit(1))).alias("salts"), F.max("away").alias("any"))
+    open_ = open_.where("any").select("a", "salts")
     under = under.join(open_, "a").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
     members = under.select("a", "salt", F.lit(1).alias("member"), "away", "name", "cb", "n")
     # a class that is away walks its own trie as a member, and those of the other salts
@@ -571,8 +576,8 @@ def components_of(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("name"), F.col("v").alias("component")).unionByName(tops)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), all_links: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links, keep) of every row of docs; keep: string columns of docs; n_links: how many links of its class were verified: those that make the components, or, with all_links, all but some between classes of one component that a hot token lists."""
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links, keep) of every row of docs; keep: string columns of docs; n_links: how many links of its class were verified: all but some between classes of one component that a token of more than HOT classes lists."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
@@ -590,14 +595,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stand = classes.join(ends, "class").select("name", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
     bits = spark.sparkContext.broadcast(bits_of(stand))
     texts = written(texts_of(docs, bits), "texts")
-    every = pairs.select("a", "b", "n")
-    first = every.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n")).select("a", "b", "n")
-    links = written(verified(every if all_links else first, texts, levels), "first-links")
+    listed = pairs.where("hot = 1").select("a", "b", "n")
+    first = listed.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n")).select("a", "b", "n")
+    links = written(verified(pairs.where("hot = 0").select("a", "b", "n").unionByName(first), texts, levels), "first-links")
+    components = components_of(links)
+    others = written(apart(listed, placed(texts, components)), "others")
+    links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
     components = components_of(links)
-    if not all_links:
-        others = written(apart(every, placed(texts, components)), "others")
-        links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
-        components = components_of(links)
     more = written(rest_of_hot(pairs, components, texts, levels), "more-links")
     for held in (levels, bits):  # all that reads them is written
         held.destroy()
