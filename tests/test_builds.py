@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewake.functions import sizes, vectors
-from tidewake.operators import filters, gates, maintenance, reports, shaping
+from tidewake.operators import filters, gates, maintenance, reports, retrieval, shaping
 from tidewake.plans import sync as syncing
 from tidewake.sources import deliveries, files, logs
 from tidewake.streaming import events
@@ -154,3 +154,41 @@ def test_resets_by_a_start(spark):
     got = lambda started: {r["name"]: r["reset"] for r in reports.resets(rows, t("01:00"), t("03:00"), started).collect()}
     assert got(None) == got(t("01:00")) == got(t("03:01")) == {"a_total": False, "b": False} and got(t("03:00")) == {"a_total": True, "b": False}
     assert reports.counter_summary(rows.where("name = 'a_total'"), t("01:00"), t("03:00"), t("02:00")).first()["delta"] is None
+
+
+def test_one_file(spark, tmp_path):
+    (tmp_path / "a.go").write_text("func a() {}\n")
+    (tmp_path / "big.go").write_text("x" * 50)
+    (tmp_path / "bad.go").write_bytes(b"\xff\xfe")
+    (tmp_path / "d").mkdir()
+    (tmp_path / "x.png").write_bytes(b"1")
+    got = {p: files.one(spark, f"file://{tmp_path}", p, 40).first() for p in ("a.go", "big.go", "bad.go", "d", "x.png", "gone.go")}
+    assert {p: (r["fate"], r["reason"]) for p, r in got.items()} == {"a.go": ("processed", None), "big.go": ("skipped", "oversize"), "bad.go": ("skipped", "non_utf8"), "d": ("removed", "not_regular"), "x.png": ("removed", "ignored"), "gone.go": ("removed", "absent")}
+    assert got["a.go"]["hash"] and got["big.go"]["hash"] is None and got["bad.go"]["content"] is None
+
+
+def test_totals_of_a_scan(spark):
+    src = spark.createDataFrame([("a.go", "func a() {}\n" * 400), ("b.png", "x"), ("c.go", "c")], "path string, content string")
+    chunks, totals = syncing.scanned(src)
+    n = chunks.count()
+    assert {r["reason"]: (r["files"], r["chunks"]) for r in totals.collect()} == {"indexed": (2, n), "ignored": (1, 0)} and n > 2
+
+
+def test_cells_on_disk(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    middle = rng.normal(size=(6, 16))
+    rows = [(i, (middle[i % 6] + 0.2 * rng.normal(size=16)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    centres = retrieval.fitted_centres(df, 6)
+    path = f"file://{tmp_path}/cells"
+    retrieval.write_cells(df, centres, path)
+    assert spark.read.parquet(f"{path}/rows").count() == 600
+    hit = 0
+    for i in range(0, 600, 50):
+        exact = [r["id"] for r in retrieval.search(df, rows[i][1], limit=10).collect()]
+        near = retrieval.search_cells(spark, path, rows[i][1], 2, limit=10)
+        hit += len(set(exact) & {r["id"] for r in near.collect()})
+        assert [r["id"] for r in retrieval.search_cells(spark, path, rows[i][1], 6, limit=10).collect()] == exact
+    assert hit >= 0.9 * 120 and "PartitionFilters: [cell" in near._jdf.queryExecution().toString()

@@ -25,12 +25,14 @@ def postings(docs: DataFrame, id_col: str = "id", text: str = "content") -> Data
 def bm25(docs: DataFrame, query: str, id_col: str = "id", text: str = "content", k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of the documents that share a term with the query.
 
-    Only the query's terms are exploded: one pass counts them in each document, and the statistics of the corpus are one small row.
+    Texts are cut into words once: of each document its length and those of its words that the query has go through an exchange that both the statistics of the corpus and the search read. Only these words are exploded.
     """
-    wanted = docs.sparkSession.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("term"))
-    sized = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("w")).withColumn("len", F.size("w"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    found = sized.select("id", "len", F.explode("w").alias("term")).join(F.broadcast(wanted), "term").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    wanted = [r["t"] for r in docs.sparkSession.range(1).select(F.explode(F.array_distinct(terms(F.lit(query)))).alias("t")).collect()]  # the query's words
+    cut = docs.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("w"))
+    sized = cut.select("id", F.size("w").alias("len"), F.filter("w", lambda t: t.isin(wanted)).alias("hits")).repartition("id")
+    # the hash keeps all columns, without which the exchange would be another one
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), F.max(F.xxhash64("id", "hits")).alias("_all")).where("_all is not null or n >= 0").select("n", "avg")
+    found = sized.select("id", "len", F.explode("hits").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     return weighed(found, stats, k1, b)
 
 

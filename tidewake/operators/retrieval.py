@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,6 +86,41 @@ def assign_cells(rows: DataFrame, centres: Sequence[Sequence[float]], vector: st
     return rows.withColumn("cell", -best["n"])
 
 
+#: Vectors that centres are fitted on, at most.
+FIT_ROWS = 4096
+
+
+def fitted_centres(rows: DataFrame, cells: int, vector: str = "vector", id_col: str = "id", rounds: int = 10) -> list[list[float]]:
+    """Centres of cells by k-means over the directions of at most FIT_ROWS vectors, those whose ids have the smallest hashes."""
+    import numpy as np
+
+    some = rows.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(vector).limit(FIT_ROWS).collect()
+    v = np.array([r[0] for r in some], float)
+    if not len(v):
+        return []
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    centres = v[:cells].copy()
+    for _ in range(rounds):
+        near = (v @ centres.T).argmax(1)
+        for k in range(len(centres)):
+            mine = v[near == k]
+            if len(mine):
+                centres[k] = mine.sum(0) / max(np.linalg.norm(mine.sum(0)), 1e-12)
+    return centres.tolist()
+
+
+def write_cells(rows: DataFrame, centres: Sequence[Sequence[float]], path: str, vector: str = "vector") -> None:
+    """Keep rows by cell, with the centres beside them, so that a search opens the folders of the cells it probes only. Every row is in one cell."""
+    assign_cells(rows, centres, vector).write.partitionBy("cell").mode("overwrite").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(i, list(map(float, c))) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+
+def search_cells(spark: SparkSession, path: str, query: Sequence[float], probes: int, **how) -> DataFrame:
+    """approximate over what write_cells kept; with as many probes as cells the exact search."""
+    centres = [r["centre"] for r in spark.read.parquet(f"{path}/centres").orderBy("cell").collect()]  # a row for each cell
+    return approximate(spark.read.parquet(f"{path}/rows"), query, centres, probes, **how)
+
+
 def without_overlaps(rows: DataFrame, path: str = "relative_path", rank: str = "rank", start: str = "start_line", end: str = "end_line") -> DataFrame:
     """In rank order, rows without those of which over half the lines lie in one row of the same file that is kept.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import chunk_id, content_key, extension
 from ..operators.guards import absence, admitted, suspicious, wave
-from ..operators.maintenance import reindexed
+from ..operators.maintenance import reindexed, run_totals
 from ..operators.reuse import reuse
 from ..operators.shaping import embedded, file_chunks, split_rows
 from ..operators.snapshots import diff
@@ -37,6 +37,14 @@ def chunk_rows(files: DataFrame, byte_budget: int, model: str = "") -> DataFrame
     return rows.select(key.alias("id"), "content", "relative_path", "start_line", "end_line", extension(F.col("relative_path")).alias("file_extension"), "split_part", content_key(F.col("content")).alias("content_hash"), F.lit(model).alias("embedding_model"), F.lit(None).cast("array<float>").alias("vector"))
 
 
+def scanned(files: DataFrame, byte_budget: int = 1152, model: str = "") -> tuple[DataFrame, DataFrame]:
+    """All chunks of files (path, content), without vectors, and the totals of the scan by reason."""
+    seen = gated(files)
+    kept = seen.where("reason is null").select("path", F.col("content").cast("string").alias("content"))
+    chunks = chunk_rows(kept, byte_budget, model)
+    return chunks, run_totals(seen, F.col("reason"), chunks)
+
+
 def sync(files: DataFrame, rows: DataFrame, snapshot: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, catalog: DataFrame | None = None, stores: Sequence[DataFrame] = (), model: str = "", byte_budget: int = 1152, kind: str = "code", confirmed: bool = False, expected_chunks: int = 0) -> Outcome:
     """Bring rows and snapshot in step with files (path, content).
 

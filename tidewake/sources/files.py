@@ -24,6 +24,23 @@ def gated(files: DataFrame, limit: int = FILE_BYTES, excluded: Column | None = N
     return files.withColumn("reason", verdict(F.col("path"), F.octet_length("content"), text_ok, excluded=excluded, limit=limit))
 
 
+def fate(reason: Column) -> Column:
+    """What becomes of a file with this reason: processed (none), skipped (too large or not UTF-8: its rows stay as they are) or removed (it isn't to be indexed: its rows go)."""
+    return F.when(reason.isNull(), "processed").when(reason.isin("oversize", "non_utf8"), "skipped").otherwise("removed")
+
+
+def one(spark: SparkSession, root: str, path: str, limit: int = FILE_BYTES) -> DataFrame:
+    """(path, content, hash, reason, fate) of one file below root; a file that isn't there is removed."""
+    base = root.rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{path}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or not fs.getFileStatus(at).isFile():
+        return spark.createDataFrame([(path, None, None, "not_regular" if fs.exists(at) else "absent", "removed")], "path string, content binary, hash string, reason string, fate string")
+    rows = gated(spark.read.format("binaryFile").load(f"{base}/{path}").select(F.lit(path).alias("path"), "content", "length"), limit)
+    kept = F.col("reason").isNull()
+    return rows.select("path", F.when(kept, F.col("content")).alias("content"), F.when(kept, F.sha2("content", 256)).alias("hash"), "reason", fate(F.col("reason")).alias("fate"))
+
+
 def captured(files: DataFrame) -> DataFrame:
     """(path, hash) of the files without a reason against them."""
     return files.where("reason is null").select("path", F.sha2("content", 256).alias("hash"))
