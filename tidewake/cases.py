@@ -12,6 +12,7 @@ from .catalog import EDGES, FILES, MESSAGES, PAGE_PATHS, edges, files, knn, mess
 from .functions import keys, sizes, status, vectors
 from .operators import filters, gates, graph, guards, maintenance, paths, reports, reuse, shaping, snapshots
 from .session import table
+from .sources import logs
 from .streaming import events as event_streams
 
 # -- retrieval --------------------------------------------------------------------------------
@@ -92,6 +93,16 @@ def message_pieces(spark, sf):
     return shaping.message_rows(m, 11).select("conversation_id", "message_index", "relative_path", "content")
 
 
+@query(f"SELECT conversation_id, message_index FROM {MESSAGES} WHERE message_index % 3 = 1 AND starts_with(conversation_id, 'cursor:') AND message_index < 6 AND role IN ('user', 'assistant')")
+def conversation_filter_all(spark, sf):
+    """Every clause of the filter at once."""
+    n = F.col("message_index")
+    m = messages(spark, sf).withColumns({"provider": keys.provider(F.col("conversation_id")), "workspace_root": F.when(n < 6, "/w").otherwise("/v"), "parent_conversation_id": F.when(n % 3 == 1, "p").otherwise(""), "archived": F.when(n % 3 == 1, True)})
+    ids = [r[0] for r in m.select("conversation_id").distinct().collect()]
+    f = filters.ConversationFilter(providers=["cursor"], workspace_roots=["/w", "/x"], roles=["USER", "Assistant"], conversation_ids=ids, parent_conversation_id="p", from_unix=1, until_unix=1 << 40, message_index_from=1, message_index_until=6, archived=True)
+    return m.where(f.predicate()).select("conversation_id", "message_index")
+
+
 # -- sizes, keys and status -------------------------------------------------------------------
 
 
@@ -333,6 +344,43 @@ def chunk_outcomes(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.explode(rows).alias("x")).select("o_orderkey", "x.kind", "x.count")
 
 
+def log_lines(spark, sf) -> DataFrame:
+    """A log: counters, spans, messages of other kinds, and lines that aren't JSON objects."""
+    i = F.col("event_id")
+    at = F.date_format(F.timestamp_micros(F.lit(1_700_000_000_000_000) + i * 1_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    counters = F.to_json(F.struct(at.alias("time"), F.lit(logs.SAMPLE_MESSAGE).alias("msg"), F.lit("INFO").alias("level"), i.alias("jobs_active"), (i * 2).alias("embed_vectors_total"), F.lit("x").alias("note")))
+    parent = F.when(i % 8 == 1, F.lit("")).otherwise(F.concat(F.lit("s"), (i - 4).cast("string")))
+    span = F.to_json(F.struct(at.alias("time"), F.lit(logs.SPAN_MESSAGE).alias("msg"), F.lit("run").alias("span"), F.concat(F.lit("s"), i.cast("string")).alias("span_id"), parent.alias("parent_span_id"), F.lit("j").alias("job_id"), (i * 1.5).alias("duration_ms")))
+    line = F.when(i % 4 == 0, counters).when(i % 4 == 1, span).when(i % 4 == 2, F.when(i % 8 == 2, "[1, 2]").otherwise("{torn")).otherwise(F.to_json(F.struct(F.lit("other").alias("msg"))))
+    return logs.checked(table(spark, sf, "events").select(line.alias("line")))
+
+
+@query("""SELECT 1700000000 + event_id AS at, name, value FROM (SELECT event_id, unnest(['jobs_active', 'embed_vectors_total']) AS name, unnest([event_id, event_id * 2]) AS value FROM events WHERE event_id % 4 = 0)""")
+def log_samples(spark, sf):
+    return logs.samples(log_lines(spark, sf)).select(F.unix_seconds("at").alias("at"), "name", "value")
+
+
+@query("""SELECT 1700000000 + event_id AS at, 'run' AS name, 's' || event_id AS span_id, CASE WHEN event_id % 8 <> 1 THEN 's' || (event_id - 4) END AS parent_span_id, 'j' AS job_id, CAST(floor(event_id * 1.5) AS BIGINT) AS duration_ms FROM events WHERE event_id % 4 = 1""")
+def log_spans(spark, sf):
+    return logs.spans(log_lines(spark, sf)).withColumn("at", F.unix_seconds("at"))
+
+
+@query("SELECT count(*) AS malformed FROM events WHERE event_id % 4 = 2")
+def log_malformed(spark, sf):
+    return logs.malformed(log_lines(spark, sf))
+
+
+@query("""SELECT "offset", user_id::VARCHAR AS job_id, event_type AS state, n AS files FROM (SELECT event_id AS "offset", user_id, event_type, event_id % 5 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_id % 10 > 0) WHERE r = 1""")
+def journal_events(spark, sf):
+    """The last event of each job of a journal in which every tenth line is torn."""
+    i = F.col("event_id")
+    job = F.struct(F.col("user_id").cast("string").alias("id"), F.lit("c").alias("codebase_id"), F.col("event_type").alias("state"), F.create_map(F.lit("files_processed"), i % 5).alias("progress"))
+    line = F.to_json(F.struct(F.lit("x").alias("event"), F.lit("2024-01-01T00:00:00Z").alias("occurred_at"), job.alias("job")))
+    rows = table(spark, sf, "events").select(i.alias("offset"), F.when(i % 10 == 0, F.lit('{"event":')).otherwise(line).alias("line"))
+    last = reports.last_events(logs.events_of(logs.checked(rows)))
+    return last.select("offset", "job_id", "state", F.col("progress")["files_processed"].alias("files"))
+
+
 # -- maintenance and reuse --------------------------------------------------------------------
 
 

@@ -50,14 +50,17 @@ def allow_listed(files: DataFrame, paths: DataFrame) -> DataFrame:
     return files.join(paths.select("path").distinct(), "path", "left_semi")
 
 
-def append(rows: DataFrame, path: str, partition: str | None = None) -> int:
-    """Write rows to the table at path; returns how many were written, as the writer itself counted them."""
+def append(rows: DataFrame, path: str, partition: str | None = None, expected: int | None = None) -> int:
+    """Write rows to the table at path; returns how many were written, as the writer itself counted them. An error if they aren't as many as expected."""
     from pyspark.sql import Observation
 
     seen = Observation(f"append-{uuid.uuid4().hex}")
     writer = rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return int(seen.get["n"])
+    n = int(seen.get["n"])
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} rows written, {expected} expected")
+    return n
 
 
 def replace(rows: DataFrame, path: str) -> None:

@@ -14,8 +14,13 @@ SAMPLE_MESSAGE, SPAN_MESSAGE = "daemon.perf_counters", "daemon.span.completed"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, valid): a line over LINE_BYTES or that isn't a JSON object is not valid."""
-    text = spark.read.text(path).withColumnRenamed("value", "line").where("line != ''")
+    """(line, valid) of the lines of files."""
+    return checked(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
+def checked(text: DataFrame) -> DataFrame:
+    """text (line) with valid: a line over LINE_BYTES or that isn't a JSON object is not valid; empty lines go."""
+    text = text.where("line != ''")
     ok = (F.octet_length("line") <= LINE_BYTES) & F.coalesce(F.try_parse_json("line").isNotNull() & F.startswith(F.ltrim("line"), F.lit("{")), F.lit(False))
     return text.withColumn("valid", ok)
 
@@ -41,7 +46,11 @@ def malformed(logs: DataFrame) -> DataFrame:
 
 def job_events(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """Events of a job journal with offset, their place in the file. strict: a malformed line is an error instead of left out."""
-    rows = lines(spark, path).withColumn("offset", F.monotonically_increasing_id())
+    return events_of(lines(spark, path).withColumn("offset", F.monotonically_increasing_id()), strict)
+
+
+def events_of(rows: DataFrame, strict: bool = False) -> DataFrame:
+    """job_events of lines (line, valid, offset)."""
     if strict:
         rows = rows.withColumn("valid", F.when(~F.col("valid"), F.raise_error(F.lit("malformed line in the job journal")).cast("boolean")).otherwise(True))
     schema = "event string, occurred_at string, job struct<id:string,codebase_id:string,state:string,started_at:string,completed_at:string,updated_at:string,progress:map<string,bigint>>"
