@@ -73,6 +73,8 @@ def test_pii_query_columns(spark, tmp_path):
     for r in rows:
         spans = base_spans((HARD * 2)[r["doc_id"]])
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+        scores = [float(x) for x in r["scores"].split(",") if x]
+        assert len(scores) == len(r["spans"].split(",") if r["spans"] else []) and all(0.5 <= x <= 1 for x in scores)
         assert [r[f"n_{k}"] for k in PLAIN] == [sum(s[0] == k for s in spans) for k in PLAIN]
 
 

@@ -177,4 +177,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *[of(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *[of(k) for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
