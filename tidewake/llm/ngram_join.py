@@ -50,11 +50,11 @@ from .common import DIGEST, digested, give_back, partitions, small_batches, tabl
 from .hashing import blocks, mix, shingle_sets
 
 #: 7 * overlap >= 3 * (sum of sizes) is a similarity of 0.75.
-PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 64, 1 << 16, 1 << 24, 1 << 12
+PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 16, 1 << 16, 1 << 23, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
-#: Tokens of the sets in one trie, if they are more than LEAST_SETS.
-HOT, TRIE_TOKENS, LEAST_SETS = 16, 1 << 15, 16
+#: Tokens of the sets in one trie, and how many sets it holds at least, if there are as many, and at most.
+HOT, TRIE_TOKENS, LEAST_SETS, MOST_SETS = 32, 1 << 15, 16, 512
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
@@ -437,7 +437,7 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[t
 
 def tries(tokens: Column, sets: Column) -> Column:
     """Into how many tries so many sets are dealt: long ones aren't dealt one by one, as each trie gets its leader's text."""
-    return F.least(F.ceil(tokens / TRIE_TOKENS), F.ceil(sets / LEAST_SETS)).cast("int")
+    return F.greatest(F.least(F.ceil(tokens / TRIE_TOKENS), F.ceil(sets / LEAST_SETS)), F.ceil(sets / MOST_SETS)).cast("int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
