@@ -86,3 +86,16 @@ def test_a_passage_that_was_wrapped_anew_finds_its_source(spark):
     got = {r["turn"]: r for r in C.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [got[t]["parent"] for t in range(5)] == [None, None, 1, 0, None]
     assert got[2]["n_quoted"] == 4 and got[3]["own_text"] == "Yes"
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = talk(1) + talk(2)[:40] + [(0, 0, "user", "again\nCommon line"), (90, 0, "a", "  one\ntwo three\n\n four "), (90, 1, "b", "> one two three\n>> deep\n>> er\nok \n"), (90, 2, None, "Am Montag schrieb x:\n> ok\n"), (91, 0, "a", ""), (92, 3, "b", None)]
+    want = C.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]))
+    cur = con.sql(C.SQL)
+    assert cur.columns == want.columns
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in want.collect())

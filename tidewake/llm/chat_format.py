@@ -126,3 +126,25 @@ def format_chat(messages: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(table(spark, sf_dir, "conversations"))
+
+
+SQL = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS k, CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS ls FROM conversations),
+l AS (SELECT k, conv_id, turn, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM m),
+p AS (SELECT *, CAST(len(regexp_replace(regexp_extract(x, '^(?:[ \t]?>)+[ \t]?'), '[^>]', '', 'g')) AS INTEGER) AS lv, regexp_replace(x, '^(?:[ \t]?>)+[ \t]?', '') AS line FROM l),
+q AS (SELECT *, CASE WHEN lv = 0 AND lead(lv) OVER w > 0 AND regexp_matches(line, '^(?:On|Am|Le|El)\b.{0,200}(?:wrote|schrieb|a écrit|escribió)\s?.{0,80}:\s*$') THEN -1 ELSE lv END AS level FROM p WINDOW w AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT *, lag(level) OVER w = level AND trim(line) <> '' AND trim(lag(line) OVER w) <> '' AS goes_on FROM q WINDOW w AS (PARTITION BY k ORDER BY i)),
+u AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM r),
+said AS (SELECT conv_id, turn, level, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS t FROM (
+  SELECT conv_id, turn, level, line FROM u UNION ALL SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY i) FROM u GROUP BY k, conv_id, turn, level, run HAVING count(*) > 1
+) WHERE level >= 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+quoted AS (SELECT conv_id, turn, level, t, count(*) AS n FROM said WHERE level > 0 AND t <> '' GROUP BY ALL),
+found AS (SELECT a.conv_id, a.turn, a.level, a.t, a.n, max(b.turn) AS source FROM quoted a JOIN (SELECT DISTINCT conv_id, turn, t FROM said WHERE level = 0) b ON a.conv_id = b.conv_id AND a.t = b.t AND b.turn < a.turn GROUP BY ALL),
+votes AS (SELECT conv_id, turn, level, source, sum(n) AS n FROM found GROUP BY ALL),
+linked AS (SELECT conv_id, turn, arg_max(source, (-level, n, source)) AS parent, CAST(sum(n) AS BIGINT) AS n_linked FROM votes GROUP BY ALL),
+up AS (SELECT conv_id, turn, parent AS top, CAST(1 AS BIGINT) AS depth FROM linked UNION ALL SELECT up.conv_id, up.turn, linked.parent, up.depth + 1 FROM up JOIN linked ON linked.conv_id = up.conv_id AND linked.turn = up.top),
+thread AS (SELECT conv_id, turn, arg_max(top, depth) AS thread, max(depth) AS depth FROM up GROUP BY ALL),
+own AS (SELECT k, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS own_text, CAST(count(*) FILTER (level > 0) AS BIGINT) AS n_quoted FROM q GROUP BY k)
+SELECT m.conv_id, m.turn, role, own_text, n_quoted, coalesce(n_linked, 0) AS n_linked, parent, coalesce(thread, m.turn) AS thread, coalesce(depth, 0) AS depth, '<|' || coalesce(role, '') || '|>' || chr(10) || own_text || chr(10) AS formatted
+FROM m JOIN own USING (k) LEFT JOIN linked USING (conv_id, turn) LEFT JOIN thread USING (conv_id, turn)
+"""

@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_ngram_join": ngram_join.SQL,
+    "op3_chat_format": chat_format.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
