@@ -55,3 +55,30 @@ def test_work_tables_can_be_deleted(spark):
     assert kept.count() == 3 and os.path.isdir(folder)
     common.forget_work(spark)
     assert not os.path.isdir(folder)
+
+
+def values(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_values_of_the_hard_rows(spark):
+    df = table(spark)
+    ids = [r[0] for r in ROWS]
+    sets = [0, 2, 0, 0, 0, 1, 1, 2, 1, 1, 1]
+    tops = [None, 4, 1, 1, 2, 3, 3, 4, 5, 6, 7]
+    assert values(ngram_join.join(df), "doc_id", "n_shingles", "component_id") == sorted(zip(ids, sets, tops), key=repr)
+    keep, size = [1, 4, 1, 1, 1, 3, 3, 4, 5, 6, 7], [4, 2, 4, 4, 4, 2, 2, 2, 1, 1, 1]
+    assert values(exact_dedup.dedup(df), "doc_id", "keep_id", "group_size") == sorted(zip(ids, keep, size), key=repr)
+    found = decontaminate.scan(df, bench(spark)).collect()
+    hit = sorted(((r["doc_id"], r["n_words"], len(r["covered"]), tuple(r["items"])) for r in found), key=repr)
+    n_words = [0, 6, 0, 0, 0, 1, 1, 6, 3, 40_000, 1]
+    leak = [(6, ("3",)) if r[1] == "a b c d e f" else (0, ()) for r in ROWS]
+    assert hit == sorted(((i, n, *x) for i, n, x in zip(ids, n_words, leak)), key=repr)
+    model = language_id.train(["the cat sat on the mat"] * 2, ["en"] * 2, rounds=2)
+    letters = ["und", "en", "und", "und", "und", "en", "en", "en", "en", "en", "und"]
+    assert values(language_id.predict(df, model), "doc_id", "lang_pred") == sorted(zip(ids, letters), key=repr)
+    scores = values(toxicity.score(df, toxicity.Model(np.array([5], np.uint64), np.array([1.0]), top=np.zeros(4))), "doc_id", "score")
+    assert scores == sorted(((i, 0.5) for i in ids), key=repr)
+    assert values(pii.find(df).withColumn("n", F.size("pii")), "doc_id", "n") == sorted(((i, 0) for i in ids), key=repr)
+    placed = resharding.reshard(df, shards=4, old_shards=3).collect()
+    assert sorted((r["shard"], r["slot"]) for r in placed) == [(s, k) for s in range(4) for k in range(sum(r["shard"] == s for r in placed))]
