@@ -54,10 +54,12 @@ PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 16, 1 << 16, 1 << 23, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
 #: Tokens of the sets in one trie, and how many sets it holds at least, if there are as many, and at most.
-HOT, TRIE_TOKENS, LEAST_SETS, MOST_SETS = 32, 1 << 15, 16, 512
+HOT, TRIE_TOKENS, LEAST_SETS, MOST_SETS = 24, 1 << 15, 16, 512
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
+#: Parts of the classes under one leader, for the same reason.
+SPREAD = 16
 #: Bits of a signature at most.
 MOST_SIGNATURE = 1 << 16
 _U = np.uint64
@@ -259,6 +261,15 @@ def possible(rows: np.ndarray) -> np.ndarray:
     return (rows[:, 2] >= LISTED) | (rows[:, 2] + rest >= (3 * (m + n) + 6) // 7)
 
 
+def packed_rows(rows: np.ndarray) -> bytes:
+    """Rows of pairs column by column and packed: a pair may come from every task that met one of its tokens."""
+    return zlib.compress(np.ascontiguousarray(rows.T).tobytes(), 1)
+
+
+def unpacked_rows(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(blob), np.int64).reshape(4, -1).T
+
+
 def candidates(docs: DataFrame, levels) -> DataFrame:
     """(a, b, hot, n): the classes that may link, each pair once; n: the size of b."""
     n = partitions(docs.sparkSession)
@@ -275,13 +286,13 @@ def candidates(docs: DataFrame, levels) -> DataFrame:
             to = (mix(rows[:, 0].astype(_U) ^ mix(rows[:, 1].astype(_U))) % _U(n)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[by], np.arange(n + 1))
-            yield pd.DataFrame([(k, rows[by[i:j]].tobytes()) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i], columns=["bucket", "blob"])
+            yield pd.DataFrame([(k, packed_rows(rows[by[i:j]])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i], columns=["bucket", "blob"])
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[np.ndarray]] = {}
         for pdf in batches:
             for k, b in zip(pdf["bucket"], pdf["blob"]):
-                held.setdefault(k, []).append(np.frombuffer(b, np.int64).reshape(-1, 4))
+                held.setdefault(k, []).append(unpacked_rows(b))
         for k in list(held):
             rows = distinct(np.concatenate(held.pop(k)))
             rows = rows[possible(rows)]
@@ -440,10 +451,16 @@ def tries(tokens: Column, sets: Column) -> Column:
     return F.greatest(F.least(F.ceil(tokens / TRIE_TOKENS), F.ceil(sets / LEAST_SETS)), F.ceil(sets / MOST_SETS)).cast("int")
 
 
+def under_leader(pairs: DataFrame, leaders: DataFrame, how: str = "inner", by: str = "b") -> DataFrame:
+    """pairs with the columns of leaders (a, ...), which has a row for each of few a: each meets the classes under it in SPREAD parts."""
+    parts = leaders.withColumn("spread", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return pairs.withColumn("spread", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int")).join(parts, ["a", "spread"], how).drop("spread")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """(a, b): names of the pairs that reach the threshold."""
     salts = pairs.groupBy("a").agg(tries(F.sum("n"), F.count(F.lit(1))).alias("salts"))
-    members = pairs.join(salts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
+    members = under_leader(pairs, salts.where("salts > 1"), "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
     texts = texts.select("class", "name", "text")
     members = members.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "name", "text")
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -476,21 +493,26 @@ def placed(texts: DataFrame, components: DataFrame) -> DataFrame:
 
 def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs whose classes are in different components."""
-    a = known.select(F.col("class").alias("a"), F.col("component").alias("ca"))
+    a = leaders_of(pairs, known)
     b = known.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a").join(b, "b").where("ca != cb").select(pairs.columns).distinct()
+    return under_leader(pairs, a).join(b, "b").where("ca != cb").select(pairs.columns).distinct()
+
+
+def leaders_of(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, ca): the component of each leader."""
+    return pairs.select("a").distinct().join(known.select(F.col("class").alias("a"), F.col("component").alias("ca")), "a")
 
 
 def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, levels) -> DataFrame:
     """(a, b): links across components among the classes under one hot leader."""
     known = placed(texts, components)
     own = known.select(F.col("class").alias("b"), F.col("name").alias("b_name"), F.col("component").alias("cb"))
-    lead = known.select(F.col("class").alias("a"), F.col("component").alias("ca"))
-    under = pairs.where("hot = 1").join(own, "b").join(lead, "a").select("a", F.col("b_name").alias("name"), "n", "cb", (F.col("ca") != F.col("cb")).alias("away"))
+    listed = pairs.where("hot = 1")
+    under = under_leader(listed.join(own, "b"), leaders_of(listed, known)).select("a", F.col("b_name").alias("name"), "n", "cb", (F.col("ca") != F.col("cb")).alias("away"))
     under = written(under, "under-leaders")
     open_ = under.groupBy("a").agg(tries(F.sum("n"), F.count(F.lit(1))).alias("salts"), F.max("away").alias("any"))
     open_ = open_.where("any").select("a", "salts")
-    under = under.join(open_, "a").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
+    under = under_leader(under, open_, by="name").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int"))
     members = under.select("a", "salt", F.lit(1).alias("member"), "away", "name", "cb", "n")
     # a class that is away walks its own trie as a member, and those of the other salts
     guests = under.where("away and salts > 1").select("a", "salt", "name", "cb", "n", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
