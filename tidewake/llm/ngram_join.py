@@ -50,16 +50,18 @@ from .common import DIGEST, digested, give_back, partitions, small_batches, tabl
 from .hashing import blocks, mix, shingle_sets
 
 #: 7 * overlap >= 3 * (sum of sizes) is a similarity of 0.75.
-PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 16, 1 << 16, 1 << 23, 1 << 12
+PER_CELL, LEAST_CELLS, MOST_CELLS, SLICE = 32, 1 << 22, 1 << 23, 1 << 12
 BITS = 1 << 27
 LEVEL_BITS = 6
 #: Tokens of the sets in one trie, and how many sets it holds at least, if there are as many, and at most.
-HOT, TRIE_TOKENS, LEAST_SETS, MOST_SETS = 24, 1 << 15, 16, 512
+HOT, TRIE_TOKENS, LEAST_SETS, MOST_SETS = 48, 1 << 15, 16, 512
 FLUSH = 1 << 20
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
 #: Parts of the classes under one leader, for the same reason.
 SPREAD = 16
+#: Pairs that may be broadcast, counted before; about 40 bytes each.
+FEW = 50_000
 #: Bits of a signature at most.
 MOST_SIGNATURE = 1 << 16
 _U = np.uint64
@@ -458,13 +460,14 @@ def under_leader(pairs: DataFrame, leaders: DataFrame, how: str = "inner", by: s
 
 
 def verified(pairs: DataFrame, texts: DataFrame, levels) -> DataFrame:
-    """(a, b): names of the pairs that reach the threshold."""
+    """(a, b): names of the pairs that reach the threshold; pairs: written, so that they can be counted: few are sent to the texts instead of the texts to them."""
+    few = F.broadcast if pairs.limit(FEW + 1).count() <= FEW else lambda df: df
     salts = pairs.groupBy("a").agg(tries(F.sum("n"), F.count(F.lit(1))).alias("salts"))
     members = under_leader(pairs, salts.where("salts > 1"), "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int"))
     texts = texts.select("class", "name", "text")
-    members = members.join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "name", "text")
+    members = few(members).join(texts, F.col("b") == F.col("class")).select("a", "salt", F.lit(1).alias("member"), "name", "text")
     leaders = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    leaders = leaders.join(texts, F.col("a") == F.col("class")).select("a", "salt", F.lit(0).alias("member"), "name", "text")
+    leaders = few(leaders).join(texts, F.col("a") == F.col("class")).select("a", "salt", F.lit(0).alias("member"), "name", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
@@ -619,7 +622,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     texts = written(texts_of(docs, bits), "texts")
     listed = pairs.where("hot = 1").select("a", "b", "n")
     first = listed.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n")).select("a", "b", "n")
-    links = written(verified(pairs.where("hot = 0").select("a", "b", "n").unionByName(first), texts, levels), "first-links")
+    tried = written(pairs.where("hot = 0").select("a", "b", "n").unionByName(first), "tried")
+    links = written(verified(tried, texts, levels), "first-links")
     components = components_of(links)
     others = written(apart(listed, placed(texts, components)), "others")
     links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
