@@ -14,9 +14,7 @@ with equal sets, by a name of 128 bits, form one class and are joined as one.
 2. Verification. The candidates of one leader are stored in a trie, in which sets that
    begin alike share a path. The leader walks down it: the overlap counted along a path
    serves all sets below, and a subtree is left as soon as no size in it can reach the
-   needed overlap with the tokens that remain on both sides. Of the
-   leaders under which a class is listed the first is tried at once, the others only if they
-   are in another component then.
+   needed overlap with the tokens that remain on both sides.
 3. Components of the links by alternating stars. A class under a leader that is not in
    its leader's component then walks down the trie of all classes under that leader,
    where subtrees of its own component are left at once, and links found join the
@@ -494,13 +492,6 @@ def placed(texts: DataFrame, components: DataFrame) -> DataFrame:
     return texts.select("class", "name").join(components, "name", "left").select("class", "name", F.coalesce("component", "name").alias("component"))
 
 
-def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs whose classes are in different components."""
-    a = leaders_of(pairs, known)
-    b = known.select(F.col("class").alias("b"), F.col("component").alias("cb"))
-    return under_leader(pairs, a).join(b, "b").where("ca != cb").select(pairs.columns).distinct()
-
-
 def leaders_of(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(a, ca): the component of each leader."""
     return pairs.select("a").distinct().join(known.select(F.col("class").alias("a"), F.col("component").alias("ca")), "a")
@@ -620,13 +611,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     stand = classes.join(ends, "class").select("name", F.coalesce("least", F.lit(NO_ID)).alias("doc_id"))
     bits = spark.sparkContext.broadcast(bits_of(stand))
     texts = written(texts_of(docs, bits), "texts")
-    listed = pairs.where("hot = 1").select("a", "b", "n")
-    first = listed.groupBy("b").agg(F.min("a").alias("a"), F.first("n").alias("n")).select("a", "b", "n")
-    tried = written(pairs.where("hot = 0").select("a", "b", "n").unionByName(first), "tried")
-    links = written(verified(tried, texts, levels), "first-links")
-    components = components_of(links)
-    others = written(apart(listed, placed(texts, components)), "others")
-    links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
+    links = written(verified(pairs.select("a", "b", "n"), texts, levels), "links")
     components = components_of(links)
     more = written(rest_of_hot(pairs, components, texts, levels), "more-links")
     for held in (levels, bits):  # all that reads them is written
