@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, fill_in_middle, html_text, language_id, ngram_join, packing, pii, resharding, toxicity
+from . import chat_format, decontaminate, exact_dedup, fill_in_middle, html_text, language_id, ngram_join, packing, pii, resharding, toxicity, vector_codes
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_packing": packing.query,
     "op10_html_text": html_text.query,
+    "op11_vector_codes": vector_codes.query,
     "op13_fill_in_middle": fill_in_middle.query,
 }
 ORACLES = {
@@ -22,5 +23,6 @@ ORACLES = {
     "op3_chat_format": chat_format.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op11_vector_codes": vector_codes.SQL,
     "op13_fill_in_middle": fill_in_middle.SQL,
 }
