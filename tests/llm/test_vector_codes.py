@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidewake.llm import common
 from tidewake.llm import vector_codes as vc
 
 
@@ -64,9 +65,9 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("few", [vc.FEW, 20])
+@pytest.mark.parametrize("few", [common.FEW, 20])
 def test_equals_plain_loops(spark, monkeypatch, name, few):
-    monkeypatch.setattr(vc, "FEW", few)  # with 20 only the heaviest keys are broadcast
+    monkeypatch.setattr(common, "FEW", few)  # with 20 only the heaviest keys are broadcast
     rows, how = CASES[name]
     rows = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").collect()  # as floats
     rows = [tuple(r) for r in rows]

@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +102,26 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
+#: Keys that may be broadcast because each has at least this share of all rows: so many at most.
+FEW = 10_000
+
+
+def met(rows: DataFrame, values: DataFrame, on: Sequence[str], total: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of values for their key, null equal to null; values: a row for each key, with how many of the total rows have it as weight.
+
+    Keys of a FEW-th of all rows or more are FEW at most and are broadcast, so that no task gets
+    all rows of one. how: inner, or left to keep rows without a value.
+    """
+    heavy = F.col("weight") * FEW >= total
+    named = values.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in values.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    few = F.broadcast(named.where(heavy))
+    gone = [f"_{c}" for c in on] + ["weight"]
+    return rows.join(few, same).drop(*gone).unionByName(rows.join(few, same, "left_anti").join(named.where(~heavy), same, how).drop(*gone))
+
+
 def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, most_bytes: int) -> list[tuple[str, object]]:
     """(text, label) of at most size documents of each label, those with the smallest hashes of doc_id, and of at most most_bytes of whole texts in all.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, fill_in_middle, html_text, language_id, ngram_join, packing, pii, resharding, toxicity, vector_codes
+from . import chat_format, decontaminate, exact_dedup, fill_in_middle, html_text, language_id, ngram_join, packing, pii, resharding, toxicity, vector_codes, warc_zip
 
 QUERIES = {
     "op1_ngram_join": ngram_join.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_html_text": html_text.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_warc_zip": warc_zip.query,
     "op13_fill_in_middle": fill_in_middle.query,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_decontaminate": decontaminate.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op11_vector_codes": vector_codes.SQL,
+    "op12_warc_zip": warc_zip.SQL,
     "op13_fill_in_middle": fill_in_middle.SQL,
 }

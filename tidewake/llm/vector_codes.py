@@ -23,7 +23,7 @@ the input play no part. A label's sum that doesn't fit a long is null.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,13 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, tidily, written
+from .common import met, small_batches, table, tidily, written
 
 SCALE, PARTS, ENTRIES, ROUNDS = 256, 16, 64, 2
 #: A code has two hexadecimal digits.
 ENTRIES_MOST = 256
-#: Keys that may be broadcast because each has at least this share of all rows: so many at most.
-FEW = 10_000
 #: Rows whose distances are held at a time.
 AT_ONCE = 4096
 #: Codes, of two hexadecimal digits each, that are summed up in one long.
@@ -134,21 +132,6 @@ def coded(distinct: DataFrame, books: Books) -> DataFrame:
     return distinct.mapInArrow(tidily(run), "place int, part array<int>, weight long, part_code int, part_error long")
 
 
-def met(rows: DataFrame, values: DataFrame, on: Sequence[str], total: int) -> DataFrame:
-    """rows with the columns of values for their key, null equal to null; values: a row for each key, with how many of the total rows have it as weight.
-
-    Keys of a FEW-th of all rows or more are FEW at most and are broadcast, so that no task gets all rows of one.
-    """
-    heavy = F.col("weight") * FEW >= total
-    named = values.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in values.columns if c not in on])
-    same = F.lit(True)
-    for c in on:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    few = F.broadcast(named.where(heavy))
-    gone = [f"_{c}" for c in on] + ["weight"]
-    return rows.join(few, same).drop(*gone).unionByName(rows.join(few, same, "left_anti").join(named.where(~heavy), same).drop(*gone))
-
-
 def compress(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS) -> Compressed:
     """Codes and errors of every vector, and the codebooks; entries: ENTRIES_MOST at most."""
     if not 0 < entries <= ENTRIES_MOST:
