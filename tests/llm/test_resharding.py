@@ -71,3 +71,31 @@ def test_query_against_brute_force(spark, tmp_path):
     least = total - sum(min(old[k], total // 16) for k in range(12))
     moved = sum(r["size"] for r in out if r["shard"] != r["old_shard"])
     assert least - 160 <= moved <= least + 0.02 * total
+
+
+def shards_of(out):
+    sizes, slots = Counter({k: 0 for k in range(16)}), defaultdict(list)
+    for r in out:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return sizes.values()
+
+
+def test_equal_rows_are_spread(spark):
+    rows = [(7, "x" * 1000)] * 4_000 + [(i, "y" * 20) for i in range(100, 500)] + [(None, "z" * 300)] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    sizes = shards_of(resharding.reshard(df).collect())
+    assert sum(sizes) == sum(len(t) + 1 for _, t in rows) and max(sizes) - min(sizes) <= 2 * 1001
+
+
+def test_one_row_repeated_and_nothing_else(spark):
+    df = spark.createDataFrame([(1, "abc")] * 1_600, "doc_id long, text string")
+    assert set(shards_of(resharding.reshard(df).collect())) == {400}
+
+
+def test_parts_of_blocks_are_bounded():
+    total = 10**15
+    hot = [(0, k, total // 20) for k in range(10)]  # half of all bytes in ten blocks
+    mean = total // resharding.BLOCKS
+    assert sum(-(-b // mean) for _, _, b in hot) <= resharding.BLOCKS + len(hot)

@@ -6,10 +6,13 @@ most in all, and only the blocks' sizes come to the driver. A minimum-cost flow
 from old shards to new ones, where a byte that stays costs nothing and a byte that
 moves costs one, says how many bytes go where; whole blocks, the largest first,
 fill those amounts. Rows follow their block; a row's slot is its block's first slot
-plus its place in the block, so no shard is ever sorted as a whole.
+plus its place in the block, so no shard is ever sorted as a whole. A block that is much
+larger than the mean, as one of many equal rows, is first cut into parts by row, as many
+as it has means; that adds as many parts as there are blocks at most.
 
-Defined results: a null text has size 1; equal rows are placed side by side, in any
-order, and rows that repeat a doc_id, or have none, each get a place of their own; a very
+Defined results: a null text has size 1; equal rows can be told apart by their place
+only, so any of them may lie in any place that they hold, in several shards if they are
+many; rows that repeat a doc_id, or have none, each get a place of their own; a very
 long text makes its shard larger by itself at most; an empty table gives an empty table;
 more shards than rows leave shards empty. Other columns of the input play no part in the
 placement.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections import defaultdict, deque
+from collections.abc import Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +34,8 @@ from .common import delete, table, written
 #: The most blocks, whatever the input: what the driver holds and broadcasts.
 BLOCKS = 65_536
 OLD_SHARDS, NEW_SHARDS = 12, 16
+#: Blocks of so many means are cut.
+LARGE = 4
 
 
 def min_cost_flow(supply: list[int], room: list[int]) -> dict[tuple[int, int], int]:
@@ -72,7 +78,7 @@ def min_cost_flow(supply: list[int], room: list[int]) -> dict[tuple[int, int], i
     return {k: supply[k[0]] - e[1] for k, e in across.items() if supply[k[0]] > e[1]}
 
 
-def place(blocks: list[tuple[int, int, int, int]], shards: int) -> tuple[dict[tuple[int, int], tuple[int, int]], int]:
+def place(blocks: list[tuple[int, Hashable, int, int]], shards: int) -> tuple[dict[tuple[int, Hashable], tuple[int, int]], int]:
     """blocks: (old shard, block, bytes, rows). Returns new shard and first slot of each (old shard, block), and the bytes moved."""
     supply: dict[int, int] = defaultdict(int)
     for old, _, size, _ in blocks:
@@ -117,15 +123,30 @@ def sized(docs: DataFrame, id_col: str, text_col: str, old_shard: Column | None,
     return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(BLOCKS // old_shards)).cast("int"))
 
 
+def cut_large(rows: DataFrame, blocks: list) -> DataFrame:
+    """rows with part: 0, or for the rows of a large block one of as many parts as the block has means of bytes."""
+    spark = rows.sparkSession
+    mean = max(1, sum(b["bytes"] for b in blocks) // BLOCKS)
+    large = [(b["old_shard"], b["block"], -(-b["bytes"] // mean)) for b in blocks if b["n"] > 1 and b["bytes"] > LARGE * mean]
+    if not large:
+        return rows.withColumn("part", F.lit(0).cast("long"))
+    large = F.broadcast(spark.createDataFrame(large, "old_shard int, block int, parts long"))  # BLOCKS / LARGE rows at most
+    # written, as a row has its part by where it is read
+    apart = rows.join(large, ["old_shard", "block"]).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), "parts")).drop("parts")
+    return rows.join(large, ["old_shard", "block"], "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(written(apart, "parts-of-blocks"))
+
+
 def reshard(docs: DataFrame, shards: int = NEW_SHARDS, old_shard: Column | None = None, old_shards: int = OLD_SHARDS, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """(doc_id, size, text_crc32, old_shard, shard, slot) of every row, and row, all its columns, if whole; old_shard: by default a hash of the identifier."""
     spark = docs.sparkSession
-    rows = sized(docs, id_col, text_col, old_shard, old_shards, whole)
-    blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # BLOCKS rows at most
-    places, _ = place([tuple(r) for r in blocks], shards)
-    plan = spark.createDataFrame([(*k, *v) for k, v in places.items()], "old_shard int, block int, shard int, first long")
-    order = Window.partitionBy("old_shard", "block").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(plan), ["old_shard", "block"])
+    rows, amounts = sized(docs, id_col, text_col, old_shard, old_shards, whole), [F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")]
+    blocks = rows.groupBy("old_shard", "block").agg(*amounts).collect()  # BLOCKS rows at most
+    rows = cut_large(rows, blocks)
+    blocks = rows.groupBy("old_shard", "block", "part").agg(*amounts).collect()  # twice as many at most
+    places, _ = place([(b["old_shard"], (b["block"], b["part"]), b["bytes"], b["n"]) for b in blocks], shards)
+    plan = spark.createDataFrame([(old, *block, *at) for (old, block), at in places.items()], "old_shard int, block int, part long, shard int, first long")
+    order = Window.partitionBy("old_shard", "block", "part").orderBy("doc_id", "text_crc32", "size")
+    placed = rows.withColumn("place", F.row_number().over(order) - 1).join(F.broadcast(plan), ["old_shard", "block", "part"])
     return placed.select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("first") + F.col("place")).alias("slot"), *(["row"] if whole else []))
 
 
