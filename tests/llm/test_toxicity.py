@@ -65,3 +65,30 @@ def test_near_copies_do_not_teach_words():
     out = model.of_block([b"a zebra here", b"an idiot here"])
     assert out[0][0] < 0.5 < out[1][0] and not out[0][1]
     assert re.fullmatch("idiot", "an idiot here"[out[1][1][0][0] : out[1][1][0][1]])
+
+
+def test_minimal_pairs_are_told_apart():
+    rng = np.random.default_rng(3)
+    vocab = [f"word{i}" for i in range(300)]
+    clean = [" ".join(rng.choice(vocab, 40)) for _ in range(200)]
+    toxic = [f"{t} you are vile scum" for t in clean]
+    model = toxicity.train(clean + toxic, np.array([0] * 200 + [1] * 200))
+    scores = [s for s, _ in model.of_block([t.encode() for t in clean + toxic])]
+    assert max(scores[:200]) < 0.5 < min(scores[200:])
+
+
+def test_copies_of_one_label_share_one_text():
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    texts = [a, a + " end", b, a, "", "", f"{b} c d e f g"]
+    got = toxicity.shares([t.encode() for t in texts])
+    assert np.allclose(got, [1 / 3, 1 / 3, 1 / 2, 1 / 3, 1, 1, 1 / 2])
+    boiler = [f"one two three four five six {x} {x}{x} {x}y {x}z {x}u {x}v {x}w" for x in "abcdefgh"]
+    assert np.allclose(toxicity.shares([t.encode() for t in boiler]), 1)
+
+
+def test_boilerplate_drops_no_text():
+    rng = np.random.default_rng(4)
+    text = lambda: "a a a a a a a a " + " ".join(rng.choice([f"w{i}" for i in range(200)], 50))
+    clean, toxic = [text() for _ in range(60)], [text() + " vile" for _ in range(60)]
+    model = toxicity.train(clean + toxic, np.array([0] * 60 + [1] * 60))
+    assert [s >= 0.5 for s, _ in model.of_block([b"this is vile", b"this is fine"])] == [True, False]

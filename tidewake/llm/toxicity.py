@@ -7,8 +7,8 @@ two labels is trained by gradients from forward-backward. A logistic regression
 what the marginals of a text add up to gives the document's score.
 
 Training takes at most SAMPLE labelled texts of either label, whole, those whose ids have
-the smallest hashes, without near copies among them, and at most TRAIN_BYTES in all; that
-is all the driver holds. The chain learns from windows around every such word of toxic
+the smallest hashes, and at most TRAIN_BYTES in all; that is all the driver holds. Near
+copies of one label count as one text together. The chain learns from windows around every such word of toxic
 and of clean texts, and from one more window of each clean text. Scoring reads every text whole. Words without a known feature all
 have one emission, so runs of them are powers of one 2 x 2 matrix, and forward-backward
 is exact at the cost of the other words.
@@ -29,12 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DIGEST, digested, give_back, small_batches, table, tidily, training_sample, without
+from .common import DIGEST, digested, give_back, small_batches, table, tidily, training_sample, with_ids, without
 from .hashing import LETTERS, blocks, mix, shingle_sets, words
 from . import hashing
 
 SAMPLE, TRAIN_BYTES = 2_000, 12_000_000
 SIGNIFICANT = 16.0
+#: Similarity from which on texts of one label are copies of each other in training.
+SIMILAR = 0.5
 PREFIXES = (4, 5, 6)
 SPAN = 20
 _U = np.uint64
@@ -146,8 +148,8 @@ def significance(n: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(n[:, 1] > expected[:, 1], ratio, -ratio)
 
 
-def forward_backward(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of label 1, and expected transitions, of a batch of padded sequences."""
+def forward_backward(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of label 1, and expected transitions, of a batch of padded sequences; weight: what each counts among the transitions."""
     rows, steps = emission.shape
     e = np.stack([np.ones_like(emission), np.exp(np.clip(emission, -30, 30))], 2)
     t = np.exp(trans)
@@ -165,47 +167,56 @@ def forward_backward(emission: np.ndarray, mask: np.ndarray, trans: np.ndarray)
             nb = e[:, k] * b
             x = a[:, k - 1, :, None] * t * nb[:, None, :]
             x /= x.sum((1, 2), keepdims=True)
-            expected += x[mask[:, k]].sum(0)
+            expected += x[mask[:, k]].sum(0) if weight is None else np.tensordot(weight[mask[:, k]], x[mask[:, k]], 1)
             y = nb @ t.T
             b = np.where(mask[:, k, None], y / y.sum(1, keepdims=True), b)
     return p, expected
 
 
+def shares(texts: list[bytes]) -> np.ndarray:
+    """What each text counts: one over the number of its near copies, itself included, so that copies don't make their words look significant.
+
+    Texts that share one of their four smallest shingles with an earlier text, and SIMILAR of all shingles, are copies of that one.
+    """
+    sets, leaders, of = [frozenset(s.tolist()) for s in shingle_sets(texts)], {}, []
+    for i, s in enumerate(sets):
+        first = sorted(s)[:4]
+        near = {j for x in first for j in leaders.get(x, ()) if len(s & sets[j]) >= SIMILAR * len(s | sets[j])}
+        of.append(min(near, default=i))
+        if of[i] == i:
+            for x in first:
+                leaders.setdefault(x, []).append(i)
+    return 1 / np.bincount(of, minlength=len(of))[of] if of else np.zeros(0)
+
+
 def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0) -> Model:
     """The model from whole documents with labels 0 and 1."""
     if len(set(labels.tolist())) < 2:
         return Model()
-    seen: set[int] = set()
-    kept, y = [], []
-    for text, label in zip(texts, labels.tolist()):  # near copies would make any of their words look significant
-        data = (text or "").encode("utf-8", "surrogatepass")
-        least = set(shingle_sets([data])[0][:4].tolist())
-        if not least & seen:
-            kept.append(data)
-            y.append(label)
-        seen |= least
-    y = np.array(y)
-    if len(set(y.tolist())) < 2:
-        return Model()
+    kept = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    y = np.asarray(labels)
+    share = np.zeros(len(kept))
+    for label in (0, 1):
+        share[y == label] = shares([kept[i] for i in np.flatnonzero(y == label)])
     parts = [(kinds, int(first[-1])) for kinds, _, _, first in (features([t]) for t in kept)]
-    def distinct(label: int) -> list[np.ndarray]:
-        return [np.unique(np.concatenate(kinds)) for (kinds, _), own in zip(parts, y.tolist()) if own == label]
-
-    names, toxic = np.unique(np.concatenate(distinct(1)), return_counts=True)
-    names, toxic = names[use := (toxic >= 3) & (names != 0)], toxic[use]
+    words_of = [np.unique(np.concatenate(kinds)) for kinds, _ in parts]
+    toxic_words = np.concatenate([words_of[i] for i in np.flatnonzero(y == 1)])
+    names, back = np.unique(toxic_words, return_inverse=True)
+    toxic = np.bincount(back, np.concatenate([np.full(len(words_of[i]), share[i]) for i in np.flatnonzero(y == 1)]), len(names))
+    names, toxic = names[use := (toxic >= 3 - 1e-6) & (names != 0)], toxic[use]
     if not len(names):
         return Model()
     clean = np.zeros(len(names))
-    for h in distinct(0):
-        at = np.minimum(np.searchsorted(names, h), len(names) - 1)
-        clean[at[names[at] == h]] += 1
-    n = np.stack([clean, toxic.astype(float)], 1)
-    names = names[significance(n, np.array([(y == 0).sum(), (y == 1).sum()], float)) >= SIGNIFICANT]
+    for i in np.flatnonzero(y == 0):
+        at = np.minimum(np.searchsorted(names, words_of[i]), len(names) - 1)
+        clean[at[names[at] == words_of[i]]] += share[i]
+    n = np.stack([clean, toxic], 1)
+    names = names[significance(n, np.array([share[y == 0].sum(), share[y == 1].sum()])) >= SIGNIFICANT]
     model = Model(names, np.zeros(len(names)))
     rng = np.random.default_rng(seed)
     width = 2 * SPAN + 1
-    places, gold, lengths = [], [], []
-    for (kinds, size), label in zip(parts, y.tolist()):
+    places, gold, lengths, weight = [], [], [], []
+    for (kinds, size), label, own in zip(parts, y.tolist(), share.tolist()):
         at, ids = model.find(kinds)
         hit = np.unique(at)
         centre = hit if label else np.sort(np.r_[hit, rng.integers(0, max(size, 1), 1)])
@@ -223,12 +234,13 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0)
             places.append((np.full(use.sum(), row), at[use] - lo, ids[use]))
             gold.append([(row, t - lo) for t in hit[(hit >= lo) & (hit < hi)].tolist()] if label else [])
             lengths.append(hi - lo)
+            weight.append(own)
             lo = hi
     if not places or not any(gold):
         return Model()
     rows = len(lengths)
     r, c, f = (np.concatenate(x) for x in zip(*places))
-    mask = np.arange(width) < np.array(lengths)[:, None]
+    mask, weight = np.arange(width) < np.array(lengths)[:, None], np.array(weight)
     truth = np.zeros((rows, width))
     for g in gold:
         for i, j in g:
@@ -236,14 +248,14 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0)
     seen_trans = np.zeros((2, 2))
     for i in (0, 1):
         for j in (0, 1):
-            seen_trans[i, j] = ((truth[:, :-1] == i) & (truth[:, 1:] == j) & mask[:, 1:]).sum()
+            seen_trans[i, j] = weight @ ((truth[:, :-1] == i) & (truth[:, 1:] == j) & mask[:, 1:]).sum(1)
     theta = np.r_[np.zeros(len(names)), -3.0, np.zeros(4)]
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         emission = np.full((rows, width), theta[len(names)])
         emission += np.bincount(r * width + c, theta[f], rows * width).reshape(rows, width)
-        p, expected = forward_backward(emission, mask, theta[-4:].reshape(2, 2))
-        error = (p - truth) * mask
+        p, expected = forward_backward(emission, mask, theta[-4:].reshape(2, 2), weight)
+        error = (p - truth) * mask * weight[:, None]
         grad = np.r_[np.bincount(f, error[r, c], len(names)), error.sum(), (expected - seen_trans).ravel()]
         grad = grad + 0.05 * theta
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad**2
@@ -258,8 +270,8 @@ def train(texts: list[str], labels: np.ndarray, rounds: int = 60, seed: int = 0)
     x, w = np.array(x), np.zeros(4)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(4)
-        w = w - np.linalg.solve(h, x.T @ (q - y) + 0.1 * w)
+        h = (x * (share * q * (1 - q))[:, None]).T @ x + 0.1 * np.eye(4)
+        w = w - np.linalg.solve(h, x.T @ (share * (q - y)) + 0.1 * w)
     model.top = w
     return model
 
@@ -299,7 +311,7 @@ def score(docs: DataFrame, model: Model, keep: Sequence[str] = ()) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores, "spans": spans} | {c: pdf[c] for c in keep})
 
     schema = "doc_id long, score double, spans array<struct<start:long,end:long,p:double>>" + "".join(f", {c} string" for c in keep)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInPandas(tidily(run), schema)
+    return with_ids(docs.select("doc_id", "text", *keep), tidily(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
