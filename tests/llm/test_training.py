@@ -71,3 +71,10 @@ def test_pooled_probabilities_against_a_plain_loop():
         e = np.exp(logits - logits.max(1, keepdims=True))
         total += (e / e.sum(1, keepdims=True)).sum(0)
     assert np.allclose(m.pooled([b"x", text])[1], total / len(data), atol=1e-4)
+
+
+def test_text_and_label_of_one_row(spark):
+    df = spark.createDataFrame([(1, "the cat sat", "en"), (1, "le chat est assis la", "fr"), (1, "x", None), (2, "longer than", "en"), (2, "short", "en")], "doc_id long, text string, lang string")
+    got = common.training_sample(df, language_id.learnable(df.withColumn("doc_id", F.col("doc_id"))), "lang", 10, 10_000, own=True)
+    want = {(t, k) for i, t, k in [(1, "the cat sat", "en"), (1, "le chat est assis la", "fr"), (2, "short", "en")] if df.where(f"doc_id = {i} and pmod(crc32(cast(doc_id as string)), 4) != 2").count()}
+    assert set(got) == want and len(got) == len(want) >= 1

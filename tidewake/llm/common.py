@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import threading
 import uuid
@@ -102,6 +103,18 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
+def with_ids(df: DataFrame, run: Callable, schema: str, *ids: str) -> DataFrame:
+    """df.mapInPandas(run, schema), where ids, by default the first column of the schema, are longs that pass through as text: pandas would make numbers of doubles of them beside a null.
+
+    Every column of ids that df has goes in as text, and every one of the schema comes out as text and is a number again.
+    """
+    kinds = dict(x.strip().split(" ", 1) for x in re.split(r",(?![^<]*>)", schema))
+    names = ids or (next(iter(kinds)),)
+    sent = df.withColumns({c: F.col(c).cast("string") for c in names if c in df.columns})
+    back = sent.mapInPandas(run, ", ".join(f"{c} {'string' if c in names else kind}" for c, kind in kinds.items()))
+    return back.withColumns({c: F.col(c).cast(kinds[c]) for c in names})
+
+
 #: Keys that may be broadcast because each has at least this share of all rows: so many at most.
 FEW = 10_000
 
@@ -122,11 +135,12 @@ def met(rows: DataFrame, values: DataFrame, on: Sequence[str], total: int, how:
     return rows.join(few, same).drop(*gone).unionByName(rows.join(few, same, "left_anti").join(named.where(~heavy), same, how).drop(*gone))
 
 
-def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, most_bytes: int) -> list[tuple[str, object]]:
+def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, most_bytes: int, own: bool = False) -> list[tuple[str, object]]:
     """(text, label) of at most size documents of each label, those with the smallest hashes of doc_id, and of at most most_bytes of whole texts in all.
 
-    known: (doc_id, label), with a row for each pair or several equal ones. Of rows that repeat a
-    doc_id the shortest text is taken, then that with the smallest digest; a text that doesn't fit
+    known: (doc_id, label), with a row for each pair or several equal ones; own: docs has the
+    label of each row, and a text counts only under that of its own row. Of rows that repeat a
+    doc_id (and label, if own) the shortest text is taken, then that with the smallest digest; a text that doesn't fit
     into what is left of most_bytes is passed over. Hashes below a bound that keeps about twice
     as many as needed come to the driver, so no task sorts a label.
     """
@@ -147,7 +161,8 @@ def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, mo
             left[k] -= 1
             chosen.append((doc_id, k))
     kinds = f"doc_id {dict(known.dtypes)['doc_id']}, {label} {dict(known.dtypes)[label]}"
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(spark.createDataFrame(chosen, kinds)), "doc_id")
+    keys = ["doc_id", label] if own else ["doc_id"]
+    rows = docs.select(*keys, "text").where("text is not null").join(F.broadcast(spark.createDataFrame(chosen, kinds)), keys)
     rows = rows.groupBy("doc_id", label).agg(F.min(F.struct(F.octet_length("text").alias("bytes"), F.md5("text").alias("digest"), "text")).alias("x"))
     rows = written(rows.select("doc_id", label, F.xxhash64("doc_id").alias("at"), "x.bytes", "x.text"), "training")
     picked, held = [], 0

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, small_batches, table, tidily, training_sample
+from .common import give_back, small_batches, table, tidily, training_sample, with_ids
 from .hashing import LOWER, blocks
 
 SAMPLE, TRAIN_BYTES = 250, 8_000_000
@@ -190,7 +190,7 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = training_sample(docs, learnable(docs), "lang", sample, TRAIN_BYTES)
+    rows = training_sample(docs, learnable(docs), "lang", sample, TRAIN_BYTES, own=True)
     model = train([t for t, _ in rows], [lang for _, lang in rows])
     del rows
     give_back()
@@ -207,7 +207,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             out = [x for _, texts in blocks(pdf["text"]) for x in held.value.predict(texts)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in out], "score": [x[1] for x in out]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, lang_pred string, score double")
+    return with_ids(docs.select("doc_id", "text"), tidily(run), "doc_id long, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DIGEST, digested, give_back, partitions, small_batches, table, tidily, without, written
+from .common import DIGEST, digested, give_back, partitions, small_batches, table, tidily, with_ids, without, written
 from .hashing import blocks, mix, shingle_sets
 
 #: 7 * overlap >= 3 * (sum of sizes) is a similarity of 0.75.
@@ -138,9 +138,9 @@ def survey(docs: DataFrame, width: int, keep: Sequence[str] = ()) -> DataFrame:
             np.add.at(sketch, np.concatenate(waiting), 1)
         got = list(sliced(sketch, SLICE))
         if got:
-            yield pd.DataFrame({"doc_id": pd.array([None] * len(got), "Int64"), "n": pd.array([None] * len(got), "Int64"), "name": None, "class": pd.array([None] * len(got), "Int64"), "slice": [k for k, _ in got], "blob": [b for _, b in got]} | dict.fromkeys(keep))
+            yield pd.DataFrame({"doc_id": None, "n": pd.array([None] * len(got), "Int64"), "name": None, "class": pd.array([None] * len(got), "Int64"), "slice": [k for k, _ in got], "blob": [b for _, b in got]} | dict.fromkeys(keep))
 
-    return docs.select("doc_id", "text", *keep).mapInPandas(tidily(run), "doc_id long, n long, name binary, class long, slice int, blob binary" + "".join(f", {c} string" for c in keep))
+    return with_ids(docs.select("doc_id", "text", *keep), tidily(run), "doc_id long, n long, name binary, class long, slice int, blob binary" + "".join(f", {c} string" for c in keep))
 
 
 def levels_of(counts: np.ndarray, mean: float) -> np.ndarray:
@@ -349,14 +349,14 @@ def texts_of(docs: DataFrame, bits) -> DataFrame:
             for first, texts in blocks(pdf["text"]):
                 sets = shingle_sets(texts)
                 names = [name_of(s) for s in sets]
-                at = marks(names, pdf["doc_id"].iloc[first : first + len(texts)].fillna(NO_ID).to_numpy(np.int64))
+                at = marks(names, pdf["doc_id"].iloc[first : first + len(texts)].to_numpy(np.int64))
                 use = np.flatnonzero(wanted[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist()
                 use = [i for i in use if names[i] != EMPTY]
                 if use:
                     yield pd.DataFrame({"class": [half_of(names[i]) for i in use], "name": [names[i] for i in use], "signature": [signature(sets[i]) for i in use], "text": [zlib.compress(texts[i], 3) for i in use]})
 
     # of equal rows each gives a text
-    return docs.select("doc_id", "text").mapInPandas(tidily(run), "class long, name binary, signature binary, text binary").dropDuplicates(["name"])
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInPandas(tidily(run), "class long, name binary, signature binary, text binary").dropDuplicates(["name"])
 
 
 def unpacked_sets(packed: list[bytes], levels: np.ndarray) -> list[np.ndarray]:

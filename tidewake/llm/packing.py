@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import hashing
-from .common import small_batches, table, tidily, written
+from .common import small_batches, table, tidily, with_ids, written
 
 CAPACITY, END_ID = 4096, 1
 #: The pieces of one length are ranked in parts of about this many.
@@ -189,11 +189,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
             for doc_id, ids in zip(pdf["doc_id"], encoder.encode(pdf["text"].tolist())):
                 ids += end
                 rows += [(doc_id, k, at // 4, len(part := ids[at : at + step]) // 4, zlib.crc32(part)) for k, at in enumerate(range(0, len(ids), step))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(tidily(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return with_ids(docs.select("doc_id", "text"), tidily(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> dict[int, int]:
@@ -278,7 +276,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     order = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("place", F.row_number().over(order) - 1).join(first, ["length", "part"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("place")).alias("rank"))
-    return ranked.mapInPandas(locate, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return with_ids(ranked, locate, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
