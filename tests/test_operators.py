@@ -14,6 +14,7 @@ from tidewake.operators import filters, gates, graph, guards, lexical, maintenan
 from tidewake.plans import search as plans
 from tidewake.plans import sync as syncing
 from tidewake.sources import deliveries, files, logs
+from tidewake.sources.collections import Collection
 
 CODE = "content string, relative_path string, file_extension string, vector array<float>"
 
@@ -403,14 +404,14 @@ def test_sync_round_trip(spark, tmp_path):
     out = syncing.sync(read(), empty, none, embed)
     rows_path, snap_path = f"file://{tmp_path}/rows", f"file://{tmp_path}/snap"
     syncing.publish(out, rows_path, snap_path)
-    rows, snap = spark.read.parquet(rows_path), spark.read.parquet(snap_path)
+    rows, snap = Collection(spark, rows_path).read(), Collection(spark, snap_path).read()
     first = {r["id"]: r["vector"] for r in rows.collect()}
     assert snap.count() == 2 and all(v for v in first.values()) and rows.where("relative_path = 'sub/b.go'").count() == 1
     (src / "sub/b.go").unlink()
     (src / "c.go").write_text("func c() {}\n")
     out = syncing.sync(read(), rows, snap, embed)
     syncing.publish(out, rows_path, snap_path)
-    rows = spark.read.parquet(rows_path)
+    rows = Collection(spark, rows_path).read()
     assert {r["relative_path"] for r in rows.select("relative_path").distinct().collect()} == {"a.go", "c.go"}
-    assert {r["path"] for r in spark.read.parquet(snap_path).collect()} == {"a.go", "c.go"}
+    assert {r["path"] for r in Collection(spark, snap_path).read().collect()} == {"a.go", "c.go"}
     assert files.recover(spark, rows_path) == "kept" and files.append(rows, f"file://{tmp_path}/more") == rows.count() and files.drop(spark, f"file://{tmp_path}/more")

@@ -15,18 +15,22 @@ from ..operators.maintenance import reindexed, run_totals
 from ..operators.reuse import reuse
 from ..operators.shaping import embedded, file_chunks, split_rows
 from ..operators.snapshots import diff
-from ..sources.files import captured, drop, gated, recover, replace
+from ..session import staged
+from ..sources.collections import Collection, buckets_for
+from ..sources.files import drop, gated
 
 
 @dataclass
 class Outcome:
-    """What a sync did: rows of the collection and the snapshot after it, and the changes it applied."""
+    """What a sync did: rows of the collection and the snapshot after it, the changes it applied, and of these the new rows and (path, hash) entries."""
 
     rows: DataFrame
     snapshot: DataFrame
     changes: DataFrame
     quarantined: bool
     halted: bool
+    new: DataFrame
+    entries: DataFrame
 
 
 def chunk_rows(files: DataFrame, byte_budget: int, model: str = "") -> DataFrame:
@@ -45,27 +49,52 @@ def scanned(files: DataFrame, byte_budget: int = 1152, model: str = "") -> tuple
     return chunks, run_totals(seen, F.col("reason"), chunks)
 
 
+#: Entries of a snapshot that may be broadcast, counted before: a path and a hash each.
+MOST_BROADCAST = 500_000
+
+
+def read_once(files: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, reason, hash) of every file, and (path, content) of those that may be indexed and aren't in the snapshot with their hash.
+
+    Files are read and hashed in one pass, which keeps the content of the changed ones, as long as the snapshot can be sent to them. Beyond that size contents of changed files are read a second time, so that no content is shuffled.
+    """
+    kept = F.col("reason").isNull()
+    seen = gated(files).select("path", "reason", F.when(kept, F.sha2("content", 256)).alias("hash"), F.when(kept, F.col("content").cast("string")).alias("content"))
+    known = snapshot.select("path", F.col("hash").alias("_known"))
+    if known.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        found = seen.join(F.broadcast(known), "path", "left")
+        changed = F.when(~F.col("hash").eqNullSafe(F.col("_known")), F.col("content"))
+        rows = staged(found.select("path", "reason", "hash", changed.alias("content")), "scan")
+        return rows.select("path", "reason", "hash"), rows.where("content is not null").select("path", "content")
+    rows = staged(seen.select("path", "reason", "hash"), "scan")
+    touched = rows.where("reason is null").join(known, "path", "left").where(~F.col("hash").eqNullSafe(F.col("_known"))).select("path")
+    return rows, files.join(touched, "path", "left_semi").select("path", F.col("content").cast("string").alias("content"))
+
+
 def sync(files: DataFrame, rows: DataFrame, snapshot: DataFrame, embed: Callable[[list[str]], list[list[float]]], *, catalog: DataFrame | None = None, stores: Sequence[DataFrame] = (), model: str = "", byte_budget: int = 1152, kind: str = "code", confirmed: bool = False, expected_chunks: int = 0) -> Outcome:
     """Bring rows and snapshot in step with files (path, content).
 
-    Vectors come from the catalog, then from the collection's own rows, then from other stores. A suspicious wave of deletes is held back unless confirmed; chunks beyond the budget halt the run before anything is embedded.
+    Vectors come from the catalog, then from the collection's own rows, then from other stores. A suspicious wave of deletes is held back unless confirmed; chunks beyond the budget halt the run before anything is embedded. Files are read once, chunks and vectors made once.
     """
-    seen = gated(files)
-    current = captured(seen)
-    changes = diff(snapshot, current)
-    gone = wave(snapshot, files).withColumn("held", suspicious(F.lit(kind), F.lit(True), F.col("missing"), F.col("total")))
+    seen, contents = read_once(files, snapshot)
+    current = seen.where("reason is null").select("path", "hash")
+    changes = staged(diff(snapshot, current), "changes")
+    gone = wave(snapshot, seen).withColumn("held", suspicious(F.lit(kind), F.lit(True), F.col("missing"), F.col("total")))
     quarantined = not confirmed and bool(gone.first()["held"])
     changes = absence(changes, kind, quarantined=quarantined)
     touched = changes.where("change != 'removed'").select("path")
-    new = chunk_rows(seen.where("reason is null").join(touched, "path", "left_semi").select("path", F.col("content").cast("string").alias("content")), byte_budget, model)
+    new = staged(chunk_rows(contents.join(touched, "path", "left_semi"), byte_budget, model), "chunks")
     per_file = new.groupBy("relative_path").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("content")).alias("bytes"))
-    halted = not admitted(per_file.withColumn("seq", F.monotonically_increasing_id()), expected=expected_chunks).where("not admitted").isEmpty()
+    # written, as numbers given to rows hold for one run of a plan only
+    per_file = staged(per_file.withColumn("seq", F.monotonically_increasing_id()), "files")
+    halted = not admitted(per_file, expected=expected_chunks).where("not admitted").isEmpty()
     if halted:
-        return Outcome(rows, snapshot, changes.limit(0), quarantined, True)
+        return Outcome(rows, snapshot, changes.limit(0), quarantined, True, new.limit(0), current.limit(0))
     taken = reuse(new, [*([] if catalog is None else [catalog]), rows, *stores], model).drop("store", "reused").select(new.columns)
-    after = reindexed(rows, embedded(taken, embed), changes.select("path"))
+    made = staged(embedded(taken, embed), "vectors")
+    entries = current.join(touched, "path", "left_semi").select("path", "hash")
     kept = snapshot.join(changes.select("path"), "path", "left_anti").select("path", "hash")
-    return Outcome(after, kept.unionByName(current.join(touched, "path", "left_semi").select("path", "hash")), changes, quarantined, False)
+    return Outcome(reindexed(rows, made, changes.select("path")), kept.unionByName(entries), changes, quarantined, False, made, entries)
 
 
 @dataclass
@@ -85,8 +114,6 @@ def bootstrap(files: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     """
     spark = files.sparkSession
     stage, noted = f"{rows_path}_build", f"{rows_path}_checkpoint"
-    seen = gated(files)
-    current = captured(seen)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     fs = at(rows_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at(stage)) or not fs.exists(at(noted)):
@@ -94,18 +121,17 @@ def bootstrap(files: DataFrame, embed: Callable[[list[str]], list[list[float]]],
     snapshot = "path string, hash string, batch string"
     done = spark.read.schema(snapshot).parquet(noted) if fs.exists(at(noted)) else spark.createDataFrame([], snapshot)
     resumed = done.count()
-    todo = current.join(done.select("path", "hash"), ["path", "hash"], "left_anti").withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(batches)))
-    texts = seen.where("reason is null").select("path", F.col("content").cast("string").alias("content"))
+    # the source is read once: what is to be done is written by batch, with its contents
+    seen = gated(files).where("reason is null").select("path", F.sha2("content", 256).alias("hash"), F.col("content").cast("string").alias("content"))
+    todo = seen.join(done.select("path", "hash"), ["path", "hash"], "left_anti") if resumed else seen
+    todo = staged(todo.withColumn("_b", F.pmod(F.xxhash64("path"), F.lit(batches)).cast("int")), "build", "_b")
     seeds = [s for s in (catalog, *stores) if s is not None]
-    for k in range(batches):
-        part = todo.where(F.col("_b") == k).select("path", "hash")
-        if part.isEmpty():
-            continue
-        batch = uuid.uuid4().hex
-        new = chunk_rows(texts.join(part.select("path"), "path", "left_semi"), byte_budget, model)
+    for k in sorted(r[0] for r in todo.select("_b").distinct().collect()):  # a row for each batch
+        part, batch = todo.where(F.col("_b") == k), uuid.uuid4().hex
+        new = chunk_rows(part.select("path", "content"), byte_budget, model)
         taken = reuse(new, seeds, model).drop("store", "reused").select(new.columns) if seeds else new
         embedded(taken, embed).write.mode("append").parquet(f"{stage}/batch={batch}")
-        part.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(noted)
+        part.select("path", "hash").withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(noted)
     done = spark.read.schema(snapshot).parquet(noted) if fs.exists(at(noted)) else done
     kept = done.select("path", "hash").distinct()
     rows = None
@@ -113,20 +139,26 @@ def bootstrap(files: DataFrame, embed: Callable[[list[str]], list[list[float]]],
         rows = spark.read.option("basePath", stage).parquet(stage).join(F.broadcast(done.select("batch").distinct()), "batch", "left_semi").drop("batch")
         if rows.isEmpty():
             rows = None
-    for path in (rows_path, snapshot_path):
-        recover(spark, path)
     if rows is not None:
-        replace(rows, rows_path)
-        rows = spark.read.parquet(rows_path)
-    replace(kept, snapshot_path)
+        collection = Collection(spark, rows_path)
+        collection.create(rows, "relative_path", buckets_for(fs.getContentSummary(at(stage)).getLength()))
+        rows = collection.read()
+    entries = Collection(spark, snapshot_path)
+    entries.create(kept, "path")
     drop(spark, stage), drop(spark, noted)
-    return Build(rows, spark.read.parquet(snapshot_path), resumed, "resuming" if resumed else "first_build")
+    return Build(rows, entries.read(), resumed, "resuming" if resumed else "first_build")
 
 
 def publish(outcome: Outcome, rows_path: str, snapshot_path: str) -> None:
-    """Replace the stored collection, then its snapshot, so that a cut-off run is repeated and never skipped."""
+    """Put the changes into the stored collection, then into its snapshot, so that a cut-off run is repeated and never skipped; only the buckets of changed paths are written."""
     spark = outcome.rows.sparkSession
-    for path in (rows_path, snapshot_path):
-        recover(spark, path)
-    replace(outcome.rows, rows_path)
-    replace(outcome.snapshot, snapshot_path)
+    paths = outcome.changes.select("path")
+    rows, entries = Collection(spark, rows_path), Collection(spark, snapshot_path)
+    if rows.exists():
+        rows.rewrite(paths, lambda old: reindexed(old, outcome.new, paths))
+    else:
+        rows.create(outcome.rows, "relative_path")
+    if entries.exists():
+        entries.upsert(outcome.entries, paths)
+    else:
+        entries.create(outcome.snapshot, "path")

@@ -1,8 +1,9 @@
 """The engine's calls by name, over a folder that holds collections, snapshots, manifests and a job journal.
 
 Each call runs to its end before it returns; what another caller would see meanwhile is in
-the journal. Collections and snapshots are replaced as a whole, so a call that was cut off
-leaves the old ones.
+the journal. Collections, snapshots and manifests lie in buckets of their paths or
+conversations: a call writes those that it changes and commits by one small manifest, so a
+call that was cut off leaves the version before.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .operators.filters import ConversationFilter
 from .operators.shaping import embedded, message_rows
 from .plans import search, sync
 from .sources import deliveries, files, logs
+from .sources.collections import Collection
 
 VERSION = "2"
 MESSAGE = "conversation_id string, message_index int, role string, text string, thinking string, tools array<struct<name:string,display:string,lang_hint:string,output:string,is_error:boolean>>, timestamp_unix bigint, workspace_root string, archived boolean, parent_conversation_id string, load_rules string"
@@ -41,11 +43,20 @@ class Service:
     def _path(self, kind: str, root: str) -> str:
         return f"{self.folder}/{kind}/{collection_name(root)}"
 
+    def _collection(self, kind: str, root: str) -> Collection:
+        return Collection(self.spark, self._path(kind, root))
+
     def _table(self, kind: str, root: str, schema: str | None = None) -> DataFrame | None:
-        path = self._path(kind, root)
-        if files.recover(self.spark, path) == "none":
-            return self.spark.createDataFrame([], schema) if schema else None
-        return self.spark.read.parquet(path)
+        rows = self._collection(kind, root).read()
+        return self.spark.createDataFrame([], schema) if rows is None and schema else rows
+
+    def _put(self, kind: str, root: str, rows: DataFrame, key: str) -> None:
+        """Put rows in place of those with their keys."""
+        held = self._collection(kind, root)
+        if held.exists():
+            held.upsert(rows)
+        else:
+            held.create(rows, key)
 
     def _record(self, job: dict[str, Any], state: str, **more: Any) -> dict[str, Any]:
         now = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
@@ -78,8 +89,7 @@ class Service:
     def _register(self, root: str, kind: str, **fields: Any) -> None:
         schema = "canonical_path string, kind string, collection string, model string, files long, chunks long, updated_at timestamp"
         row = self.spark.createDataFrame([(root, kind, collection_name(root), self.model, fields.get("files"), fields.get("chunks"), datetime.now(UTC))], schema)
-        known = self._table("registry", "/", schema)
-        files.replace(maintenance.replaced(known, row, "canonical_path"), self._path("registry", "/"))
+        self._put("registry", "/", row, "canonical_path")
 
     # -- code ---------------------------------------------------------------------------------
 
@@ -122,9 +132,9 @@ class Service:
         """Forget a collection, its snapshot and its entry; whether there was one."""
         root = canonical_path(root)
         had = [files.drop(self.spark, self._path(kind, root)) for kind in ("rows", "snapshots", "manifests")]
-        known = self._table("registry", "/")
-        if known is not None:
-            files.replace(known.where(F.col("canonical_path") != root), self._path("registry", "/"))
+        known = self._collection("registry", "/")
+        if known.exists():
+            known.rewrite(self.spark.createDataFrame([(root,)], "canonical_path string"), lambda old: old.where(F.col("canonical_path") != root))
         return any(had)
 
     def list_indexes(self) -> list[dict[str, Any]]:
@@ -217,7 +227,7 @@ class Service:
             files.drop(self.spark, stage)
 
     def _ingest(self, root: str, stage: str, manifest: dict[str, str]) -> dict[str, int]:
-        stored = self._table("rows", root, CONVERSATIONS)
+        stored, empty = self._collection("rows", root), self.spark.createDataFrame([], CONVERSATIONS)
         keys = ["conversation_id", "message_index"]
         extra = ["timestamp_unix", "workspace_root", "archived", "parent_conversation_id", "load_rules"]
         counts = {"files_processed": len(manifest), "chunks_processed": 0}
@@ -227,12 +237,17 @@ class Service:
             made = made.withColumns({"content_hash": content_key(F.col("content")), "provider": provider(F.col("conversation_id")), "role": F.lower("role"), "split_part": F.lit(None).cast("int"), "vector": F.lit(None).cast("array<float>")})
             made = made.withColumn("id", F.concat(F.lit("chunk_"), F.substring(F.sha2(F.concat_ws(":", "relative_path", "content"), 256), 1, 16)))
             made = made.withColumn("metadata", metadata_json(**{c: F.col(c) for c in [*keys, "role", "timestamp_unix", "workspace_root", "parent_conversation_id", "load_rules"]}))
-            new = embedded(maintenance.missing_families(made, stored), self.embed).drop("split_part").select(stored.columns)
-            files.replace(stored.unionByName(new), self._path("rows", root))
+
+            def joined(old: DataFrame) -> DataFrame:
+                return old.unionByName(embedded(maintenance.missing_families(made, old), self.embed).drop("split_part").select(old.columns))
+
+            if stored.exists():
+                stored.rewrite(documents.select("conversation_id"), joined)
+            else:
+                stored.create(joined(empty), "conversation_id")
             counts["chunks_processed"] = self._table("rows", root).count()
-        known = self._table("manifests", root, "conversation_id string, fingerprint string")
         sent = self.spark.createDataFrame(list(manifest.items()), "conversation_id string, fingerprint string")
-        files.replace(maintenance.replaced(known, sent, "conversation_id"), self._path("manifests", root))
+        self._put("manifests", root, sent, "conversation_id")
         self._register(root, "document", files=self._table("manifests", root).count(), chunks=counts["chunks_processed"])
         return counts
 
@@ -243,18 +258,27 @@ class Service:
         entries = self.spark.createDataFrame(got.entries, "conversation_id string, workspace_root string, archived boolean")
         counts = maintenance.enrichment_counts(rows, entries).first().asDict()
         if not got.dry_run and counts["changed"]:
-            files.replace(maintenance.enriched(rows, entries).select(rows.columns), self._path("rows", root))
+            self._collection("rows", root).rewrite(entries.select("conversation_id"), lambda old: maintenance.enriched(old, entries).select(old.columns))
         return counts
 
     def delete_conversation(self, name: str, conversation_id: str) -> int:
         """How many rows went with the conversation."""
         root = canonical_path(name)
-        rows = self._table("rows", root, CONVERSATIONS)
-        before = rows.count()
-        files.replace(maintenance.without_conversation(rows, conversation_id), self._path("rows", root))
-        known = self._table("manifests", root, "conversation_id string, fingerprint string")
-        files.replace(known.where(F.col("conversation_id") != conversation_id), self._path("manifests", root))
-        return before - self._table("rows", root).count()
+        rows, known = self._collection("rows", root), self._collection("manifests", root)
+        if not rows.exists():
+            return 0
+        # its own rows, and by their paths those of conversations whose ids go on below it
+        ids = self.spark.createDataFrame([(conversation_id,)], "conversation_id string")
+        if known.exists():
+            below = known.read().where(F.startswith("conversation_id", F.lit(f"{conversation_id}/")))
+            ids = ids.unionByName(below.select("conversation_id"))
+        old = rows.of(ids)
+        gone = old.count() - maintenance.without_conversation(old, conversation_id).count()
+        if gone:
+            rows.rewrite(ids, lambda old: maintenance.without_conversation(old, conversation_id))
+        if known.exists():
+            known.rewrite(ids.limit(1), lambda old: old.where(F.col("conversation_id") != conversation_id))
+        return gone
 
     def search_conversations(self, name: str, query: str, filter: ConversationFilter | None = None, *, cap: int = 0, limit: int | None = None) -> DataFrame:
         return search.search_conversations(self._table("rows", canonical_path(name), CONVERSATIONS), query, self.embed, filter, cap=cap, limit=limit)

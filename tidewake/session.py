@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -24,6 +25,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders of applications without a shared one, as in tests.
+_own: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder for tables between two steps: in the shared folder of the cluster; without one a temporary folder in local mode, otherwise the warehouse."""
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or _own.get(app)
+    if not found:
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        found = _own[app] = f"file://{tempfile.mkdtemp(prefix='tidewake-')}" if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{found.rstrip('/')}/tidewake-steps-{app}"
+
+
+def staged(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """df, computed once: written to the shared folder and read again, so that a lost executor repeats nothing before it."""
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
