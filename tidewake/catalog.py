@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, sizes, status
-from .operators import filters, gates, graph, guards, lexical, maintenance, paths, reports, retrieval, reuse, shaping, snapshots
-from .session import table
+from .operators import bounds, filters, gates, graph, guards, lexical, maintenance, many, paths, reports, retrieval, reuse, shaping, snapshots
+from .session import staged, table
 from .streaming import events as event_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,6 +144,25 @@ def knn_cells(spark, sf):
     return retrieval.approximate(rows, query_vector(spark, sf), centres, PROBES, id_col="vec_id", vector="embedding", digits=6).select("vec_id", "label", "score")
 
 
+@query(f"SELECT * FROM {SCORED} ORDER BY score DESC, vec_id LIMIT 10")
+def knn_bounded(spark, sf):
+    """Exact, with full vectors read only where the codes' bounds leave them in."""
+    codes = staged(bounds.coded(vectors(spark, sf).select("vec_id", "embedding"), "embedding").drop("embedding"), "codes")
+    found = bounds.search_bounded(codes, vectors(spark, sf), query_vector(spark, sf), id_col="vec_id", vector="embedding", digits=6)
+    return found.select("vec_id", "label", "score")
+
+
+@query("""SELECT q.vec_id AS query_id, e.vec_id, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
+FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 10""")
+def knn_many(spark, sf):
+    """The neighbours of every row whose id 50 divides, in one query."""
+    e = vectors(spark, sf)
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = many.nearest(e, asked, id_col="vec_id", vector="embedding", query_col="query_id", query_vector="embedding", digits=6)
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"SELECT path, extension FROM {FILES} WHERE extension IN ('.en', '.de') AND (path = 'src1' OR starts_with(path, 'src1/') OR starts_with(path, 'src10/'))")
 def search_ext_prefix(spark, sf):
     return files(spark, sf).where(filters.code_filter(["en", " .de", ""], ["/src1/", "src10"], "path", "extension")).select("path", "extension")
