@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, sizes, status
-from .operators import bounds, filters, gates, graph, guards, lexical, maintenance, many, paths, reports, retrieval, reuse, shaping, snapshots
-from .session import staged, table
+from .operators import blocks, bounds, filters, gates, graph, guards, lexical, maintenance, many, paths, reports, retrieval, reuse, shaping, snapshots
+from .session import staged, table, work_dir
 from .streaming import events as event_streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,6 +183,30 @@ def first_item(spark, sf) -> str:
     return table(spark, sf, "benchmark").where("item_id = 0").first()["text"]
 
 
+#: Indexes of this process: by application, and name, size and time of every file they are made of.
+_indexes: dict[tuple, str] = {}
+
+
+def document_index(spark: SparkSession, sf: str) -> str:
+    """The keyword index of documents, built once for each application and state of the table's files."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(at)))
+    key = (spark.sparkContext.applicationId, *found)
+    if key not in _indexes:
+        path = f"{work_dir(spark)}/documents-index-{len(_indexes)}"
+        blocks.write(table(spark, sf, "documents"), path, "doc_id", "text")
+        _indexes[key] = path
+    return _indexes[key]
+
+
+@query(BM25 + "SELECT doc_id, round(score, 6) AS score FROM sparse ORDER BY score DESC, doc_id LIMIT 10")
+def bm25_blocks(spark, sf):
+    """bm25_topk from the index, which leaves most blocks unread."""
+    found = blocks.search(spark, document_index(spark, sf), first_item(spark, sf), 10, digits=6)
+    return found.rows.withColumnRenamed("id", "doc_id")
+
+
 @query(BM25 + "SELECT doc_id, round(score, 6) AS score FROM sparse ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf):
     docs = table(spark, sf, "documents")
@@ -197,7 +221,7 @@ def hybrid_rrf(spark, sf):
     docs, v = table(spark, sf, "documents"), vectors(spark, sf)
     ids = v.select(F.col("vec_id").alias("id"))
     dense = retrieval.scored(v, query_vector(spark, sf), "embedding", 6).select(F.col("vec_id").alias("id"), "score").join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    sparse = lexical.bm25(docs, first_item(spark, sf), "doc_id", "text").join(ids, "id", "left_semi").select("id", F.round("score", 6).alias("score"))
+    sparse = blocks.search(spark, document_index(spark, sf), first_item(spark, sf), 10, among=ids, digits=6).rows
     return lexical.hybrid(dense, sparse, 10).select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.keys import subtree
+from ..operators import blocks
 from ..operators.filters import ConversationFilter, checked_extensions, code_filter
 from ..operators.lexical import bm25, hybrid
 from ..operators.retrieval import limit_of, order, scored, search, search_in, without_overlaps
@@ -19,14 +20,21 @@ OUTPUT = ("content", "relative_path", "start_line", "end_line", "file_extension"
 IDS = 256
 
 
-def search_code(chunks: DataFrame, query: str, embed: Embedder, *, root: str = "/", path: str | None = None, extensions: Sequence[str] = (), limit: int | None = None, prefix: str = "", sparse: bool = False) -> DataFrame:
-    """The best chunks of the subtree, without overlaps; prefix: the instruction before a query for dense search only."""
+def search_code(chunks: DataFrame, query: str, embed: Embedder, *, root: str = "/", path: str | None = None, extensions: Sequence[str] = (), limit: int | None = None, prefix: str = "", sparse: bool = False, index: str | None = None) -> DataFrame:
+    """The best chunks of the subtree, without overlaps; prefix: the instruction before a query for dense search only.
+
+    index: where blocks.write keeps the keyword index of all chunks, for sparse search; words are then weighed by the whole collection, without it by the chunks that pass the filter.
+    """
     checked_extensions(extensions)
     where = code_filter(extensions, [subtree(root, path)] if path else [])
     kept, (vector,) = chunks.where(where), embed([prefix + query])
     if sparse:
         dense = scored(kept, vector).select("id", "score")
-        best = hybrid(dense, bm25(kept, query), limit).join(kept, "id")
+        if index:
+            found = blocks.search(chunks.sparkSession, index, query, max(limit_of(limit), 10), among=kept.select("id")).rows
+        else:
+            found = bm25(kept, query)
+        best = hybrid(dense, found, limit).join(kept, "id")
     else:
         best = search(kept, vector, limit=limit)
     ranks = best.withColumn("rank", F.row_number().over(Window.orderBy(*order())))  # limit rows

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import __name__ as PACKAGE
 from .functions.keys import canonical_path, collection_name, content_key, metadata_json, provider
 from .functions.sizes import embed_byte_budget
-from .operators import graph, maintenance, reports, snapshots
+from .operators import blocks, graph, maintenance, reports, snapshots
 from .operators.filters import ConversationFilter
 from .operators.shaping import embedded, message_rows
 from .plans import search, sync
@@ -131,7 +131,7 @@ class Service:
     def clear_index(self, root: str) -> bool:
         """Forget a collection, its snapshot and its entry; whether there was one."""
         root = canonical_path(root)
-        had = [files.drop(self.spark, self._path(kind, root)) for kind in ("rows", "snapshots", "manifests")]
+        had = [files.drop(self.spark, self._path(kind, root)) for kind in ("rows", "snapshots", "manifests", "lexical")]
         known = self._collection("registry", "/")
         if known.exists():
             known.rewrite(self.spark.createDataFrame([(root,)], "canonical_path string"), lambda old: old.where(F.col("canonical_path") != root))
@@ -154,7 +154,17 @@ class Service:
         if entry is None:
             raise LookupError(f"not indexed: {path}")
         root = entry["canonical_path"]
-        return search.search_code(self._table("rows", root), query, self.embed, root=root, path=canonical_path(path), extensions=extensions, limit=limit, sparse=sparse)
+        index = self._keyword_index(root) if sparse else None
+        return search.search_code(self._table("rows", root), query, self.embed, root=root, path=canonical_path(path), extensions=extensions, limit=limit, sparse=sparse, index=index)
+
+    def _keyword_index(self, root: str) -> str:
+        """The keyword index of a collection's present version, built by the first search that needs it."""
+        held, folder = self._collection("rows", root), self._path("lexical", root)
+        path = f"{folder}/{held.versions()[-1]}"
+        if not files.exists(self.spark, f"{path}/numbers/_SUCCESS"):  # written last
+            files.drop(self.spark, folder)
+            blocks.write(held.read(), path)
+        return path
 
     def graph_tool(self, tool: str, arguments: dict[str, Any], nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
         args = graph.enriched_arguments(tool, arguments, arguments.get("project", ""))
