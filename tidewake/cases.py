@@ -93,14 +93,15 @@ def message_pieces(spark, sf):
     return shaping.message_rows(m, 11).select("conversation_id", "message_index", "relative_path", "content")
 
 
-@query(f"SELECT conversation_id, message_index FROM {MESSAGES} WHERE message_index % 3 = 1 AND starts_with(conversation_id, 'cursor:') AND message_index < 6 AND role IN ('user', 'assistant')")
+@query(f"SELECT conversation_id, message_index FROM {MESSAGES} WHERE message_index % 3 = 1 AND starts_with(conversation_id, 'cursor:') AND message_index < 6 AND role IN ('user', 'assistant') AND md5(conversation_id) < 'c'")
 def conversation_filter_all(spark, sf):
-    """Every clause of the filter at once."""
+    """Every clause of the filter at once, the conversations as a table."""
     n = F.col("message_index")
     m = messages(spark, sf).withColumns({"provider": keys.provider(F.col("conversation_id")), "workspace_root": F.when(n < 6, "/w").otherwise("/v"), "parent_conversation_id": F.when(n % 3 == 1, "p").otherwise(""), "archived": F.when(n % 3 == 1, True)})
-    ids = [r[0] for r in m.select("conversation_id").distinct().collect()]
-    f = filters.ConversationFilter(providers=["cursor"], workspace_roots=["/w", "/x"], roles=["USER", "Assistant"], conversation_ids=ids, parent_conversation_id="p", from_unix=1, until_unix=1 << 40, message_index_from=1, message_index_until=6, archived=True)
-    return m.where(f.predicate()).select("conversation_id", "message_index")
+    ids = m.select("conversation_id").where("md5(conversation_id) < 'c'").distinct()
+    f = filters.ConversationFilter(providers=["cursor"], workspace_roots=["/w", "/x"], roles=["USER", "Assistant"], parent_conversation_id="p", from_unix=1, until_unix=1 << 40, message_index_from=1, message_index_until=6, archived=True)
+    rows = m.where(f.predicate()).withColumn("relative_path", F.concat_ws("/", F.lit("conv"), "conversation_id", F.col("message_index").cast("string")))
+    return filters.in_conversations(rows, ids).select("conversation_id", "message_index")
 
 
 # -- sizes, keys and status -------------------------------------------------------------------

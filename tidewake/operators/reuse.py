@@ -10,6 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.keys import catalog_key, content_key
 from ..functions.status import same_model
+from ..session import staged
+from .bloom import Bloom
 
 
 def seed(stores: Sequence[DataFrame], scope=None) -> DataFrame:
@@ -30,16 +32,35 @@ def seed(stores: Sequence[DataFrame], scope=None) -> DataFrame:
 def reuse(chunks: DataFrame, stores: Sequence[DataFrame], model: str = "", scope=None) -> DataFrame:
     """chunks with vector, and reused: whether a store had it.
 
-    Of several rows the first store wins, in it an exact model before an unnamed one. The chunks' keys are reduced before the join, so a content that very many chunks share meets the stores once.
+    Of several rows the first store wins, in it an exact model before an unnamed one. The chunks' keys are reduced before the join, so a content that very many chunks share meets the stores once; of the stores only rows that a filter of these keys lets through leave their scan, if the stores are large.
     """
     keyed = chunks.drop("vector").withColumn("content_hash", content_key(F.col("content")))
     wanted = keyed.select("content_hash", F.col("content").alias("_content")).groupBy("content_hash").agg(F.first("_content").alias("_content"))
-    rows = seed(stores, scope).join(wanted, "content_hash").where((F.col("content").isNull() | (F.col("content") == F.col("_content"))) & same_model(F.col("embedding_model"), F.lit(model)))
+    stored = seed(stores, scope)
+    if size_of(stored) >= LEAST_BYTES:
+        wanted = staged(wanted, "wanted")
+        stored = offered(stored, wanted)
+    rows = stored.join(wanted, "content_hash").where((F.col("content").isNull() | (F.col("content") == F.col("_content"))) & same_model(F.col("embedding_model"), F.lit(model)))
     exact = F.coalesce(F.col("embedding_model"), F.lit("")) != model
     best = rows.groupBy("content_hash").agg(F.min_by("vector", F.struct("priority", exact.alias("other"), F.xxhash64("vector").alias("tie"))).alias("vector"), F.min("priority").alias("store"))
     return keyed.join(best, "content_hash", "left").withColumn("reused", F.col("vector").isNotNull())
 
 
+#: Stores of fewer bytes, by Spark's own estimate, are shuffled as they are: a filter would cost more than it saves.
+LEAST_BYTES = 256 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """What Spark takes the size of a table in bytes to be, from its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def offered(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The stored rows whose content_hash may be among the wanted ones, told before they are shuffled: those that are, and about one of a thousand others."""
+    known = Bloom(wanted.select("content_hash"))
+    return stored.where(known.may_hold(F.col("content_hash")))
+
+
 def overlay(own: DataFrame, wide: DataFrame) -> DataFrame:
     """(content_hash, vector): an item's own vectors before those of the whole build."""
     both = own.select("content_hash", "vector", F.lit(0).alias("p")).unionByName(wide.select("content_hash", "vector", F.lit(1).alias("p")))
