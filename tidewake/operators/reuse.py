@@ -52,7 +52,7 @@ LEAST_BYTES = 256 << 20
 
 def size_of(df: DataFrame) -> int:
     """What Spark takes the size of a table in bytes to be, from its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def offered(stored: DataFrame, wanted: DataFrame) -> DataFrame:
