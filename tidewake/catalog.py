@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys, sizes, status
-from .operators import blocks, bounds, filters, gates, graph, guards, lexical, maintenance, many, paths, reports, retrieval, reuse, shaping, snapshots
+from .operators import blocks, bounds, filters, gates, graph, guards, hashtree, lexical, maintenance, many, paths, reports, retrieval, reuse, shaping, snapshots
 from .session import staged, table, work_dir
 from .streaming import events as event_streams
 
@@ -321,6 +321,12 @@ def snapshot_diff(spark, sf):
     return snapshots.diff(*two_snapshots(spark, sf))
 
 
+@query(f"SELECT * FROM {DIFF}")
+def snapshot_tree_diff(spark, sf):
+    """snapshot_diff by hash trees: only rows of leaves with unequal digests are joined."""
+    return hashtree.diff_by_leaves(*two_snapshots(spark, sf), levels=3)
+
+
 FINGERPRINT = "sha256(string_agg(CAST(message_index AS VARCHAR) || chr(0) || role || chr(0) || text || chr(0) || chr(0), '' ORDER BY message_index))"
 
 

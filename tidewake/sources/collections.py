@@ -110,6 +110,11 @@ class Collection:
         manifest = self.manifest(version)
         return None if manifest is None else self._rows(manifest)
 
+    def in_buckets(self, buckets: Sequence[int], version: int | None = None) -> DataFrame | None:
+        """The rows of some buckets; None: there is no collection."""
+        manifest = self.manifest(version)
+        return None if manifest is None else self._rows(manifest, buckets)
+
     def touched(self, keys: DataFrame, manifest: dict | None = None) -> list[int]:
         """The buckets of the keys, the first column of keys."""
         manifest = manifest or self.manifest()
