@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.keys import message_path, part_index, thinking_path, tool_path
 from ..functions.sizes import token_estimate
+from . import folds
 from .filters import storable
 
 STORAGE_BYTES = 65_000
@@ -191,27 +192,10 @@ def reassembled(rows: DataFrame) -> DataFrame:
 def packed(rows: DataFrame, key: str, seq: str, cost: Column, budget: int, max_rows: int | None = None) -> DataFrame:
     """rows with group: consecutive rows of each key whose costs stay within the budget, at most max_rows; a row over the budget is alone.
 
-    Keys, places and costs alone pass through one task for each key, in order, without being held; what else a row holds is joined by key and place. Rows of the same key and place go together.
+    Keys, places and costs alone are looked at, in parts that don't depend on keys (see folds); what else a row holds is joined by key and place. Rows of the same key and place go together.
     """
-    fields = {f.name: f for f in rows.schema.fields}
-    schema = T.StructType([fields[key], fields[seq], T.StructField("group", T.LongType())])
-    budget, most = max(budget, 1), max(max_rows, 1) if max_rows is not None else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, group, used, n = object(), 0, 0, 0
-        for pdf in batches:
-            groups = []
-            for k, c, m in zip(pdf[key], pdf["_cost"], pdf["_rows"]):
-                if k != at:
-                    at, group, used, n = k, 0, 0, 0
-                elif n and (used + c > budget or most is not None and n + m > most):
-                    group, used, n = group + 1, 0, 0
-                used, n = used + c, n + m
-                groups.append(group)
-            yield pdf.drop(columns=["_cost", "_rows"]).assign(group=groups)
-
-    costs = rows.select(key, seq, cost.cast("long").alias("_cost")).groupBy(key, seq).agg(F.sum("_cost").alias("_cost"), F.count(F.lit(1)).alias("_rows"))
-    groups = costs.repartition(key).sortWithinPartitions(key, seq).mapInPandas(run, schema)
+    costs = rows.select(key, seq, cost.cast("long").alias("_cost")).groupBy(key, seq).agg(F.coalesce(F.sum("_cost"), F.lit(0)).alias("_cost"), F.count(F.lit(1)).alias("_rows"))
+    groups = folds.packed(costs, key, seq, budget, max_rows)
     groups = groups.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"), "group")
     return rows.join(groups, F.col(key).eqNullSafe(F.col("_key")) & F.col(seq).eqNullSafe(F.col("_seq"))).drop("_key", "_seq")
 
