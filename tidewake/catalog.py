@@ -523,6 +523,13 @@ def file_line_chunks(spark, sf):
     return shaping.file_chunks(f).select("path", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
 
 
+@query()
+def structure_chunks(spark, sf):
+    """Files cut by structure; held against its invariants in tests/test_structure.py, as SQL has no trees."""
+    f = files(spark, sf).select("path", "content")
+    return shaping.file_chunks(f, windows=shaping.structure_windows).select("path", "start_line", "end_line", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("hash"))
+
+
 def packing_sql(cost: str, budget: int, most: int) -> str:
     """Documents of each source in order, in groups within the budget and of at most so many."""
     return f"""WITH RECURSIVE d AS (SELECT source, doc_id, CAST({cost} AS BIGINT) AS c, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import posixpath
 import re
 import shlex
@@ -85,11 +86,78 @@ def line_windows(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHAR
     return out
 
 
-def file_chunks(files: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """(path, content, start_line, end_line) of files (path, content)."""
+#: Lines that end what stands above them rather than begin something.
+CLOSES = re.compile(r"\s*(?:[)\]}]|end\b|fi\b|done\b|esac\b|</)")
+OPENS = re.compile(r"[(\[{]|[)\]}]")
+
+
+def depths(lines: list[str]) -> list[int | None]:
+    """How deep each line stands: by its indentation, or, if no line is indented, by the brackets open before it; None for lines that begin nothing (blank or closing ones)."""
+    begins = [bool(x.strip()) and not CLOSES.match(x) for x in lines]
+    wide = [len(x.expandtabs(4)) - len(x.expandtabs(4).lstrip()) for x in lines]
+    if not any(w for w, ok in zip(wide, begins) if ok):
+        wide, n = [], 0
+        for x in lines:
+            wide.append(n)
+            for m in OPENS.finditer(x):
+                n = max(0, n + (1 if m[0] in "([{" else -1))
+    return [w if ok else None for w, ok in zip(wide, begins)]
+
+
+def structure_pieces(text: str, size: int = CHUNK_CHARS) -> list[tuple[int, int]]:
+    """(start, end) of consecutive pieces of a text, of size characters at most each, which together are the text.
+
+    A range of lines that is too long falls apart before each of its least deep lines, a part that is still too long in the same way, a line that is too long by characters; neighbours that fit together are then put together again.
+    """
+    lines = text.splitlines(keepends=True)
+    deep, at = depths(lines), [0]
+    for x in lines:
+        at.append(at[-1] + len(x))
+    stack, small = [(0, len(lines), False)] if lines else [], []
+    while stack:
+        a, b, headed = stack.pop()
+        if at[b] - at[a] <= size:
+            small.append((at[a], at[b]))
+            continue
+        if b - a == 1:
+            small += [(k, min(k + size, at[b])) for k in range(at[a], at[b], size)]
+            continue
+        known = [d for d in deep[a + headed : b] if d is not None]
+        least = min(known, default=None)
+        cuts = [k for k in range(a + 1, b) if deep[k] is not None and deep[k] == least]
+        if not cuts and least is not None and not headed:  # the one least deep line heads the rest
+            stack.append((a, b, True))
+            continue
+        bounds = [a, *(cuts or [a + (b - a) // 2]), b]
+        stack += [(x, y, False) for x, y in zip(bounds[-2::-1], bounds[:0:-1])]
+    out: list[tuple[int, int]] = []
+    for x, y in small:
+        if out and y - out[-1][0] <= size:
+            out[-1] = (out[-1][0], y)
+        else:
+            out.append((x, y))
+    return out
+
+
+def structure_windows(text: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[tuple[str, int, int]]:
+    """(content, first line, last line) of a text's pieces by structure, each with as many whole lines before it as fit into overlap and size."""
+    at = [0]
+    for x in text.splitlines(keepends=True):
+        at.append(at[-1] + len(x))
+    out = []
+    for k, (start, end) in enumerate(structure_pieces(text, size)):
+        least = max(start - overlap, end - size, 0) if k else start
+        begin = bisect.bisect_left(at, least)
+        first = at[begin] if k and at[begin] < start else start
+        out.append((text[first:end], bisect.bisect_right(at, first), bisect.bisect_left(at, end)))
+    return out
+
+
+def file_chunks(files: DataFrame, size: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, windows: Callable[[str, int, int], list[tuple[str, int, int]]] = line_windows) -> DataFrame:
+    """(path, content, start_line, end_line) of files (path, content); windows: line_windows or structure_windows."""
     @F.pandas_udf("array<struct<content:string,start_line:int,end_line:int>>")  # type: ignore[call-overload]
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"content": c, "start_line": a, "end_line": b} for c, a, b in line_windows(t or "", size, overlap)] for t in texts])
+        return pd.Series([[{"content": c, "start_line": a, "end_line": b} for c, a, b in windows(t or "", size, overlap)] for t in texts])
 
     return files.select("path", F.explode(run(F.col("content"))).alias("x")).select("path", "x.*").where(storable(F.col("content")))
 
