@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import EDGES, FILES, MESSAGES, PAGE_PATHS, edges, files, knn, messages, page_paths, query, spans, SCORED, SPANS, START, END, window
+from .catalog import EDGES, FILES, JOBS, MESSAGES, PAGE_PATHS, edges, files, jobs, knn, messages, page_paths, query, spans, SCORED, SPANS, START, END, window
 from .functions import keys, sizes, status, vectors
 from .operators import filters, gates, graph, guards, maintenance, paths, reports, reuse, shaping, snapshots
 from .session import table
@@ -316,18 +316,29 @@ def sampling_gap_of_all(spark, sf):
     return out
 
 
-@query("SELECT * FROM (VALUES (120.0::DOUBLE, 8.0::DOUBLE, 15.0::DOUBLE)) t(total_ms, calls, mean_ms)")
+@query("SELECT CAST(sum(floor(value)) AS DOUBLE) AS total_ms, CAST(count(*) AS DOUBLE) AS calls, CAST(sum(floor(value)) AS DOUBLE) / count(*) AS mean_ms FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
 def embedding_latency(spark, sf):
-    rows = table(spark, sf, "region").select(F.when(F.col("r_regionkey") == 0, "embed_latency_ms_sum").when(F.col("r_regionkey") == 1, "embed_batches_total").otherwise("jobs_active").alias("name"), F.when(F.col("r_regionkey") == 0, 120.0).otherwise(8.0).alias("delta"))
-    return reports.latency(rows)
+    """Of the events of one type, as the two counters that embedding keeps; a third counter plays no part."""
+    e = table(spark, sf, "events")
+    one = e.join(F.broadcast(e.agg(F.min("event_type").alias("event_type"))), "event_type")
+    counters = {"embed_latency_ms_sum": F.sum(F.floor("value")), "embed_batches_total": F.count(F.lit(1)), "jobs_active": F.max(F.floor("value"))}
+    wide = one.agg(*[v.cast("double").alias(k) for k, v in counters.items()])
+    return reports.latency(wide.unpivot([], list(counters), "name", "delta"))
+
+
+def ended(jobs: DataFrame, name: str) -> DataFrame:
+    """(name, delta) of the jobs of each state."""
+    return jobs.groupBy(F.format_string(name, "state").alias("name")).agg(F.count(F.lit(1)).alias("delta"))
 
 
-@query("SELECT TRUE AS mismatch UNION ALL SELECT FALSE")
+@query(f"""WITH c AS (SELECT state, count(*) AS n FROM {JOBS} WHERE state IN ('completed', 'failed') GROUP BY state), r AS (SELECT state, count(*) AS n FROM {JOBS} WHERE state IN ('completed', 'failed') AND job_id % 3 > 0 GROUP BY state)
+SELECT bool_or(c.n > coalesce(r.n, 0)) AS mismatch FROM c LEFT JOIN r USING (state) UNION ALL SELECT bool_or(a.n > b.n) FROM r a JOIN r b USING (state)""")
 def journal_mismatches(spark, sf):
-    """A counter that saw more jobs end than the journal keeps, and one that didn't."""
-    c = table(spark, sf, "region").select(F.when(F.col("r_regionkey") == 0, "jobs_failed_total").otherwise("jobs_completed_total").alias("name"), F.col("r_regionkey").cast("long").alias("delta"))
-    roll = table(spark, sf, "region").limit(1).select(F.lit("jobs_completed").alias("name"), F.lit(3).cast("long").alias("delta"))
-    return reports.journal_mismatch(c, roll).unionAll(reports.journal_mismatch(c.where("delta <= 3"), roll))
+    """Counters of all jobs against a journal that lost a third of them, and counters of what it kept."""
+    every = jobs(spark, sf)
+    kept = every.where("job_id % 3 > 0")
+    journal = ended(kept, "jobs_%s")
+    return reports.journal_mismatch(ended(every, "jobs_%s_total"), journal).unionAll(reports.journal_mismatch(ended(kept, "jobs_%s_total"), journal))
 
 
 @query(f"""WITH s AS (SELECT * FROM {SPANS}), c AS (SELECT parent_span_id AS span_id, sum(duration_ms) AS d FROM s WHERE parent_span_id IS NOT NULL GROUP BY 1),
