@@ -64,8 +64,7 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("few", [common.FEW, 20])
+@pytest.mark.parametrize("name, few", [(name, common.FEW) for name in CASES] + [("hot", 20), ("ties", 20)])
 def test_equals_plain_loops(spark, monkeypatch, name, few):
     monkeypatch.setattr(common, "FEW", few)  # with 20 only the heaviest keys are broadcast
     rows, how = CASES[name]
