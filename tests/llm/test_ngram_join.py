@@ -151,3 +151,19 @@ def test_word_hashes_tell_words_apart():
     assert first.tolist() == [0, 6, 6, 8] and len(set(h[:6].tolist())) == 6 and h[6] == h[7] == h[2]
     many = [f"w{i}x{j}" for i in range(300) for j in range(300)]
     assert len(set(hashing.words([" ".join(many).encode()], hashing.NOT_SPACE)[0].tolist())) == len(many)
+
+
+def test_later_links_join_the_components_found_before(spark, monkeypatch):
+    rounds = []
+    keep = ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    name = lambda k: f"{k:02d}".encode()
+    pairs = lambda rows: spark.createDataFrame([(name(a), name(b)) for a, b in rows], "a binary, b binary")
+    first = [(1, 2), (2, 3), (3, 4), (4, 5), (10, 11), (20, 21)]
+    found = ngram_join.components_of(pairs(first))
+    assert {(bytes(r[0]), bytes(r[1])) for r in found.collect()} == {(name(a), name(b)) for a, b in [(k, 1) for k in range(1, 6)] + [(10, 10), (11, 10), (20, 20), (21, 20)]}
+    rounds.clear()
+    assert ngram_join.extended(found, pairs([])) is found and not rounds
+    more = ngram_join.extended(found, pairs([(5, 11), (30, 21), (31, 32), (2, 3)]))
+    assert {(bytes(r[0]), bytes(r[1])) for r in more.collect()} == {(name(a), name(b)) for a, b in [(k, 1) for k in (1, 2, 3, 4, 5, 10, 11)] + [(20, 20), (21, 20), (30, 20), (31, 31), (32, 31)]}
+    assert rounds.count("stars") == 1

@@ -45,6 +45,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import DIGEST, digested, give_back, partitions, small_batches, table, tidily, with_ids, without, written
 from .hashing import blocks, mix, shingle_sets
@@ -579,28 +580,42 @@ def components_of(links: DataFrame) -> DataFrame:
     """(name, component) of every class that has a link; component: the smallest name reachable.
 
     Alternating stars: each round hangs every node's larger, then its smaller
-    neighbours under the smallest of them, until nothing changes.
+    neighbours under the smallest of them, until every node hangs under one that hangs under none.
     """
     def stars(edges: DataFrame, large: bool) -> DataFrame:
+        by = Window.partitionBy("u")  # one shuffle, where a minimum that is joined back takes two
         if large:
             near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-            return near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+            near = near.withColumn("m", F.least(F.min("v").over(by), F.col("u")))
+            return near.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = edges.withColumn("m", F.min("v").over(by))
+        ends = F.explode(F.array("u", "v")).alias("u")
+        return near.select(ends, F.col("m").alias("v")).where("u != v").distinct()
 
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    mark = None
     while True:
         edges = written(stars(stars(edges, True), False), "stars")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first())
-        if now == mark:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("name"), F.lit(1).alias("up")), F.struct(F.col("v").alias("name"), F.lit(0).alias("up")))).alias("x"))
+        ends = ends.groupBy("x.name").agg(F.sum("x.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        if ends.where("ups > 1 or ups > 0 and n > ups").isEmpty():
             break
-        mark = now
     tops = edges.select(F.col("v").alias("name"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("name"), F.col("v").alias("component")).unionByName(tops)
 
 
+def extended(components: DataFrame, links: DataFrame) -> DataFrame:
+    """components with more links: only these are followed, between the components found before."""
+    if links.isEmpty():
+        return components
+    own = [components.select(F.col("name").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b")]
+    edges = links.join(own[0], "a", "left").join(own[1], "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    edges = written(edges, "new-links")
+    tops = components_of(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("name").alias("component"), F.col("component").alias("top"))
+    ends = edges.select(F.col("a").alias("name"), F.col("ca").alias("component")).unionByName(edges.select(F.col("b").alias("name"), F.col("cb").alias("component")))
+    every = components.unionByName(ends).distinct()
+    return written(every.join(tops, "component", "left").select("name", F.coalesce("top", "component").alias("component")), "components")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links, keep) of every row of docs; keep: string columns of docs; n_links: how many links of its class were verified: all but some between classes of one component that a token of more than HOT classes lists."""
     spark = docs.sparkSession
@@ -626,16 +641,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     links = written(verified(tried, texts, levels), "first-links")
     components = components_of(links)
     others = written(apart(listed, placed(texts, components)), "others")
-    links = written(links.unionByName(verified(others, texts, levels)).distinct(), "links")
-    components = components_of(links)
+    second = written(verified(others, texts, levels), "links")
+    links, components = links.unionByName(second).distinct(), extended(components, second)
     more = written(rest_of_hot(pairs, components, texts, levels), "more-links")
     for held in (levels, bits):  # all that reads them is written
         held.destroy()
     del levels, bits
     give_back()
-    if not more.isEmpty():
-        links = links.unionByName(more).distinct()
-        components = components_of(links)
+    links, components = links.unionByName(more).distinct(), extended(components, more)
 
     ends = links.select(F.col("a").alias("name")).unionAll(links.select(F.col("b").alias("name")))
     degree = ends.groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
