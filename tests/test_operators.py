@@ -415,3 +415,24 @@ def test_sync_round_trip(spark, tmp_path):
     assert {r["relative_path"] for r in rows.select("relative_path").distinct().collect()} == {"a.go", "c.go"}
     assert {r["path"] for r in Collection(spark, snap_path).read().collect()} == {"a.go", "c.go"}
     assert files.recover(spark, rows_path) == "kept" and files.append(rows, f"file://{tmp_path}/more") == rows.count() and files.drop(spark, f"file://{tmp_path}/more")
+
+
+def test_pieces_by_bytes_as_in_python_without_leaving_the_jvm(spark, capsys):
+    texts = [None, "", "a", "abc" * 700, "é x " * 60, "aé漢𝄞" * 9, "𝄞" * 3, "漢字" * 900]
+    rows = spark.createDataFrame([(t, n) for t in texts for n in (0, 1, 2, 3, 4, 5, 7, 100)], "t string, n int")
+    cut = rows.select("t", "n", shaping.split_bytes(F.col("t"), F.col("n")).alias("p"))
+    for r in cut.collect():
+        assert (r["p"] and [tuple(x) for x in r["p"]]) == (None if r["t"] is None else shaping.byte_pieces(r["t"], r["n"]))
+    cut.explain()
+    assert "Python" not in capsys.readouterr().out
+
+
+def test_only_shell_commands_leave_the_jvm(spark, capsys):
+    call = "array<struct<name:string,display:string,lang_hint:string,output:string,is_error:boolean>>"
+    rows = spark.createDataFrame([("c:1", k, "user", f"text {k}", [("run", "cat x > y", hint, "", False)]) for k, hint in enumerate(["bash", "sql", None])], f"conversation_id string, message_index int, role string, text string, tools {call}")
+    got = shaping.message_rows(rows, 1_000)
+    found = {(r["relative_path"], r["content"]) for r in got.collect()}
+    assert {c for p, c in found if p.startswith("convtool/")} == {"run\ncat\n/y\ny\ncat x > y", "run\ncat x > y"}
+    assert len(found) == 6
+    got.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1

@@ -21,7 +21,6 @@ from .filters import storable
 STORAGE_BYTES = 65_000
 CHUNK_CHARS, OVERLAP_CHARS = 2500, 300
 MAX_ROWS, MAX_TOKENS, INSERT_BYTES = 32, 6000, 192 * 1024 * 1024
-PIECES = "array<struct<content:string,offset:int>>"
 BATCH_ROWS = 256
 
 
@@ -44,15 +43,46 @@ def byte_pieces(text: str, budget: int) -> list[tuple[str, int]]:
     return out
 
 
+#: Pieces that are gathered before they are put to those before them, so that a long text's aren't copied for each.
+GATHERED = 256
+
+
 def split_bytes(text: Column, budget: Column | int) -> Column:
-    """array<struct<content, offset>>; short texts don't leave the JVM's row as more than one piece."""
-    limit = budget if isinstance(budget, Column) else F.lit(budget)
+    """array<struct<content, offset>> as of byte_pieces; no text leaves the JVM, so a task holds one row's pieces. A null text has none."""
+    limit = (budget if isinstance(budget, Column) else F.lit(budget)).cast("int")
+    ints = F.array().cast("array<int>")
+
+    def behind(data: Column, at: Column, n: Column) -> Column:
+        """Where the piece that starts at a byte ends: where the last code point within the budget ends, or one that is longer."""
+        starts = lambda k: ~F.substring(data, k + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+        within = F.filter(F.array(*[at + n - i for i in range(4)]), lambda k: (k > at) & starts(k))
+        beyond = F.filter(F.array(*[at + i for i in range(1, 5)]), starts)
+        return F.least(F.coalesce(F.get(within, F.lit(0)), F.get(beyond, F.lit(0)), at + n), F.octet_length(data))
+
+    def ends(data: Column, n: Column) -> Column:
+        def one(x: Column) -> Column:
+            end = behind(data, x["at"], n)
+            return F.when(x["at"] < F.octet_length(data), F.transform(F.array(end), lambda e: F.struct(e.alias("at"), F.concat(x["ends"], F.array(e)).alias("ends")))[0]).otherwise(x)
+
+        def some(x: Column) -> Column:
+            start = F.struct(x["at"].alias("at"), ints.alias("ends"))
+            got = F.aggregate(F.sequence(F.lit(1), F.lit(GATHERED)), start, lambda y, _: one(y))
+            return F.when(x["at"] < F.octet_length(data), F.transform(F.array(got), lambda y: F.struct(y["at"].alias("at"), F.concat(x["ends"], F.array(y["ends"])).alias("ends")))[0]).otherwise(x)
 
-    @F.pandas_udf(PIECES)  # type: ignore[call-overload]
-    def run(texts: pd.Series, limits: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else [{"content": p, "offset": o} for p, o in byte_pieces(t, int(n))] for t, n in zip(texts, limits)])
+        most = F.ceil(F.octet_length(data) / F.greatest(n - 3, F.lit(1)) / GATHERED).cast("int")
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("ends"))
+        return F.aggregate(F.sequence(F.lit(1), most), start, lambda x, _: some(x), lambda x: F.flatten(x["ends"]))
 
-    return run(text, limit.cast("int"))
+    def piece(content: Column, offset: Column) -> Column:
+        return F.struct(content.cast("string").alias("content"), offset.cast("int").alias("offset"))
+
+    def cut(data: Column) -> Column:
+        from_to = F.transform(F.array(ends(data, limit)), lambda e: F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice(e, F.lit(1), F.size(e) - 1)).alias("a"), e.alias("b")))[0]
+        return F.transform(from_to, lambda x: piece(F.substring(data, x["a"] + 1, x["b"] - x["a"]), x["a"]))
+
+    whole = F.array(piece(text, F.lit(0)))
+    pieces = F.transform(F.array(text.cast("binary")), cut)[0]
+    return F.when(text.isNotNull(), F.when((limit <= 0) | (F.octet_length(text) <= limit), whole).otherwise(pieces))
 
 
 def split_rows(chunks: DataFrame, budget: int = STORAGE_BYTES) -> DataFrame:
@@ -199,15 +229,19 @@ def shell_tokens(command: str) -> list[str]:
     return found or [command.strip()]
 
 
-def tool_text(tool: Column) -> Column:
-    """Name, shell tokens and display of a tool call, trimmed, once each, by line; what it put out is left out. Only shell commands leave the JVM."""
+def is_shell(tool: Column) -> Column:
+    return F.coalesce((tool["lang_hint"] == "bash") & (F.trim(tool["display"]) != ""), F.lit(False))
+
+
+def tool_text(tool: Column, shell: bool = True) -> Column:
+    """Name, shell tokens and display of a tool call, trimmed, once each, by line; what it put out is left out. Shell commands leave the JVM; without shell, none does."""
     @F.pandas_udf("array<string>")  # type: ignore[call-overload]
     def run(commands: pd.Series) -> pd.Series:
         return commands.map(lambda c: shell_tokens(c) if c else [])
 
     none = F.array().cast("array<string>")
-    shell = run(F.when((tool["lang_hint"] == "bash") & (F.trim(tool["display"]) != ""), F.trim(tool["display"])))
-    parts = F.concat(F.array(tool["name"]), F.coalesce(shell, none), F.array(tool["display"]))
+    tokens = F.coalesce(run(F.when(is_shell(tool), F.trim(tool["display"]))), none) if shell else none
+    parts = F.concat(F.array(tool["name"]), tokens, F.array(tool["display"]))
     trimmed = F.transform(parts, lambda x: F.trim(F.coalesce(x, F.lit(""))))
     return F.array_join(F.array_distinct(F.filter(trimmed, lambda x: x != "")), "\n")
 
@@ -233,7 +267,8 @@ def message_rows(documents: DataFrame, budget: int) -> DataFrame:
     text = pieces(base.select(*keys, F.col("text").alias("_text")), F.lit(budget))
     out = text.select(*keys, path(message_path(F.col("conversation_id"), F.col("message_index"))).alias("relative_path"), F.col("_piece.content").alias("content"))
     if "tools" in documents.columns:
-        tools = base.select(*keys, F.posexplode("tools").alias("_tool", "_call")).withColumn("_text", tool_text(F.col("_call")))
+        calls, call = base.select(*keys, F.posexplode("tools").alias("_tool", "_call")), F.col("_call")
+        tools = calls.where(is_shell(call)).withColumn("_text", tool_text(call)).unionByName(calls.where(~is_shell(call)).withColumn("_text", tool_text(call, shell=False)))
         size = F.octet_length(F.trim(F.coalesce(F.col("_call.name"), F.lit("")))) + 1
         limit = F.when((size > 1) & (F.lit(budget) > size), F.lit(budget) - size).otherwise(budget)
         rows = pieces(tools, limit)
