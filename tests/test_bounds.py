@@ -100,3 +100,23 @@ def test_no_row_for_a_pair_is_shuffled(spark):
         b.add(0, np.array([[k % 7, k % 5], [1, 1]], float), np.array([2 * k, 2 * k + 1]))
     query, score, ids = b.cut()
     assert query.tolist() == [0, 0, 0, 1, 1, 1] and score.tolist() == [6, 6, 6, 1, 1, 1] and ids.tolist()[3:] == [0, 1, 2]
+
+
+def test_best_rows_are_held_in_bounds_and_nan_hides_none(monkeypatch):
+    monkeypatch.setattr(many, "MORE", 64)
+    scores = np.random.default_rng(3).integers(0, 50, (8, 3_000)).astype(float)
+    scores[:, ::2] = np.nan
+    best, held = many.Best(8, 5), []
+    for k in range(0, 3_000, 100):
+        best.add(0, scores[:, k : k + 100], np.arange(k, k + 100))
+        held.append(best.held)
+    query, score, ids = best.cut()
+    for q in range(8):
+        wanted = sorted((-x, k) for k, x in enumerate(scores[q]) if x == x)[:5]
+        assert [(-x, k) for x, k in zip(score[query == q], ids[query == q])] == wanted
+
+
+def test_of_a_block_only_rows_that_can_be_among_the_best_are_held():
+    best = many.Best(4, 5)
+    best.add(0, np.random.default_rng(3).permutation(20_000).reshape(4, 5_000).astype(float), np.arange(5_000))
+    assert best.held == 4 * 5

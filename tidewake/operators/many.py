@@ -24,8 +24,8 @@ from .retrieval import limit_of
 
 #: Queries of one pass, about; their vectors are what is broadcast.
 PASS = 16_384
-#: Queries that rows are multiplied by at a time.
-BLOCK = 512
+#: Queries and rows that are multiplied at a time.
+BLOCK, ROWS = 512, 1024
 
 
 def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,6 +39,10 @@ def matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return has, flat.reshape(-1, size)
 
 
+#: Rows that are held beside twice the best ones before they are cut.
+MORE = 1 << 16
+
+
 class Best:
     """The best limit rows of every query, of those seen so far: by score, then the smaller id."""
 
@@ -49,12 +53,15 @@ class Best:
 
     def add(self, first: int, scores: np.ndarray, ids: np.ndarray) -> None:
         """scores: a row for each query from first on, a column for each id."""
-        q, k = np.nonzero(scores >= self.floor[first : first + len(scores), None])
+        floor = self.floor[first : first + len(scores), None]
+        if scores.shape[1] > self.limit:  # no more than limit rows, and their equals, can be among the best
+            floor = np.fmax(floor, np.partition(scores, -self.limit, 1)[:, [-self.limit]])
+        q, k = np.nonzero(scores >= floor)
         self.query.append(q + first)
         self.score.append(scores[q, k])
         self.ids.append(ids[k])
         self.held += len(q)
-        if self.held > 4 * self.limit * len(self.floor) + (1 << 20):
+        if self.held > 2 * self.limit * len(self.floor) + MORE:
             self.cut()
 
     def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,9 +110,10 @@ def nearest(rows: DataFrame, queries: DataFrame, limit: int | None = None, *, id
             for batch in batches:
                 has, some = matrix(batch.column(1), known.shape[1])
                 ids = np.array(batch.column(0).filter(pa.array(has)).to_pylist(), np.int64 if arrow == pa.int64() else None)
-                for at in range(0, len(known), BLOCK):
-                    scores = known[at : at + BLOCK] @ some.T
-                    best.add(at, scores if digits is None else np.round(scores, digits), ids)
+                for k in range(0, len(some), ROWS):
+                    for at in range(0, len(known), BLOCK):
+                        scores = known[at : at + BLOCK] @ some[k : k + ROWS].T
+                        best.add(at, scores if digits is None else np.round(scores, digits), ids[k : k + ROWS])
             query, score, ids = best.cut()
             for at in range(0, len(query), 10_000):
                 part = slice(at, at + 10_000)
