@@ -435,4 +435,13 @@ def test_only_shell_commands_leave_the_jvm(spark, capsys):
     assert {c for p, c in found if p.startswith("convtool/")} == {"run\ncat\n/y\ny\ncat x > y", "run\ncat x > y"}
     assert len(found) == 6
     got.explain()
-    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
+    assert capsys.readouterr().out.count("ArrowEvalPython") <= 2  # of shell calls, in their filter and their pieces
+
+
+def test_pooling_computes_masked_vectors_and_their_length_once(spark, capsys):
+    rows = spark.createDataFrame([([[3.0, 4.0], [5.0, 12.0], [9.0, 9.0]], [1, 1, 0])], "t array<array<float>>, m array<int>")
+    got = rows.select(vectors.mean_pooled(F.col("t"), F.col("m")).alias("v"))
+    assert got.first()["v"] == pytest.approx([4 / 80**0.5, 8 / 80**0.5])
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("zip_with(t") == 1 and plan.count("SQRT") == 1

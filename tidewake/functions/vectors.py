@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,11 +36,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row however often body uses it, also for each number of a vector."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalised(v: Column) -> Column:
     """The vector at length 1; an error if it is empty, zero or not finite."""
-    length = norm(v)
-    good = (F.size(v) > 0) & (length > 0) & ~F.isnan(length) & (length != float("inf"))
-    return F.when(good, F.transform(v, lambda x: (x / length).cast("float"))).otherwise(F.raise_error(F.lit("vector must be finite and not zero")).cast("array<float>"))
+    def scaled(x: Column) -> Column:
+        v, length = x["v"], x["length"]
+        good = (F.size(v) > 0) & (length > 0) & ~F.isnan(length) & (length != float("inf"))
+        return F.when(good, F.transform(v, lambda x: (x / length).cast("float"))).otherwise(F.raise_error(F.lit("vector must be finite and not zero")).cast("array<float>"))
+
+    return let(v, lambda v: let(F.struct(v.alias("v"), norm(v).alias("length")), scaled))
 
 
 def literal(v: Sequence[float]) -> Column:
@@ -49,9 +57,11 @@ def literal(v: Sequence[float]) -> Column:
 
 def mean_pooled(tokens: Column, mask: Column) -> Column:
     """The mean of the token vectors that the mask keeps, at length 1."""
-    kept = F.filter(F.zip_with(tokens, mask, lambda v, m: F.when(m > 0, v)), lambda v: v.isNotNull())
-    total = F.aggregate(F.slice(kept, F.lit(2), F.size(kept)), F.transform(kept[0], lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
-    return normalised(F.transform(total, lambda x: x / F.size(kept)))
+    def mean(kept: Column) -> Column:
+        total = F.aggregate(F.slice(kept, F.lit(2), F.size(kept)), F.transform(kept[0], lambda x: x.cast("double")), lambda s, v: F.zip_with(s, v, lambda a, b: a + b.cast("double")))
+        return F.transform(total, lambda x: x / F.size(kept))
+
+    return normalised(let(F.filter(F.zip_with(tokens, mask, lambda v, m: F.when(m > 0, v)), lambda v: v.isNotNull()), mean))
 
 
 def first_pooled(tokens: Column) -> Column:
