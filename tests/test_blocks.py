@@ -70,3 +70,14 @@ def test_search_code_uses_the_index_of_the_version(spark, tmp_path):
     assert s.search_code("/r", "omega", sparse=True, limit=3).collect()[0]["relative_path"] == "d/x.py"
     assert sorted(p.name for p in next(held.iterdir()).iterdir()) == ["2"]
     assert s.clear_index("/r") and not list(held.iterdir())
+
+
+def test_the_index_is_built_without_a_table_of_postings(spark, tmp_path, monkeypatch):
+    kept, real = [], blocks.staged
+    monkeypatch.setattr(blocks, "staged", lambda df, name: kept.append(name) or real(df, name))
+    docs = spark.createDataFrame([(k, f"a b{k % 3} a {'c ' * k}") for k in range(20)], "id long, content string")
+    blocks.write(docs, str(tmp_path))
+    assert kept == ["lengths"]
+    rows = spark.read.parquet(f"{tmp_path}/blocks")
+    assert sum(len(r["ids"]) for r in rows.where("term = 'a'").collect()) == 20 and max(len(r["ids"]) for r in rows.collect()) <= blocks.SLOT
+    assert {r["term"]: r["df"] for r in spark.read.parquet(f"{tmp_path}/terms").collect()} == {"a": 20, "b0": 7, "b1": 7, "b2": 6, "c": 19}

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import staged
-from .lexical import B, K1, postings, terms
+from .lexical import B, K1, terms
 from .retrieval import order
 
 #: Documents of a slot: fewer bound more sharply, more make fewer blocks.
@@ -33,7 +33,6 @@ ROUNDING = 1e-9
 
 def write(docs: DataFrame, path: str, id_col: str = "id", text: str = "content", k1: float = K1, b: float = B, slot: int = SLOT) -> None:
     """Keep blocks (term, slot, most, ids, tfs, lens) sorted by term, (term, df), and the corpus' numbers; ids are those of one document each."""
-    rows = staged(postings(docs, id_col, text), "postings")
     lengths = docs.select(F.col(id_col).alias("id"), F.size(terms(F.col(text))).alias("len"))
     lengths = staged(lengths.repartitionByRange("len", "id").withColumn("part", F.spark_partition_id()), "lengths")
     numbers = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
@@ -41,10 +40,14 @@ def write(docs: DataFrame, path: str, id_col: str = "id", text: str = "content",
     slots = lengths.withColumn("slot", F.shiftleft(F.col("part").cast("long"), 40) + F.floor(place / slot)).select("id", "slot")
     share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     one = F.struct("id", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
-    blocks = rows.join(slots, "id").crossJoin(F.broadcast(numbers)).groupBy("term", "slot").agg(F.max(share).alias("most"), F.collect_list(one).alias("p"))  # slot rows at most
+    # texts are shuffled to their slots; what is made of their words there isn't
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(slots, "id").repartition("slot")
+    rows = texts.select("slot", "id", terms(F.col("text")).alias("w")).select("slot", "id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    rows = rows.groupBy("slot", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    blocks = rows.crossJoin(F.broadcast(numbers)).groupBy("slot", "term").agg(F.max(share).alias("most"), F.collect_list(one).alias("p"))  # slot rows at most
     blocks = blocks.select("term", "slot", "most", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
     blocks.repartitionByRange("term", "slot").sortWithinPartitions("term", "slot").write.mode("overwrite").parquet(f"{path}/blocks")
-    rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+    docs.sparkSession.read.parquet(f"{path}/blocks").groupBy("term").agg(F.sum(F.size("ids")).alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     numbers.withColumns({"k1": F.lit(float(k1)), "b": F.lit(float(b))}).write.mode("overwrite").parquet(f"{path}/numbers")
 
 
