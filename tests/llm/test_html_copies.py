@@ -15,3 +15,10 @@ def test_copies_are_no_neighbours(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     alone = "Top bar\n\nalone\n\nAll rights"
     assert got == [(1, "alpha"), (1, "alpha"), (2, "alpha"), (3, "beta"), (4, "beta"), (5, alone), (6, alone), (7, alone)]
+
+
+def test_pages_with_an_article_are_compared_too(spark):
+    page = lambda body: f"<div>Top bar</div><article><h1>{body}</h1><p>quoted</article><div>All rights</div><p>{body} more"
+    rows = [(1, "http://a.b/x/1", page("alpha")), (2, "http://a.b/x/2", page("beta")), (3, "http://a.b/x/2?q", page("beta")), (4, "http://c.d/", page("alone")), (5, "http://a.b/x/3", "<div>Top bar</div><p>bare</p>")]
+    got = sorted((r["page_id"], r["text"], r["n_shared"]) for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == [(1, "alpha\n\nquoted", 3), (2, "beta\n\nquoted", 3), (3, "beta\n\nquoted", 3), (4, "alone\n\nquoted", 0), (5, "bare", 1)]

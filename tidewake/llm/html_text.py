@@ -1,27 +1,28 @@
-"""Main text of web pages: structure first, then differences to the page with the nearest URL.
+"""Main text of web pages: differences to the page with the nearest URL, then an exact check by structure.
 
 A page is parsed into lines (blocks of text), each marked by where it stands: in the
 article, in an article inside of something that its class names as no main text (used
 only if there is no other), in something that is never main text (menus, headers,
-footers, sidebars, notices, adverts, forms, comments), or in neither. If a page has an
-article, its lines are the text, even if other pages have them too, as articles are copied
-and quote each other. All other pages are bare and get their text by differencing: the
-pages of a host stand in the order of their paths, a bare page is paired with the nearer by
-path of the pages before and after it whose lines differ from its own, both are aligned by
-a longest common subsequence of lines, and shared lines go.
-
-Pages are parsed once. Neighbours are found among addresses and digests of lines, in
-ranges that hand their first and last pages on to each other, so they don't depend on how
-pages lie in partitions; lines meet by digest, and copies are compared once.
+footers, sidebars, notices, adverts, forms, comments), or in neither. Every page is
+differenced: the pages of a host stand in the order of their paths, a page is paired with the
+nearer by path of the pages before and after it whose lines differ from its own, both are
+aligned by a longest common subsequence of lines, and shared lines go. The check by structure
+follows: if a page has an article, the shared lines of the article come back, as articles are copied
+and quote each other, and lines beside it go; of a bare page differencing alone decides.
+
+Pages are parsed twice: at first for the names of their lines alone, which are aligned in place
+of the lines, then for the texts, which move once, packed, to what was found. Neighbours are found among addresses and
+digests of lines, in ranges that hand their first and last pages on to each other, so they
+don't depend on how pages lie in partitions; names meet by digest, those of very many pairs by a broadcast, and copies are compared once.
 
 Defined results: null html is empty; a null url is an address of its own, without host; a
 page without main text has the text ''; the first and last page of a host have one
-neighbour or none, and a page without neighbours keeps its lines; pages with equal lines
+neighbour or none, and a page without neighbours shares no lines; pages with equal lines
 are no neighbours of each other but share the nearest pages that differ; of two neighbours
 equally near the one before counts, and of several versions of one address the order is
 that of their digests; a very long page is parsed and aligned whole; equal rows each give
 a row; an empty table gives an empty table; other columns play no part. A task holds the
-lines of two pages at a time.
+names of the lines of two pages at a time. Names have 64 bits.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, small_batches, table, tidily, with_ids, written
+from .common import met, partitions, small_batches, table, tidily, with_ids, written
 
 NEVER, LOOSE, MAIN, SECOND, MARKED_PART = 0, 1, 2, 3, 4
 #: Tags that belong to the head of a page; any other ends it.
@@ -65,6 +66,8 @@ ANCHORS = TEXT_TAGS | {"section", "article", "main"}
 FORM, PARAGRAPH = re.compile(r"<form[\s>]", re.I), re.compile(r"<(?:p|article|main)[\s>]", re.I)
 ENDS_P = BLOCK - {"body", "html"}
 WHITE = re.compile(r"\s+")
+#: Bytes of the name of a line.
+NAME = 8
 
 
 class Lines(HTMLParser):
@@ -246,10 +249,15 @@ def article(page: list[tuple[int, str]]) -> list[str] | None:
     return None
 
 
+def sharing(page: list, neighbour: list) -> list[bool]:
+    """Of each line of a page, whether it shares it with the page it is compared with."""
+    shared = common(page, neighbour)
+    return [i in shared for i in range(len(page))]
+
+
 def differing(page: list[str], neighbour: list[str]) -> list[str]:
     """The lines of a page that it doesn't share with the page it is compared with."""
-    shared = common(page, neighbour)
-    return [line for i, line in enumerate(page) if i not in shared]
+    return [line for line, shared in zip(page, sharing(page, neighbour)) if not shared]
 
 
 def address(url: str | None) -> tuple[str, str]:
@@ -258,21 +266,29 @@ def address(url: str | None) -> tuple[str, str]:
     return (m[1].lower(), m[2]) if m else ("", url or "")
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, text, digest, blob) of every row: text null if the page is bare; digest and blob: of all its lines, blob null if they are those of the text."""
+def parsed(pages: DataFrame, whole: bool) -> DataFrame:
+    """(page_id, url, host, path, digest) of every row, digest: of all its lines; also, if whole, bare, whether it has no article, and blob, the packed lines of its article or else all; else names, of NAME bytes, of all its lines."""
+    more = {"bare": "boolean", "blob": "binary"} if whole else {"names": "binary"}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, digests, blobs = [], [], []
+            found: dict[str, list] = {c: [] for c in ("digest", *more)}
             for html in pdf["html"]:
                 page = lines_of(html)
-                kept, data = article(page), "\n\n".join(line for _, line in page).encode("utf-8", "surrogatepass")
-                texts.append("\n\n".join(kept) if kept else None if page else "")
-                digests.append(blake2b(data, digest_size=16).hexdigest())
-                blobs.append(None if kept and len(kept) == len(page) or not page else zlib.compress(data, 1))
+                lines = [line for _, line in page]
+                found["digest"].append(blake2b("\n\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+                if whole:
+                    kept = article(page)
+                    found["bare"].append(not kept)
+                    found["blob"].append(zlib.compress("\n\n".join(kept or lines).encode("utf-8", "surrogatepass"), 1))
+                else:
+                    found["names"].append(b"".join(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=NAME).digest() for x in lines))
             where = [address(u) for u in pdf["url"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": [w[0] for w in where], "path": [w[1] for w in where], "text": texts, "digest": digests, "blob": blobs})
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "host": [w[0] for w in where], "path": [w[1] for w in where]} | found)
 
-    return with_ids(pages.select("page_id", "url", "html"), tidily(run), "page_id long, url string, host string, path string, text string, digest string, blob binary")
+    kinds = "page_id long, url string, host string, path string, digest string" + "".join(f", {c} {kind}" for c, kind in more.items())
+    # parts of the rows of one address, so that many equal rows are spread
+    return with_ids(pages.select("page_id", "url", "html"), tidily(run), kinds).withColumn("sub", F.pmod(F.xxhash64("page_id"), F.lit(64)).cast("int"))
 
 
 def carried(edges: list) -> list[tuple]:
@@ -327,40 +343,49 @@ def neighbours(pages: DataFrame) -> DataFrame:
     return rows.select("host", "path", "digest", F.when(before, F.col("before")["digest"]).otherwise(F.col("after")["digest"]).alias("other"))
 
 
-def differenced(pages: DataFrame, bare: DataFrame) -> DataFrame:
-    """(page_id, url, text) of the bare pages."""
-    parts = bare.select("page_id", "url", "host", "path", "digest", F.pmod(F.xxhash64("page_id"), F.lit(64)).alias("sub"))
-    # parts of the rows of one address, so that many equal rows are spread
-    wanted = written(parts.select("host", "path", "digest", "sub").distinct().join(neighbours(pages), ["host", "path", "digest"]), "pairs")
-    pairs = wanted.select("digest", "other").distinct()
-    lines = pages.groupBy("digest").agg(F.first("text").alias("text"), F.first("blob").alias("blob"))
-    needed = pairs.select("digest").union(pairs.select("other")).distinct()
-    lines = written(lines.join(needed, "digest", "left_semi"), "lines")
-    both = pairs.join(lines, "digest").join(lines.select(F.col("digest").alias("other"), F.col("text").alias("other_text"), F.col("blob").alias("other_blob")), "other", "left")
+def differenced(pages: DataFrame) -> DataFrame:
+    """(host, path, digest, sub, shared) of each address, its lines and sub in pages: of each line, whether the nearest page has it too; null without neighbours."""
+    near = written(neighbours(pages), "neighbours")
+    pairs = written(near.where("other is not null").groupBy("digest", "other").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    uses = pairs.select("digest").unionAll(pairs.select(F.col("other").alias("digest"))).groupBy("digest").agg(F.count(F.lit(1)).alias("weight"))
+    names = written(pages.groupBy("digest").agg(F.first("names").alias("names")).join(uses, "digest"), "names")
+    total = 2 * pairs.count()
+    sides = written(met(pairs, names, ["digest"], total), "sides")
+    sides = met(sides, names.select(F.col("digest").alias("other"), F.col("names").alias("other_names"), "weight"), ["other"], total)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def loaded(text: str | None, blob: bytes | None) -> list[str]:
-            whole = zlib.decompress(blob).decode("utf-8", "surrogatepass") if blob is not None else text or ""
-            return whole.split("\n\n") if whole else []
+        def apart(names: bytes) -> list[bytes]:
+            return [names[i : i + NAME] for i in range(0, len(names), NAME)]
 
         for pdf in batches:
-            texts = ["\n\n".join(differing(loaded(a, b), loaded(c, d))) for a, b, c, d in zip(pdf["text"], pdf["blob"], pdf["other_text"], pdf["other_blob"])]
-            yield pd.DataFrame({"digest": pdf["digest"], "other": pdf["other"], "text": texts})
+            shared = [sharing(apart(a), apart(b)) for a, b in zip(pdf["names"], pdf["other_names"])]
+            yield pd.DataFrame({"digest": pdf["digest"], "other": pdf["other"], "weight": pdf["n"], "shared": shared})
 
-    texts = written(both.select("digest", "other", "text", "blob", "other_text", "other_blob").mapInPandas(tidily(run), "digest string, other string, text string"), "differences")
-    rows = parts.join(wanted, ["host", "path", "digest", "sub"]).select("page_id", "url", "digest", F.coalesce("other", F.lit("")).alias("other"))
-    return rows.join(texts.withColumn("other", F.coalesce("other", F.lit(""))), ["digest", "other"]).select("page_id", "url", "text")
+    shared = sides.select("digest", "other", "n", "names", "other_names").mapInPandas(tidily(run), "digest string, other string, weight long, shared array<boolean>")
+    shared = written(shared, "differences")
+    wanted = pages.select("host", "path", "digest", "sub").distinct().join(near, ["host", "path", "digest"])
+    return met(wanted, shared, ["digest", "other"], near.count(), "left").drop("other")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages."""
+    """(page_id, url, text, n_chars, n_shared) of every row of pages; n_shared: how many of its lines the page it was compared with has too."""
     small_batches(pages.sparkSession)
-    rows = written(parsed(pages), "parsed")
-    bare = rows.where("text is null")
-    out = rows.where("text is not null").select("page_id", "url", "text")
-    if not bare.isEmpty():
-        out = out.unionByName(differenced(rows, bare))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    found = written(differenced(written(parsed(pages, False).drop("page_id", "url"), "parsed")), "shared")
+    rows = parsed(pages, True).join(found, ["host", "path", "digest", "sub"], "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = []
+            for bare, blob, shared in zip(pdf["bare"], pdf["blob"], pdf["shared"]):
+                text = zlib.decompress(blob).decode("utf-8", "surrogatepass")
+                if bare and shared is not None:
+                    text = "\n\n".join(line for line, gone in zip(text.split("\n\n"), shared) if not gone)
+                texts.append(text)
+            n_shared = [0 if x is None else int(sum(x)) for x in pdf["shared"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_shared": n_shared})
+
+    out = with_ids(rows.select("page_id", "url", "bare", "blob", "shared"), tidily(run), "page_id long, url string, text string, n_shared long")
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
