@@ -72,3 +72,24 @@ def test_long_texts_and_clashing_names(spark, name):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(r for r in rows if r not in gone)
     assert all(r[c] == f"{c}{'?' if r['doc_id'] is None else r['doc_id']}" for r in got for c in CLASH)
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_pipeline_stages_send_small_batches(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+
+    def stop(*_, **__):
+        seen.append(int(spark.conf.get(name)))
+        raise LookupError
+
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for module, inner in ((toxicity, "fit"), (ngram_join, "join"), (packing, "pack")):
+        monkeypatch.setattr(module, inner, stop)
+        spark.conf.set(name, common.DEFAULT_ROWS)
+        try:
+            with pytest.raises(LookupError):
+                monkeypatch.setattr(module, "table", lambda *_: docs, raising=False)
+                module.stage(spark, docs, "")
+        finally:
+            spark.conf.set(name, before)
+    assert len(seen) == 3 and max(seen) <= 500  # an executor's JVM keeps the buffers of the largest batches of all stages

@@ -174,14 +174,14 @@ def training_sample(docs: DataFrame, known: DataFrame, label: str, size: int, mo
     return [(r["text"], r[label]) for r in sorted(texts, key=lambda r: (str(r[label]), r["at"], r["doc_id"]))]
 
 
-#: Rows sent to Python at a time, unless the session says otherwise: texts are long.
-ARROW_ROWS, DEFAULT_ROWS = "2000", "10000"
+#: Rows sent to Python at a time, unless the session says otherwise: texts are long. STAGE_ROWS: in a pipeline, whose executors keep the buffers and processes of the stages before.
+ARROW_ROWS, STAGE_ROWS, DEFAULT_ROWS = "2000", "500", "10000"
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: str = ARROW_ROWS) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == DEFAULT_ROWS:
-        spark.conf.set(name, ARROW_ROWS)
+        spark.conf.set(name, rows)
 
 
 def give_back() -> None:

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import DIGEST, digested, give_back, partitions, small_batches, table, tidily, with_ids, without, written
+from .common import DIGEST, STAGE_ROWS, digested, give_back, partitions, small_batches, table, tidily, with_ids, without, written
 from .hashing import blocks, mix, shingle_sets
 
 #: 7 * overlap >= 3 * (sum of sizes) is a similarity of 0.75.
@@ -56,7 +56,8 @@ BITS = 1 << 27
 LEVEL_BITS = 6
 #: Tokens of the sets in one trie, and how many sets it holds at least, if there are as many, and at most.
 HOT, TRIE_TOKENS, LEAST_SETS, MOST_SETS = 48, 1 << 15, 16, 512
-FLUSH = 1 << 20
+#: Rows handed over at a time, about 20 bytes each: Arrow keeps what it once held for a batch.
+FLUSH = 1 << 19
 #: Parts of a component, so that a large one is spread.
 SUBS = 256
 #: Parts of the classes under one leader, for the same reason.
@@ -671,6 +672,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null doc_id loses against any other; a group of nulls alone keeps every row, and so do rows that share a group's smallest doc_id.
     """
+    small_batches(spark, STAGE_ROWS)
     found = join(digested(docs), keep=[DIGEST])
     return without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", DIGEST))
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import hashing
-from .common import small_batches, table, tidily, with_ids, written
+from .common import STAGE_ROWS, small_batches, table, tidily, with_ids, written
 
 CAPACITY, END_ID = 4096, 1
 #: The pieces of one length are ranked in parts of about this many.
@@ -285,4 +285,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of docs."""
+    small_batches(spark, STAGE_ROWS)
     return pack(docs)

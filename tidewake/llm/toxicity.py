@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DIGEST, digested, give_back, small_batches, table, tidily, training_sample, with_ids, without
+from .common import DIGEST, STAGE_ROWS, digested, give_back, small_batches, table, tidily, training_sample, with_ids, without
 from .hashing import LETTERS, blocks, mix, shingle_sets, words
 from . import hashing
 
@@ -323,5 +323,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the rows whose text the model finds toxic, whatever their doc_id."""
+    small_batches(spark, STAGE_ROWS)
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return without(docs, score(digested(docs), model, [DIGEST]).where("score >= 0.5").select("doc_id", DIGEST))
