@@ -167,3 +167,31 @@ def test_later_links_join_the_components_found_before(spark, monkeypatch):
     more = ngram_join.extended(found, pairs([(5, 11), (30, 21), (31, 32), (2, 3)]))
     assert {(bytes(r[0]), bytes(r[1])) for r in more.collect()} == {(name(a), name(b)) for a, b in [(k, 1) for k in (1, 2, 3, 4, 5, 10, 11)] + [(20, 20), (21, 20), (30, 20), (31, 31), (32, 31)]}
     assert rounds.count("stars") == 1
+
+
+def test_a_walk_is_held_to_the_sets_that_may_link(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.choice(1 << 40, 300, False).astype(np.uint64)
+    sets = [np.sort(np.r_[base[: 150 + k], rng.choice(1 << 40, 150 - k, False).astype(np.uint64)]) for k in range(0, 150, 3)]
+    signs = ngram_join.Signatures([ngram_join.signature(s) for s in sets], np.array([len(s) for s in sets]))
+    trie, looked = ngram_join.Trie(sets), []
+    search = np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, **k: looked.append(1) or search(a, v, **k))
+    for k, query in enumerate(sets):
+        some = signs.may_link(k, len(sets))
+        free = sorted(trie.linked(query))
+        before = len(looked)
+        assert sorted(trie.linked(query, some=some)) == free  # no link is lost
+        if k == 0:
+            assert free == [0] and len(looked) - before < 40  # unlike sets aren't read
+    assert list(trie.linked(sets[0], some=np.zeros(len(sets), bool))) == []
+
+
+def test_small_numbers_pack_to_their_lower_bytes():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.6, 1 << 16).astype(np.int32)
+    counts[[5, 9]] = [2**31 - 1, 70_000]
+    packed = dict(ngram_join.sliced(counts, 1 << 12))
+    assert sum(map(len, packed.values())) < 0.65 * len(ngram_join.zlib.compress(counts.tobytes(), 1))
+    back = np.concatenate([ngram_join.from_planes(ngram_join.zlib.decompress(packed[k]), np.int32) for k in sorted(packed)])
+    assert (back == counts).all() and ngram_join.from_planes(b"", np.int32).tolist() == []

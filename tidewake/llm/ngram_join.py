@@ -91,10 +91,19 @@ def cells(hashes: np.ndarray, width: int) -> np.ndarray:
     return (hashes >> _U(65 - width.bit_length())).astype(np.int64)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones and so on: the upper bytes of small numbers are zeros, which pack to nothing when they lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def sliced(whole: np.ndarray, size: int) -> Iterator[tuple[int, bytes]]:
     for k, part in enumerate(whole.reshape(-1, size)):
         if part.any():
-            yield k, zlib.compress(part.tobytes(), 1)
+            yield k, zlib.compress(planes(part), 1)
 
 
 def merged(df: DataFrame, dtype: type, cells_: int, size: int, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
@@ -103,7 +112,7 @@ def merged(df: DataFrame, dtype: type, cells_: int, size: int, finish: Callable[
         held: dict[int, np.ndarray] = {}
         for pdf in batches:
             for k, blob in zip(pdf["slice"], pdf["blob"]):
-                part = np.frombuffer(zlib.decompress(blob), dtype)
+                part = from_planes(zlib.decompress(blob), dtype)
                 if dtype is np.uint8:
                     held[k] = held[k] | part if k in held else part
                 elif k in held:
@@ -173,7 +182,7 @@ def postings(docs: DataFrame, levels, buckets: int) -> DataFrame:
             b = (mix(t) % _U(buckets)).astype(np.int64)
             by = np.argsort(b, kind="stable")
             cuts = np.searchsorted(b[by], np.arange(buckets + 1))
-            rows = [(k, b"".join(x[by[i:j]].tobytes() for x in (t, c, n))) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            rows = [(k, t[by[i:j]].tobytes() + c[by[i:j]].tobytes() + planes(n[by[i:j]])) for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
             return pd.DataFrame(rows, columns=["bucket", "blob"])
 
         for pdf in batches:
@@ -200,9 +209,10 @@ def unpacked(blobs: list[bytes]) -> list[np.ndarray]:
     out = [[], [], []]
     for b in blobs:
         n, at = len(b) // 20, 0
-        for k, (kind, width) in enumerate(((_U, 8), (np.int64, 8), (np.int32, 4))):
+        for k, kind in enumerate((_U, np.int64)):
             out[k].append(np.frombuffer(b, kind, n, at))
-            at += n * width
+            at += 8 * n
+        out[2].append(from_planes(b[at:], np.int32))
     return [np.concatenate(x) for x in out]
 
 
@@ -372,7 +382,8 @@ def unpacked_sets(packed: list[bytes], levels: np.ndarray) -> list[np.ndarray]:
 class Trie:
     """Sets in lexicographic order as a radix tree: a node holds the tokens that all sets below it share from its parent on.
 
-    groups: of each set, for walks that leave out the sets of one group.
+    groups: of each set, for walks that leave out the sets of one group. Walks may also be
+    held to some of the sets: subtrees that hold none of them are left at once.
     """
 
     def __init__(self, sets: list[np.ndarray], groups: Sequence[bytes] | None = None):
@@ -384,8 +395,9 @@ class Trie:
             differ = np.flatnonzero(x[:m] != y[:m])
             shared[k] = differ[0] if len(differ) else m
         sizes = np.array([len(x) for x in rows], np.int64)
-        #: (tokens, depth above, least and most size below, sets that end here, children, group of all sets below or None)
-        self.nodes: list[tuple[np.ndarray, int, int, int, list[int], list[int], bytes | None]] = []
+        self.order = np.array(order, np.int64)
+        #: (tokens, depth above, least and most size below, sets that end here, children, group of all sets below or None, first and last place of its sets in order)
+        self.nodes: list[tuple[np.ndarray, int, int, int, list[int], list[int], bytes | None, int, int]] = []
         todo, self.roots = [], []
         if rows:
             cuts = np.r_[np.flatnonzero(shared == 0), len(rows)]
@@ -400,14 +412,15 @@ class Trie:
             below: list[int] = []
             of = None if groups is None or len({groups[i] for i in order[a:b]}) > 1 else groups[order[a]]
             siblings.append(len(self.nodes))
-            self.nodes.append((rows[a][above:depth], above, int(sizes[a:b].min()), int(sizes[a:b].max()), ends, below, of))
+            self.nodes.append((rows[a][above:depth], above, int(sizes[a:b].min()), int(sizes[a:b].max()), ends, below, of, a, b))
             if at < b:
                 cuts = np.r_[at, at + 1 + np.flatnonzero(shared[at + 1 : b] == depth), b]
                 todo += [(int(x), int(y), depth, below) for x, y in zip(cuts[:-1], cuts[1:])]
 
-    def linked(self, query: np.ndarray, own: Callable[[bytes], bool] | None = None, chunk: int = 128) -> Iterator[int]:
-        """Numbers of the sets that reach the threshold with the query; subtrees of a group that own says is the query's aren't walked."""
+    def linked(self, query: np.ndarray, own: Callable[[bytes], bool] | None = None, chunk: int = 128, some: np.ndarray | None = None) -> Iterator[int]:
+        """Numbers of the sets that reach the threshold with the query; subtrees of a group that own says is the query's aren't walked, nor those without any of some (a truth value for each set)."""
         n = len(query)
+        upto = None if some is None else np.r_[0, np.cumsum(some[self.order])].tolist()
 
         def hopeless(overlap: int, depth: int, used: int, least: int, most: int) -> bool:
             """Whether no size from least to most can reach the threshold, with overlap counted down to depth and used tokens of the query passed."""
@@ -417,8 +430,8 @@ class Trie:
         walk = [(k, 0, 0) for k in self.roots]
         while walk:
             k, overlap, used = walk.pop()
-            tokens, depth, least, most, ends, below, of = self.nodes[k]
-            if own is not None and of is not None and own(of):
+            tokens, depth, least, most, ends, below, of, a, b = self.nodes[k]
+            if upto is not None and upto[a] == upto[b] or own is not None and of is not None and own(of):
                 continue
             done = 0
             while True:
@@ -450,6 +463,20 @@ def grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[t
         yield rows
 
 
+class Signatures:
+    """Bounds on what sets share, from their signatures at the size of the smallest."""
+
+    def __init__(self, packed: list[bytes], sizes: np.ndarray):
+        self.sizes, self.width = sizes, min(8 * len(x) for x in packed)
+        self.marks = np.stack([folded(x, self.width) for x in packed])
+
+    def may_link(self, k: int, n: int) -> np.ndarray:
+        """Which of the first n sets can reach the threshold with set k."""
+        differ = np.bitwise_count(self.marks[:n] ^ self.marks[k]).sum(1, dtype=np.int64)
+        both = self.sizes[:n] + self.sizes[k]
+        return 7 * np.minimum((both - differ) // 2, np.minimum(self.sizes[:n], self.sizes[k])) >= 3 * both
+
+
 def tries(tokens: Column, sets: Column) -> Column:
     """Into how many tries so many sets are dealt: long ones aren't dealt one by one, as each trie gets its leader's text."""
     return F.greatest(F.least(F.ceil(tokens / TRIE_TOKENS), F.ceil(sets / LEAST_SETS)), F.ceil(sets / MOST_SETS)).cast("int")
@@ -531,13 +558,10 @@ def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, level
         for rows in grouped(batches, ["a", "salt"]):
             n = sum(r[2] == 1 for r in rows)
             sizes, owners = np.array([r[6] for r in rows], np.int64), np.array([r[5] for r in rows], object)
-            width = min(8 * len(r[7]) for r in rows)
-            marks_ = np.stack([folded(r[7], width) for r in rows])
+            signs = Signatures([r[7] for r in rows], sizes)
             asks, asked = np.zeros(len(rows), bool), np.zeros(len(rows), bool)
             for k in np.flatnonzero([r[3] for r in rows]).tolist():
-                differ = np.bitwise_count(marks_[:n] ^ marks_[k]).sum(1, dtype=np.int64)
-                most = np.minimum((sizes[:n] + sizes[k] - differ) // 2, np.minimum(sizes[:n], sizes[k]))
-                hit = (7 * most >= 3 * (sizes[:n] + sizes[k])) & (owners[:n] != owners[k])
+                hit = signs.may_link(k, n) & (owners[:n] != owners[k])
                 if hit.any():
                     asks[k] = True
                     asked[:n] |= hit
@@ -551,8 +575,9 @@ def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, level
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in grouped(batches, ["a", "salt"]):
             n = sum(r[2] == 1 for r in rows)
-            sets = unpacked_sets([r[6] for r in rows[:n]], levels.value)
-            trie = Trie(sets, [r[5] for r in rows[:n]])
+            sets = unpacked_sets([r[6] for r in rows], levels.value)
+            signs = Signatures([signature(x) for x in sets], np.array([len(x) for x in sets], np.int64))
+            trie = Trie(sets[:n], [r[5] for r in rows[:n]])
             joined: dict[bytes, bytes] = {}  # components, as far as they are joined here
 
             def top(x: bytes) -> bytes:
@@ -564,8 +589,7 @@ def rest_of_hot(pairs: DataFrame, components: DataFrame, texts: DataFrame, level
             for k, q in enumerate(rows):
                 if not q[3]:
                     continue
-                query = sets[k] if k < n else unpacked_sets([q[6]], levels.value)[0]
-                for m in trie.linked(query, lambda of: top(of) == top(q[5])):  # noqa: B023
+                for m in trie.linked(sets[k], lambda of: top(of) == top(q[5]), some=signs.may_link(k, n)):  # noqa: B023
                     a.append(q[4])
                     b.append(rows[m][4])
                     if top(rows[m][5]) != top(q[5]):
